@@ -6,18 +6,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, token_counts
+from gleaner.llm import bpe, chat, fingerprints, mixing, nbsvm, near_dup, privacy, quality_rules, secrets, token_counts
 from gleaner.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality_rules.apply_rules(docs, rules)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = {i})) AS BIGINT)").alias(f"n_{name}") for i, name in enumerate(secrets.KINDS[:3])]
+    digest = F.sha2(secrets.spelled("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.spelled("found").alias("spans"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path(WORD_BPE), with_ids=False)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return privacy.pseudonymise(docs, count_column="n_values")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = token_counts.count_tokens(docs, public_tokenizers.path(PIECE_BPE))
@@ -28,10 +59,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_test(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_source_mix": op2_source_mix,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_token_counts": op8_token_counts,
     "op9_chat_format": op9_chat_format,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
