@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.plans import tag_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple = ()
+_MODULES: tuple = (text_queries, tag_queries)
 
 
 def queries() -> dict[str, Query]:
