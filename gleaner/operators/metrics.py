@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 Z = 1.959963984540054
 
 
-def ranking_metrics(ranked: DataFrame, gold: DataFrame, qid: str = "qid", ident: str = "id") -> DataFrame:
-    """Per query of ``gold``: hits at 1, 5, 10, reciprocal rank, label recall, nDCG and complete evidence.
+def ranking_metrics(hits: DataFrame, sizes: DataFrame, qid: str = "qid") -> DataFrame:
+    """Per query of ``sizes`` (query, ``n_gold``): hits at 1, 5, 10, reciprocal rank, recall, nDCG, complete evidence.
 
-    Queries without a hit stay, with zeros.
+    ``hits`` holds the ranks of gold rows.  Queries without a hit stay, with zeros.
     """
-    sizes = gold.groupBy(qid).agg(F.count("*").alias("n_gold"))
-    hits = ranked.join(gold, [qid, ident]).select(qid, "rank")
     rows = sizes.join(hits, qid, "left").groupBy(qid, "n_gold").agg(
         *[F.coalesce(F.max((F.col("rank") <= k).cast("int")), F.lit(0)).alias(f"hit{k}") for k in (1, 5, 10)],
         F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("mrr"),

@@ -9,7 +9,7 @@ PAGES = Relation(
         ("ho1", 1, "ho1.pdf#page=1", "pk1", "P-1", "Policy Declarations\nCollision Deductible: $500\nComprehensive Deductible: $250\nAnnual premium | $1,200.50 | due\nPolicy period: 01/02/2024"),
         ("ho1", 2, "ho1.pdf#page=2", "pk1", "P-1", "SECTION II - LIABILITY COVERAGES\nCoverage E - Personal Liability\nWe do not cover electronic data loss. See Section III for exclusions."),
         ("ho1", 3, "ho1.pdf#page=3", "pk1", "P-1", "Cyber Liability Endorsement HO-123\nThis endorsement modifies the policy and provides cyber liability coverage up to $25,000, however conditions apply.\nLiability limit is 100,000"),
-        ("ho1", 4, "ho1.pdf#page=4", "pk1", "P-1", "Definitions\nElectronic data means information stored on computers.\nIncludes policies and boxes."),
+        ("ho1", 4, "ho1.pdf#page=4", "pk1", "P-1", "Section III - Definitions\nElectronic data means information stored on computers.\nIncludes policies and boxes."),
         ("ho2", 1, "ho2.pdf#page=1", "pk2", None, "Billing invoice\nPremium due 12% of amount\nThis policy excludes earthquake loss."),
         ("ho2", 2, "ho2.pdf#page=2", "pk2", None, "Schedule of coverage\nDwelling limit: 80%\nThe insured must promptly notify us after a loss. Medical Payments Coverage F pays at least $1,000 per person."),
         ("au3", 1, "au3.pdf#page=1", "pk3", "P-9", "AUTO POLICY\nUninsured Motorist: $50,000 | $100,000\nUmbrella and excess liability\nClaim number 77 proof of loss"),

@@ -102,7 +102,7 @@ SHARED_CTE = "ln AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(
 
 @catalog.add(
     "gr8_shared_line_components",
-    f"""WITH RECURSIVE {SHARED_CTE}, both AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, b.b FROM reach r JOIN both b ON b.a = r.seen)
+    f"""WITH RECURSIVE {SHARED_CTE}, sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, b.b FROM reach r JOIN sides b ON b.a = r.seen)
         SELECT node, min(seen) AS component FROM reach GROUP BY node""",
 )
 def shared_line_components(spark, sf_dir):

@@ -18,13 +18,13 @@ PER_CTE = f"""{VECTORS_CTE}, gold AS (SELECT q.vec_id AS qid, q.label, d.vec_id
     ideal AS (SELECT qid, sum(1 / log2(i + 1.0::DOUBLE)) AS idcg FROM (SELECT qid, unnest(range(1, least(10, n_gold) + 1)) AS i FROM sizes) GROUP BY qid)"""
 
 
-def gold(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label").join(v.withColumnRenamed("vec_id", "id"), "label").select("qid", "id")
-
-
 def per_query(spark, sf_dir):
-    return M.ranking_metrics(near_vectors(spark, sf_dir), gold(spark, sf_dir))
+    """A vector's gold rows are those of its label; they are counted, not listed."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    counts = v.groupBy("label").agg(F.count("*").alias("n_gold"))
+    sizes = v.where("vec_id % 100 = 0").join(counts, "label").select(F.col("vec_id").alias("qid"), "n_gold")
+    near = near_vectors(spark, sf_dir).join(v.toDF("qid", "own"), "qid").join(v.toDF("id", "other"), "id")
+    return M.ranking_metrics(near.where("own = other").select("qid", "rank"), sizes)
 
 
 def rounded(df, *names):

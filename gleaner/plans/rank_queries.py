@@ -214,7 +214,7 @@ def interleaved(spark, sf_dir):
 def contained_snippets(spark, sf_dir):
     """Lines of each document without those that an earlier line contains or that contain one."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(rank.without_contained(F.slice(T.lines(F.col("text")), 1, 40))).alias("kept"))
+    return docs.select("doc_id", F.size(rank.without_contained(T.lines(F.col("text")))).alias("kept"))
 
 
 @catalog.add("rk19_page_order", "WITH " + X.PAGES.cte() + " SELECT doc_id, page_number, CASE WHEN contains(lower(text), 'declarations') THEN 0 WHEN contains(lower(text), 'endorsement') THEN 1 WHEN contains(lower(text), 'definitions') THEN 3 ELSE 2 END AS bucket FROM fixture_pages")

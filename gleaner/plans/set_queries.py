@@ -87,11 +87,16 @@ def isolation(spark, sf_dir):
     return sets.isolated(d, d.where("source = 'src3'"), "doc_id", "text", "source").select("doc_id")
 
 
-@catalog.add("st8_group_disjoint", "SELECT 'valid' AS split, doc_id FROM documents WHERE lang = 'de' AND source NOT IN (SELECT source FROM documents WHERE doc_id < 3) UNION ALL SELECT 'train', doc_id FROM documents WHERE lang = 'en' AND source NOT IN (SELECT source FROM documents WHERE doc_id < 3) AND source NOT IN (SELECT source FROM documents WHERE lang = 'de' AND doc_id < 8)")
+TEST_SOURCES = "SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND toxic = 1"
+VALID_SOURCES = "SELECT source FROM documents WHERE lang = 'de' AND n_chars > 20000"
+
+
+@catalog.add("st8_group_disjoint", f"SELECT 'valid' AS split, doc_id FROM documents WHERE lang = 'de' AND source NOT IN ({TEST_SOURCES}) UNION ALL SELECT 'train', doc_id FROM documents WHERE lang = 'en' AND source NOT IN ({TEST_SOURCES}) AND source NOT IN ({VALID_SOURCES})")
 def group_disjoint(spark, sf_dir):
     """Validation rows without the test's sources; training rows without those of either."""
-    d = documents(spark, sf_dir).select("doc_id", "lang", "source")
-    test, valid = d.where("doc_id < 3").select("source"), d.where("lang = 'de' AND doc_id < 8").select("source")
+    d, l = documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars"), table(spark, sf_dir, "labels")
+    test = d.join(l.where("quality = 0 AND toxic = 1"), "doc_id", "left_semi").select("source").distinct()
+    valid = d.where("lang = 'de' AND n_chars > 20000").select("source").distinct()
     v = d.where("lang = 'de'").join(test, "source", "left_anti").select(F.lit("valid").alias("split"), "doc_id")
     t = d.where("lang = 'en'").join(test, "source", "left_anti").join(valid, "source", "left_anti").select(F.lit("train").alias("split"), "doc_id")
     return v.unionByName(t)
@@ -169,10 +174,10 @@ def held_out_audit(spark, sf_dir):
     return sides.groupBy("family").agg(both.alias("overlap"), F.count_if("h").alias("held"), ((F.first("family") != "source") & (both > 0)).alias("blocks"))
 
 
-@catalog.add("st17_cumulative_provenance", "SELECT DISTINCT source, lang FROM documents WHERE doc_id < 500 UNION SELECT source, lang FROM documents WHERE doc_id >= 300")
+@catalog.add("st17_cumulative_provenance", "SELECT DISTINCT source, lang FROM documents WHERE lang IN ('en', 'de') UNION SELECT source, lang FROM documents WHERE lang <> 'en'")
 def provenance(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", "source", "lang")
-    return d.where("doc_id < 500").select("source", "lang").union(d.where("doc_id >= 300").select("source", "lang")).distinct()
+    return d.where(F.col("lang").isin("en", "de")).select("source", "lang").union(d.where("lang <> 'en'").select("source", "lang")).distinct()
 
 
 @catalog.add("st18_fixture_constraints", "SELECT 'cross_split_text' AS rule, count(*) AS violations FROM (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT doc_id % 2) > 1) UNION ALL SELECT 'span_outside', count(*) FROM documents WHERE NOT contains(text, substring(text, 1, 20))")
