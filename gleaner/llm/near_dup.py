@@ -11,12 +11,14 @@ expected child, and meet in some node at depth 3 with probability 0.64 a tree.
 more than ``SMALL`` classes branch on, three levels at a time down to ``DEPTH``.  A class
 finds its nodes from its own tokens, so a level needs no shuffle; only node sizes do.
 
-*Comparing nodes.*  First each class is compared with its node's pivot (the least key).
-Links are confirmed on full sets, and components of confirmed links are found.  Nodes whose
-classes are in one component need nothing more.  In the others all pairs from different
-components are compared by a four-bit sketch of the tokens, and those that could reach the
-threshold are confirmed, until no such pair is left untested.  Nodes that are still large at
-the last depth are compared in blocks.  Nothing is capped or dropped.
+*Comparing nodes.*  Within a node all classes are compared by size and a four-bit sketch of
+the tokens; this leaves groups of classes that could be linked, often the same from many nodes,
+of which each is taken once.  Groups with the same least class travel together, so that a
+class's full set of hashed shingles goes out once for all of them; where their sets are more than
+``CHUNK`` shingles, they are dealt to several chunks.  A group is then compared exhaustively on
+full sets, but for classes that are linked already, and the links of a spanning forest are
+returned.  So rows grow with the number of classes, never with pairs.  Nodes that are still
+larger than ``BLOCK`` at the last depth are compared block by block.  Nothing is capped or dropped.
 
 The chance that a pair of similarity 0.8 meets in no tree is 0.36 ** TREES, about 1e-9, or
 3e-4 at the last depth, and falls fast above 0.8; components are safer yet, as any chain
@@ -24,7 +26,8 @@ of links will do.  ``exact_components`` in the tests is the brute force that thi
 
 Null or wordless texts have an empty set and are linked with nothing.  Rows with a null id
 take part but name no component; a component with null ids only has a null id and its rows
-are kept.  Repeated rows fall into one class.  Class keys are 64-bit hashes of whole sets.
+are kept.  Repeated rows fall into one class.  Shingles are
+compared, and whole sets keyed, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from gleaner.llm.common import batches, cut, mix64, shared_dir
 
@@ -45,6 +47,8 @@ LEAST_PERCENT = 80
 #: Tokens of 64 that must agree for a pair to be confirmed: at 0.8 fewer agree once in a million.
 LEAST_AGREE = 34
 BLOCK = 512
+#: Shingles of the sets that are held at once for groups with the same least class.
+CHUNK = 1 << 17
 #: Ids up to this many go out with the tasks that fetch texts; more are joined by a shuffle.
 MOST_SENT = 200_000
 
@@ -144,38 +148,138 @@ def _paths(levels: int, from_root: bool):
     return run
 
 
-def confirm_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map ``(a, b, text_a, text_b)`` to the pairs whose full sets are similar enough."""
-    last, seen = None, set()
-    for batch in batches(frames, 512):
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
-            if last != a[i]:
-                last, seen = a[i], shingle_set(left.as_py())
-            other = shingle_set(right.as_py())
-            both = len(seen & other)
-            if both and 100 * both >= LEAST_PERCENT * (len(seen) + len(other) - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-
-def text_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map ``(doc_id, text)`` to ``(u, text)``."""
-    for batch in batches(frames, 1024):
-        keys = [set_key(h) if len(h := shingle_hashes(t)) else None for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1).cast(pa.string())], names=["u", "text"])
-
-
-def _plausible(x: str = "x", y: str = "y") -> str:
-    """SQL: sizes and sketches of two rows allow the threshold."""
-    differing = []
-    for i in range(4):
-        z = f"({x}.e{i} ^ {y}.e{i})"
-        z = f"({z} | shiftrightunsigned({z}, 1))"
-        differing.append(f"bit_count(({z} | shiftrightunsigned({z}, 2)) & 1229782938247303441L)")
-    size = f"100 * least({x}.n, {y}.n) >= {LEAST_PERCENT} * greatest({x}.n, {y}.n)"
-    return f"{size} AND {' + '.join(differing)} <= {POSITIONS - LEAST_AGREE}"
+def set_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map ``(doc_id, text)`` to ``(u, hashes)``, the whole set."""
+    for batch in batches(frames, 256):
+        sets = [h for t in batch.column(1).to_pylist() if len(h := shingle_hashes(t))]
+        keys = pa.array([set_key(h) for h in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([keys, pa.array([h.tobytes() for h in sets], pa.binary())], names=["u", "hashes"])
+
+
+def whole_groups(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches that end with a group of rows of equal first ``keys`` columns, and where groups start."""
+
+    def bounds(batch: pa.RecordBatch) -> list[int]:
+        new = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= column[1:] != column[:-1]
+        return [0, *np.flatnonzero(new).tolist()]
+
+    held = None
+    for batch in frames:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        starts = bounds(batch)
+        if starts[-1]:
+            yield batch.slice(0, starts[-1]), starts
+        held = batch.slice(starts[-1])
+    if held is not None:
+        yield held, [0, held.num_rows]
+
+
+def groups_of(size: np.ndarray, nibbles: np.ndarray) -> list[np.ndarray]:
+    """Connected groups of two rows or more whose sizes and sketches allow the threshold."""
+    z = nibbles[:, None, :] ^ nibbles[None, :, :]
+    z |= z >> np.uint64(1)
+    z |= z >> np.uint64(2)
+    differ = np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
+    near = differ <= POSITIONS - LEAST_AGREE
+    near &= 100 * np.minimum(size[:, None], size) >= LEAST_PERCENT * np.maximum(size[:, None], size)
+    np.fill_diagonal(near, False)
+    if not near.any():
+        return []
+    np.fill_diagonal(near, True)
+    label = np.arange(len(size))
+    while True:
+        new = np.where(near, label, len(size)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    return [part for part in parts if len(part) > 1]
+
+
+def group_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map of ``(node, i, j, u, n, e0..e3)``, sorted, to the groups ``(home, gid, u, n)``."""
+    for batch, starts in whole_groups(frames, 3):
+        u, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+        e = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9)], axis=1).view(np.uint64)
+        homes, gids, rows = [], [], []
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            for part in groups_of(n[lo:hi], e[lo:hi]) if hi - lo > 1 else ():
+                members = np.sort(u[lo:hi][part])
+                homes += [int(members[0])] * len(part)
+                gids += [xxhash.xxh3_64_intdigest(members.tobytes()) >> 1] * len(part)
+                rows.append(lo + part)
+        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        columns = [pa.array(homes, pa.int64()), pa.array(gids, pa.int64()), pa.array(u[at], pa.int64()), pa.array(n[at], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["home", "gid", "u", "n"])
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with all ``sets``."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts > 1
+    shared = often[column]
+    owner, column = owner[shared], (np.cumsum(often) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, width = np.zeros((len(rows), len(sets))), max(256, (1 << 20) // len(sets))
+    for low in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        out += held[rows] @ held.T
+    return out
+
+
+def links_of(keys: list[int], sets: list[np.ndarray], groups: list[list[int]]) -> list[tuple[int, int]]:
+    """Spanning links of the classes of the groups, by exhaustive comparison of full sets."""
+    root, links = list(range(len(keys))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for group in sorted(groups, key=len):
+        roots = np.array([find(x) for x in group])
+        most = np.bincount(roots).argmax()
+        rows = np.flatnonzero(roots != most)
+        if not len(rows):
+            continue
+        size = np.array([len(sets[x]) for x in group])
+        both = overlaps([sets[x] for x in group], rows)
+        linked = 100 * both >= LEAST_PERCENT * (size[rows][:, None] + size - both)
+        for i, j in zip(*np.nonzero(linked & (roots[rows][:, None] != roots))):
+            x, y = find(group[rows[i]]), find(group[j])
+            if x != y:
+                root[x] = y
+                links.append((keys[group[rows[i]]], keys[group[j]]))
+    return links
+
+
+def link_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map of ``(home, chunk, u, gids, hashes)``, sorted, to links ``(a, b)``."""
+    for batch, starts in whole_groups(frames, 2):
+        links = []
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            part, place, sets, groups = batch.slice(lo, hi - lo), {}, [], {}
+            for u, gids, hashes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4)):
+                if u not in place:  # a repeated id can bring its class again
+                    for gid in gids:
+                        groups.setdefault(gid, []).append(len(place))
+                    place[u] = len(place)
+                    sets.append(np.frombuffer(hashes.as_buffer(), np.uint64))
+            links += links_of(list(place), sets, list(groups.values()))
+        ends = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
 
 class _Join:
@@ -205,7 +309,7 @@ class _Join:
         rows = classes.select("u", "tokens").mapInArrow(_paths(3, True), "node bigint, u bigint")
         parts, depth = [], 3
         while True:
-            sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
+            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
             met = self.cut(rows.join(sizes, "node"), f"depth{depth}")
             large = met.where(F.col("size") > SMALL)
             if depth >= DEPTH or large.isEmpty():
@@ -220,25 +324,40 @@ class _Join:
             last = last.unionByName(p)
         return last
 
-    def texts(self, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``(u, text)`` of the classes that stand in pairs."""
-        wanted = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
-        ids = self.cut(classes.select("u", "rep").join(wanted, "u").select("u", F.col("rep").alias("doc_id")), "wanted")
-        need = ids.select("doc_id").distinct()
-        few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-        found = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
-        if not ids.where("doc_id IS NULL").isEmpty():
-            found = found.unionByName(self.docs.where("doc_id IS NULL"))
-        rows = found.mapInArrow(text_rows, "u bigint, text string").where("u IS NOT NULL")
-        return self.cut(rows, "texts")
-
-    def confirmed(self, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold."""
-        texts = self.texts(classes, pairs)
-        right = pairs.join(texts.select(F.col("u").alias("b"), F.col("text").alias("text_b")), "b")
-        both = right.join(texts.select(F.col("u").alias("a"), F.col("text").alias("text_a")), "a")
-        links = both.select("a", "b", "text_a", "text_b").mapInArrow(confirm_rows, "a bigint, b bigint")
-        return self.cut(links.distinct(), "links")
+    def groups(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """``(home, gid, u, n)``: the distinct groups of classes that nodes hold to be alike."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = members.join(classes.select("u", "n", "e0", "e1", "e2", "e3"), "u")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("u"), blocks).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "n", "e0", "e1", "e2", "e3")
+        dealt = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+        found = dealt.mapInArrow(group_rows, "home bigint, gid bigint, u bigint, n bigint")
+        return self.cut(found.dropDuplicates(["gid", "u"]), "groups")
+
+    def sets(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
+        """``(u, hashes)`` of the classes that stand in groups."""
+        wanted = classes.select("u", F.col("rep").alias("doc_id")).join(groups.select("u").distinct(), "u")
+        need = self.cut(wanted.select("doc_id").distinct(), "wanted")
+        few = need.limit(MOST_SENT + 1).count() <= MOST_SENT
+        schema = "u bigint, hashes binary"
+        found = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi").mapInArrow(set_rows, schema)
+        if need.where("doc_id IS NULL").isEmpty():
+            return found
+        nameless = self.docs.where("doc_id IS NULL").dropDuplicates(["text"]).mapInArrow(set_rows, schema)
+        return found.unionByName(nameless.dropDuplicates(["u"]))
+
+    def links(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
+        """Spanning links of all groups, compared on full sets."""
+        held = groups.groupBy("home", "u").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+        homes = held.groupBy("home").agg(F.sum("n").alias("once"), F.sum(F.col("n") * F.col("times")).alias("all"))
+        chunks = F.when(F.col("once") <= CHUNK, 1).otherwise(F.ceil(F.col("all") / CHUNK))
+        homes = homes.select("home", chunks.cast("int").alias("chunks"))
+        dealt = groups.join(homes, "home").withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int"))
+        sent = dealt.groupBy("home", "chunk", "u").agg(F.collect_list("gid").alias("gids"))
+        rows = sent.join(self.sets(classes, groups), "u").select("home", "chunk", "u", "gids", "hashes")
+        rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
+        return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint"), "links")
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``(u, label)``, the least key reachable, for the ends of edges; doubling label propagation."""
@@ -254,55 +373,10 @@ class _Join:
             if new.where("label <> was").isEmpty():
                 return labels
 
-    def relabelled(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
-        """Labels after more links, by the components of the graph of earlier components."""
-        if labels is None:
-            return self.components(links)
-        a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
-        ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        top = self.components(ends.where("a <> b").distinct()).toDF("l", "top")
-        ups = labels.join(top, F.col("label") == F.col("l"), "left").select("u", F.coalesce("top", "label").alias("label"))
-        fresh = top.join(labels, top.l == labels.u, "left_anti").toDF("u", "label")
-        return self.cut(ups.unionByName(fresh), "labels")
-
     def labels(self, classes: DataFrame) -> DataFrame | None:
         """Component labels of the classes that have links; None without links."""
-        marks = classes.select("u", "n", "e0", "e1", "e2", "e3")
-        members = self.members(classes)
-        x, y = (marks.select(F.struct(*marks.columns).alias(k)) for k in "xy")
-        pairs = members.where("u <> pivot").select(F.col("pivot").alias("a"), F.col("u").alias("b")).distinct()
-        pairs = pairs.join(x, F.col("a") == F.col("x.u")).join(y, F.col("b") == F.col("y.u")).where(_plausible()).select("a", "b")
-        tested = pairs = self.cut(pairs, "pairs")
-        labels, quota = None, 8
-        while not pairs.isEmpty():
-            links = self.confirmed(classes, pairs)
-            if not links.isEmpty():
-                labels = self.relabelled(labels, links)
-            pairs = self.cut(self.across(members, marks, labels, tested, quota), "pairs")
-            tested, quota = tested.unionByName(pairs), quota * 8
-        return labels
-
-    def across(self, members: DataFrame, marks: DataFrame, labels: DataFrame | None, tested: DataFrame, quota: int) -> DataFrame:
-        """Untested plausible pairs of a node's classes from different components.
-
-        Of each class and other component the ``quota`` likeliest; later rounds take the rest.
-        """
-        rows = members if labels is None else members.join(labels, "u", "left")
-        label = F.col("u") if labels is None else F.coalesce("label", "u")
-        rows = rows.withColumn("label", label)
-        open_nodes = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        rows = rows.join(open_nodes.select("node", "low"), "node").join(marks, "u")
-        rows = self.cut(rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "open")
-        fields = ["u", "label", "low", "n", "e0", "e1", "e2", "e3"]
-        own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
-        spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = rows.where("label <> low").select("node", own.alias("i"), spread.alias("j"), F.struct(*fields).alias("x"))
-        right = rows.select("node", spread.alias("i"), own.alias("j"), F.struct(*fields).alias("y"))
-        met = left.join(right, ["node", "i", "j"]).where("x.label <> y.label AND (y.label = y.low OR x.u < y.u)").where(_plausible())
-        ends = met.select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b"), F.col("x.u").alias("u"), F.col("y.label").alias("other")).distinct()
-        ends = ends.join(tested, ["a", "b"], "left_anti")
-        first = Window.partitionBy("u", "other").orderBy("a", "b")
-        return ends.withColumn("k", F.row_number().over(first)).where(F.col("k") <= quota).select("a", "b").distinct()
+        links = self.links(classes, self.groups(self.members(classes), classes))
+        return None if links.isEmpty() else self.components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
