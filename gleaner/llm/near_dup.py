@@ -204,20 +204,21 @@ def groups_of(size: np.ndarray, nibbles: np.ndarray) -> list[np.ndarray]:
 
 
 def group_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map of ``(node, i, j, u, n, e0..e3)``, sorted, to the groups ``(home, gid, u, n)``."""
+    """Arrow map of ``(node, i, j, u, n, e0..e3)``, sorted, to the groups ``(home, gid, members)``."""
     for batch, starts in whole_groups(frames, 3):
         u, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
         e = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9)], axis=1).view(np.uint64)
         homes, gids, rows = [], [], []
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
             for part in groups_of(n[lo:hi], e[lo:hi]) if hi - lo > 1 else ():
-                members = np.sort(u[lo:hi][part])
-                homes += [int(members[0])] * len(part)
-                gids += [xxhash.xxh3_64_intdigest(members.tobytes()) >> 1] * len(part)
-                rows.append(lo + part)
+                part = lo + part[np.argsort(u[lo:hi][part])]
+                homes.append(int(u[part[0]]))
+                gids.append(xxhash.xxh3_64_intdigest(u[part].tobytes()) >> 1)
+                rows.append(part)
         at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        columns = [pa.array(homes, pa.int64()), pa.array(gids, pa.int64()), pa.array(u[at], pa.int64()), pa.array(n[at], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["home", "gid", "u", "n"])
+        ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+        members = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(u[at]), pa.array(n[at])], names=["u", "n"]))
+        yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(gids, pa.int64()), members], names=["home", "gid", "members"])
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
@@ -325,19 +326,19 @@ class _Join:
         return last
 
     def groups(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """``(home, gid, u, n)``: the distinct groups of classes that nodes hold to be alike."""
+        """``(home, gid, members)``: the distinct groups of classes that nodes hold to be alike."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = members.join(classes.select("u", "n", "e0", "e1", "e2", "e3"), "u")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("u"), blocks).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         rows = rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "n", "e0", "e1", "e2", "e3")
         dealt = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-        found = dealt.mapInArrow(group_rows, "home bigint, gid bigint, u bigint, n bigint")
-        return self.cut(found.dropDuplicates(["gid", "u"]), "groups")
+        found = dealt.mapInArrow(group_rows, "home bigint, gid bigint, members array<struct<u: bigint, n: bigint>>")
+        return self.cut(found.dropDuplicates(["gid"]), "groups")
 
-    def sets(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    def sets(self, classes: DataFrame, held: DataFrame) -> DataFrame:
         """``(u, hashes)`` of the classes that stand in groups."""
-        wanted = classes.select("u", F.col("rep").alias("doc_id")).join(groups.select("u").distinct(), "u")
+        wanted = classes.select("u", F.col("rep").alias("doc_id")).join(held.select("u").distinct(), "u")
         need = self.cut(wanted.select("doc_id").distinct(), "wanted")
         few = need.limit(MOST_SENT + 1).count() <= MOST_SENT
         schema = "u bigint, hashes binary"
@@ -349,13 +350,16 @@ class _Join:
 
     def links(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
         """Spanning links of all groups, compared on full sets."""
-        held = groups.groupBy("home", "u").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+        each = groups.select("home", F.explode("members").alias("m")).select("home", "m.*")
+        held = self.cut(each.groupBy("home", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")), "held")
         homes = held.groupBy("home").agg(F.sum("n").alias("once"), F.sum(F.col("n") * F.col("times")).alias("all"))
-        chunks = F.when(F.col("once") <= CHUNK, 1).otherwise(F.ceil(F.col("all") / CHUNK))
-        homes = homes.select("home", chunks.cast("int").alias("chunks"))
-        dealt = groups.join(homes, "home").withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int"))
-        sent = dealt.groupBy("home", "chunk", "u").agg(F.collect_list("gid").alias("gids"))
-        rows = sent.join(self.sets(classes, groups), "u").select("home", "chunk", "u", "gids", "hashes")
+        large = self.cut(homes.where(F.col("once") > CHUNK).select("home", F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "large")
+        few = large.limit(MOST_SENT + 1).count() <= MOST_SENT
+        dealt = groups.join(F.broadcast(large) if few else large, "home", "left")
+        chunk = F.pmod(F.xxhash64("gid"), F.coalesce("chunks", F.lit(1))).cast("int")
+        sent = dealt.select("home", chunk.alias("chunk"), "gid", F.explode("members.u").alias("u"))
+        sent = sent.groupBy("home", "chunk", "u").agg(F.collect_list("gid").alias("gids"))
+        rows = sent.join(self.sets(classes, held), "u").select("home", "chunk", "u", "gids", "hashes")
         rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
         return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint"), "links")
 
