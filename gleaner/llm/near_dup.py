@@ -317,6 +317,7 @@ class _Join:
                 return self._union(parts, met)
             parts.append(met.where(F.col("size") <= SMALL))
             deeper = large.join(classes.select("u", "tokens"), "u").select("u", "tokens", "node")
+            deeper = deeper.repartition("u", "node")  # a class of many large nodes branches in many tasks
             rows, depth = deeper.mapInArrow(_paths(3, False), "node bigint, u bigint"), depth + 3
 
     @staticmethod
