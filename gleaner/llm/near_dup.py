@@ -16,8 +16,8 @@ the tokens; this leaves groups of classes that could be linked, often the same f
 of which each is taken once.  Groups with the same least class travel together, so that a
 class's full set of hashed shingles goes out once for all of them; where their sets are more than
 ``CHUNK`` shingles, they are dealt to several chunks.  A group is then compared exhaustively on
-full sets, but for classes that are linked already, and the links of a spanning forest are
-returned.  So rows grow with the number of classes, never with pairs.  Nodes that are still
+full sets, but for classes that are linked already, and each class is returned with the least
+that its links lead to.  So rows grow with the number of classes, never with pairs.  Nodes that are still
 larger than ``BLOCK`` at the last depth are compared block by block.  Nothing is capped or dropped.
 
 The chance that a pair of similarity 0.8 meets in no tree is 0.36 ** TREES, about 1e-9, or
@@ -240,8 +240,11 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 
 def links_of(keys: list[int], sets: list[np.ndarray], groups: list[list[int]]) -> list[tuple[int, int]]:
-    """Spanning links of the classes of the groups, by exhaustive comparison of full sets."""
-    root, links = list(range(len(keys))), []
+    """Each class that has links in the groups, with the least class that links lead to.
+
+    Full sets are compared exhaustively.  Chunks that hold the same classes so return the same rows.
+    """
+    root = list(range(len(keys)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -262,8 +265,11 @@ def links_of(keys: list[int], sets: list[np.ndarray], groups: list[list[int]]) -
             x, y = find(group[rows[i]]), find(group[j])
             if x != y:
                 root[x] = y
-                links.append((keys[group[rows[i]]], keys[group[j]]))
-    return links
+    least: dict[int, int] = {}
+    for x, key in enumerate(keys):
+        top = find(x)
+        least[top] = min(least.get(top, key), key)
+    return [(key, least[find(x)]) for x, key in enumerate(keys) if key != least[find(x)]]
 
 
 def link_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +356,7 @@ class _Join:
         return found.unionByName(nameless.dropDuplicates(["u"]))
 
     def links(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
-        """Spanning links of all groups, compared on full sets."""
+        """``(a, b)`` that span the components of each chunk of groups, compared on full sets."""
         each = groups.select("home", F.explode("members").alias("m")).select("home", "m.*")
         held = self.cut(each.groupBy("home", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")), "held")
         homes = held.groupBy("home").agg(F.sum("n").alias("once"), F.sum(F.col("n") * F.col("times")).alias("all"))
@@ -362,7 +368,7 @@ class _Join:
         sent = sent.groupBy("home", "chunk", "u").agg(F.collect_list("gid").alias("gids"))
         rows = sent.join(self.sets(classes, held), "u").select("home", "chunk", "u", "gids", "hashes")
         rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
-        return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint"), "links")
+        return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint").distinct(), "links")
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``(u, label)``, the least key reachable, for the ends of edges; doubling label propagation."""
