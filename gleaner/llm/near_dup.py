@@ -368,7 +368,11 @@ class _Join:
         sent = sent.groupBy("home", "chunk", "u").agg(F.collect_list("gid").alias("gids"))
         rows = sent.join(self.sets(classes, held), "u").select("home", "chunk", "u", "gids", "hashes")
         rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
-        return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint").distinct(), "links")
+        links = self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint").distinct(), "links")
+        # Chunks differ in their least classes: b keeps its least one, which the others are tied to.
+        low = self.cut(links.groupBy("b").agg(F.min("a").alias("low")), "low")
+        tied = links.join(low, "b").where(F.col("a") > F.col("low")).select(F.col("low").alias("a"), F.col("a").alias("b"))
+        return self.cut(low.select(F.col("low").alias("a"), "b").union(tied).distinct(), "edges")
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``(u, label)``, the least key reachable, for the ends of edges; doubling label propagation."""
