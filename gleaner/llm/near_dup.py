@@ -4,11 +4,12 @@ A document's set holds its distinct two-word shingles.  Documents with equal set
 class at once; what follows works on one row a class.
 
 *Trees.*  A class's ``POSITIONS`` minwise tokens stand for its set.  In each of ``TREES``
-independent trees a node picks one token position, or with probability ``SECOND`` two of
+trees a node picks one token position, or with probability ``SECOND`` two of
 them, by a hash of the node; the classes at the node branch to one child for each value of a
 picked token.  Two classes of Jaccard similarity 0.8 then share 0.8 * (1 + SECOND) = 1
 expected child, and meet in some node at depth 3 with probability 0.64 a tree.  Nodes of
-more than ``SMALL`` classes branch on, three levels at a time down to ``DEPTH``.  A class
+more than ``SMALL`` classes branch on, three levels at a time down to ``DEPTH``; the classes
+of such nodes also enter ``MORE_TREES`` further trees.  A class
 finds its nodes from its own tokens, so a level needs no shuffle; only node sizes do.
 
 *Comparing nodes.*  Within a node all classes are compared by size and a four-bit sketch of
@@ -20,8 +21,10 @@ full sets, but for classes that are linked already, and each class is returned w
 that its links lead to.  So rows grow with the number of classes, never with pairs.  Nodes that are still
 larger than ``BLOCK`` at the last depth are compared block by block.  Nothing is capped or dropped.
 
-The chance that a pair of similarity 0.8 meets in no tree is 0.36 ** TREES, about 1e-9, or
-3e-4 at the last depth, and falls fast above 0.8; components are safer yet, as any chain
+All trees draw from the same tokens, so they are independent only given how many of them
+agree, which is Binomial(POSITIONS, 0.8) for a pair of similarity 0.8.  Summed over that, the
+chance that the pair meets in no tree is 1.2e-8 at depth 3, and 1.1e-7 at the last depth with
+the further trees; at 0.85 it is 1e-10 and 4e-11.  Components are safer yet, as any chain
 of links will do.  ``exact_components`` in the tests is the brute force that this is held to.
 
 Null or wordless texts have an empty set and are linked with nothing.  Rows with a null id
@@ -42,9 +45,11 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import batches, cut, mix64, shared_dir
 
-POSITIONS, TREES, SECOND, DEPTH, SMALL = 64, 20, 0.25, 9, 128
+POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 128
 LEAST_PERCENT = 80
-#: Tokens of 64 that must agree for a pair to be confirmed: at 0.8 fewer agree once in a million.
+#: Tokens that a sketch is made of, four bits each; the first of the positions.
+SKETCH = 64
+#: Tokens of a sketch's 64 that must agree for a pair to be confirmed: at 0.8 fewer agree once in a million.
 LEAST_AGREE = 34
 BLOCK = 512
 #: Shingles of the sets that are held at once for groups with the same least class.
@@ -84,26 +89,26 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def tokens_of(hashes: np.ndarray) -> np.ndarray:
-    """The minwise token of each position, 32 bits."""
+    """The minwise token of each position, 16 bits."""
     low = np.full(POSITIONS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(hashes), 2048):
-        part = hashes[None, i : i + 2048] * _A[:, None] + _B[:, None]
+    for i in range(0, len(hashes), 512):
+        part = hashes[None, i : i + 512] * _A[:, None] + _B[:, None]
         np.minimum(low, part.min(axis=1), out=low)
-    return (mix64(low) >> np.uint64(32)).astype(np.uint32)
+    return (mix64(low) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketch_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow map ``(doc_id, text)`` to ``(doc_id, n_shingles, u, tokens, e0..e3)``."""
-    place = (np.arange(POSITIONS, dtype=np.uint64) % np.uint64(16)) * np.uint64(4)
+    place = (np.arange(SKETCH, dtype=np.uint64) % np.uint64(16)) * np.uint64(4)
     for batch in batches(frames, 1024):
         sizes, keys, packed, nibbles = [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text)
             sizes.append(len(hashes))
             keys.append(set_key(hashes) if len(hashes) else None)
-            tokens = tokens_of(hashes) if len(hashes) else np.zeros(POSITIONS, np.uint32)
+            tokens = tokens_of(hashes) if len(hashes) else np.zeros(POSITIONS, np.uint16)
             packed.append(tokens.tobytes() if len(hashes) else None)
-            four = (tokens.astype(np.uint64) & np.uint64(15)) << place
+            four = (tokens[:SKETCH].astype(np.uint64) & np.uint64(15)) << place
             nibbles.append(np.bitwise_or.reduce(four.reshape(4, 16), axis=1).view(np.int64))
         e = np.array(nibbles, np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
@@ -112,6 +117,11 @@ def sketch_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def roots(first: int, last: int) -> np.ndarray:
+    """The roots of trees ``first`` to ``last - 1``."""
+    return mix64(np.arange(first + 1, last + 1, dtype=np.uint64))
+
+
 def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Follows all paths of each row some levels down; returns nodes and their rows."""
     for _ in range(levels):
@@ -126,8 +136,8 @@ def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, levels: int) -
     return node, row
 
 
-def _paths(levels: int, from_root: bool):
-    """Arrow map to ``(node, u)``: of ``(u, tokens)`` from the roots, or of ``(u, tokens, node)``."""
+def _paths(levels: int, trees: tuple[int, int] | None = None):
+    """Arrow map to ``(node, u)``: of ``(u, tokens)`` from the roots of trees, or of ``(u, tokens, node)``."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -135,10 +145,10 @@ def _paths(levels: int, from_root: bool):
                 part = batch.slice(i, 4096)
                 n = part.num_rows
                 keys = part.column(0).to_numpy(zero_copy_only=False)
-                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(n, POSITIONS)
-                if from_root:
-                    node = np.repeat(mix64(np.arange(1, TREES + 1, dtype=np.uint64)), n)
-                    row = np.tile(np.arange(n), TREES)
+                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(n, POSITIONS)
+                if trees:
+                    node = np.repeat(roots(*trees), n)
+                    row = np.tile(np.arange(n), trees[1] - trees[0])
                 else:
                     node = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                     row = np.arange(n)
@@ -186,7 +196,7 @@ def groups_of(size: np.ndarray, nibbles: np.ndarray) -> list[np.ndarray]:
     z |= z >> np.uint64(1)
     z |= z >> np.uint64(2)
     differ = np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
-    near = differ <= POSITIONS - LEAST_AGREE
+    near = differ <= SKETCH - LEAST_AGREE
     near &= 100 * np.minimum(size[:, None], size) >= LEAST_PERCENT * np.maximum(size[:, None], size)
     np.fill_diagonal(near, False)
     if not near.any():
@@ -313,18 +323,26 @@ class _Join:
 
     def members(self, classes: DataFrame) -> DataFrame:
         """``(node, size, u)`` for the nodes that are compared, each of two classes or more."""
-        rows = classes.select("u", "tokens").mapInArrow(_paths(3, True), "node bigint, u bigint")
+        def meeting(rows: DataFrame, name: str) -> DataFrame:
+            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+            return self.cut(rows.join(sizes, "node"), name)
+
+        kind, tokens = "node bigint, u bigint", classes.select("u", "tokens")
+        met = meeting(tokens.mapInArrow(_paths(3, (0, TREES)), kind), "depth3")
+        crowded = met.where(F.col("size") > SMALL).select("u").distinct()
+        if MORE_TREES and not crowded.isEmpty():
+            further = tokens.join(crowded, "u").select("u", "tokens")
+            met = met.unionByName(meeting(further.mapInArrow(_paths(3, (TREES, TREES + MORE_TREES)), kind), "further3"))
         parts, depth = [], 3
         while True:
-            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-            met = self.cut(rows.join(sizes, "node"), f"depth{depth}")
             large = met.where(F.col("size") > SMALL)
             if depth >= DEPTH or large.isEmpty():
                 return self._union(parts, met)
             parts.append(met.where(F.col("size") <= SMALL))
-            deeper = large.join(classes.select("u", "tokens"), "u").select("u", "tokens", "node")
+            deeper = large.join(tokens, "u").select("u", "tokens", "node")
             deeper = deeper.repartition("u", "node")  # a class of many large nodes branches in many tasks
-            rows, depth = deeper.mapInArrow(_paths(3, False), "node bigint, u bigint"), depth + 3
+            depth += 3
+            met = meeting(deeper.mapInArrow(_paths(3), kind), f"depth{depth}")
 
     @staticmethod
     def _union(parts: list[DataFrame], last: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from gleaner.llm import near_dup
@@ -80,3 +81,29 @@ def test_keep_one_and_empty(spark):
     kept = near_dup.keep_one(df).collect()
     assert sorted((r.doc_id or -1, r.kept) for r in kept if r.doc_id is not None) == [(2, 2), (5, 5), (9, 3)]
     assert near_dup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_pairs_at_the_threshold_meet_at_the_last_depth():
+    rng = np.random.default_rng(8)
+    n, trees = 4000, near_dup.TREES + getattr(near_dup, "MORE_TREES", 0)
+    a, b = (rng.integers(0, 2**16, (n, near_dup.POSITIONS)) for _ in range(2))
+    b = np.where(rng.random(a.shape) < 0.8, a, b)
+    node = np.repeat(near_dup.mix64(np.arange(1, trees + 1, dtype=np.uint64)), n)
+    paths = []
+    for tokens in (a, b):
+        nodes, pair = near_dup.branch(node, np.tile(np.arange(n), trees), tokens, near_dup.DEPTH)
+        paths.append(near_dup.mix64(nodes + pair.astype(np.uint64)))
+    nodes, pair = near_dup.branch(node, np.tile(np.arange(n), trees), a, near_dup.DEPTH)
+    met = np.isin(paths[0], paths[1])
+    assert len(set(pair[met].tolist())) == n
+
+
+def test_classes_of_large_nodes_enter_further_trees(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", 3)
+    tokens = np.arange(near_dup.POSITIONS).astype(np.uint16)
+    classes = spark.createDataFrame([(i, bytearray(tokens.tobytes())) for i in range(8)], "u long, tokens binary")
+    run = near_dup._Join(spark.createDataFrame([], "doc_id long, text string"))
+    trees = near_dup.TREES + near_dup.MORE_TREES
+    nodes, _ = near_dup.branch(near_dup.roots(0, trees), np.zeros(trees, int), tokens[None, :], near_dup.DEPTH)
+    got = run.members(classes).collect()
+    assert {r.node for r in got} == set(nodes.view(np.int64).tolist()) and all(r.size == 8 for r in got)
