@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-A document's set holds its distinct two-word shingles.  Documents with equal sets form a
+A document's set holds its distinct shingles of ``width`` words.  Documents with equal sets form a
 class at once; what follows works on one row a class.
 
 *Trees.*  A class's ``POSITIONS`` minwise tokens stand for its set.  In each of ``TREES``
@@ -36,6 +36,7 @@ compared, and whole sets keyed, by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ from gleaner.llm.common import batches, cut, mix64, shared_dir
 
 POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 128
 LEAST_PERCENT = 80
+#: Words of a shingle, unless a caller's contract says otherwise.
+WIDTH = 5
 #: Tokens that a sketch is made of, four bits each; the first of the positions.
 SKETCH = 64
 #: Tokens of a sketch's 64 that must agree for a pair to be confirmed: at 0.8 fewer agree once in a million.
@@ -66,22 +69,25 @@ def lowered_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_set(text: str | None) -> set:
-    """The set itself: pairs of neighbouring words, or all words if fewer than two."""
+def shingle_set(text: str | None, width: int = WIDTH) -> set:
+    """The set itself: runs of ``width`` neighbouring words, or all words as one if there are fewer."""
     words = lowered_words(text)
-    if len(words) < 2:
+    if len(words) < width:
         return {tuple(words)} if words else set()
-    return set(zip(words, words[1:]))
+    return set(zip(*(words[k:] for k in range(width))))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = lowered_words(text)
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(words) == 1:
-        return mix64(h)
-    return np.unique(mix64(mix64(h[:-1]) + h[1:] * np.uint64(0x9FB21C651E98DF25)))
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    run = h[:n]
+    for k in range(1, width):
+        run = mix64(run) + h[k : k + n] * np.uint64(0x9FB21C651E98DF25)
+    return np.unique(mix64(run))
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -97,13 +103,13 @@ def tokens_of(hashes: np.ndarray) -> np.ndarray:
     return (mix64(low) >> np.uint64(48)).astype(np.uint16)
 
 
-def sketch_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_rows(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Arrow map ``(doc_id, text)`` to ``(doc_id, n_shingles, u, tokens, e0..e3)``."""
     place = (np.arange(SKETCH, dtype=np.uint64) % np.uint64(16)) * np.uint64(4)
     for batch in batches(frames, 1024):
         sizes, keys, packed, nibbles = [], [], [], []
         for text in batch.column(1).to_pylist():
-            hashes = shingle_hashes(text)
+            hashes = shingle_hashes(text, width)
             sizes.append(len(hashes))
             keys.append(set_key(hashes) if len(hashes) else None)
             tokens = tokens_of(hashes) if len(hashes) else np.zeros(POSITIONS, np.uint16)
@@ -158,10 +164,10 @@ def _paths(levels: int, trees: tuple[int, int] | None = None):
     return run
 
 
-def set_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_rows(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Arrow map ``(doc_id, text)`` to ``(u, hashes)``, the whole set."""
     for batch in batches(frames, 256):
-        sets = [h for t in batch.column(1).to_pylist() if len(h := shingle_hashes(t))]
+        sets = [h for t in batch.column(1).to_pylist() if len(h := shingle_hashes(t, width))]
         keys = pa.array([set_key(h) for h in sets], pa.int64())
         yield pa.RecordBatch.from_arrays([keys, pa.array([h.tobytes() for h in sets], pa.binary())], names=["u", "hashes"])
 
@@ -302,7 +308,8 @@ def link_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     """One run of the join; its tables lie in a folder of their own."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, width: int = WIDTH):
+        self.sketched, self.whole = partial(sketch_rows, width=width), partial(set_rows, width=width)
         self.docs = docs.select("doc_id", F.col("text"))
         self.spark, self.folder, self.serial = docs.sparkSession, shared_dir(docs.sparkSession), 0
 
@@ -314,7 +321,7 @@ class _Join:
         """All rows with their class, and one row a class."""
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, n_shingles bigint, u bigint, tokens binary, e0 bigint, e1 bigint, e2 bigint, e3 bigint"
-        rows = self.cut(self.docs.mapInArrow(sketch_rows, schema), "sketches")
+        rows = self.cut(self.docs.mapInArrow(self.sketched, schema), "sketches")
         one = rows.where("u IS NOT NULL").groupBy("u").agg(
             F.min("doc_id").alias("rep"),
             F.first(F.struct(F.col("n_shingles").alias("n"), "tokens", "e0", "e1", "e2", "e3")).alias("s"),
@@ -367,10 +374,10 @@ class _Join:
         need = self.cut(wanted.select("doc_id").distinct(), "wanted")
         few = need.limit(MOST_SENT + 1).count() <= MOST_SENT
         schema = "u bigint, hashes binary"
-        found = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi").mapInArrow(set_rows, schema)
+        found = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi").mapInArrow(self.whole, schema)
         if need.where("doc_id IS NULL").isEmpty():
             return found
-        nameless = self.docs.where("doc_id IS NULL").dropDuplicates(["text"]).mapInArrow(set_rows, schema)
+        nameless = self.docs.where("doc_id IS NULL").dropDuplicates(["text"]).mapInArrow(self.whole, schema)
         return found.unionByName(nameless.dropDuplicates(["u"]))
 
     def links(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -408,9 +415,9 @@ class _Join:
         return None if links.isEmpty() else self.components(links)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``)."""
-    run = _Join(docs)
+    run = _Join(docs, width)
     rows, classes = run.sketches()
     labels = run.labels(classes)
     known = classes.select("u", "rep")
@@ -426,11 +433,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the least id, once.
 
     Rows with a null id stay if their component has no other; of equal rows one stays.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, width).where("kept").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))

@@ -11,6 +11,8 @@ from gleaner.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+#: Words of a shingle by op6's contract.
+OP6_WIDTH = 2
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), OP6_WIDTH)
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

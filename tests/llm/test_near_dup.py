@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gleaner.llm import near_dup
+from gleaner.llm.queries import op6_near_duplicates
 
 
 def exact_components(rows):
@@ -107,3 +109,38 @@ def test_classes_of_large_nodes_enter_further_trees(spark, monkeypatch):
     nodes, _ = near_dup.branch(near_dup.roots(0, trees), np.zeros(trees, int), tokens[None, :], near_dup.DEPTH)
     got = run.members(classes).collect()
     assert {r.node for r in got} == set(nodes.view(np.int64).tolist()) and all(r.size == 8 for r in got)
+
+
+def scattered():
+    base = [f"w{i}" for i in range(100)]
+    few, many = ([f"n{i}" if i in at else w for i, w in enumerate(base)] for at in ({50}, {10, 30, 50, 70, 90}))
+    return [(1, " ".join(base)), (2, " ".join(many)), (3, " ".join(few)), (4, "w0 w1 w2"), (5, "W0 W1  w2")]
+
+
+def test_stage_links_five_word_shingles(spark):
+    rows = scattered() + [(i + 100, t) for i, t in corpus() if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def runs(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    label, sets = list(range(len(rows))), [runs(t) for _, t in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    heads = {}
+    for (i, _), c, s in zip(rows, label, sets):
+        heads[c if s else -i - 1] = min(heads.get(c if s else -i - 1, i), i)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(heads.values())
+
+
+def test_op6_links_two_word_shingles(spark, tmp_path):
+    spark.createDataFrame(scattered(), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in op6_near_duplicates(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 99), 2: (1, 99), 3: (1, 99), 4: (4, 2), 5: (4, 2)}
