@@ -5,12 +5,16 @@ Domains come from the labelled table: ``toxic`` (toxic 1), ``poor`` (quality 0)
 posterior over the domains.  With ``n`` tokens and posterior ``p``, a document at rate ``r``
 adds ``n * r * p[d]`` expected tokens to domain ``d``.  Rates minimise
 
-    F(r) = 1/2 sum_d (A[d] - T[d])^2 / S[d],   A[d] = sum_i n_i r_i p_i[d],   r >= 0
+    F(r) = 1/2 sum_d (A[d] - T[d])^2 / S[d] + NEAR/2 sum_i n_i (r_i - 1)^2,   A[d] = sum_i n_i r_i p_i[d]
 
-by projected gradient steps from r = 1 in the metric of token counts, so that a step is
-``r <- max(0, r - p . (A - T) / S)``; ``S`` are the totals at rate 1.  An iteration reads the
-posteriors (a table of a few numbers a document) and sums one number a domain; the driver
-keeps the gradients alone, and each row replays them.
+over ``least_i <= r_i <= most``; ``S`` are the totals at rate 1.  The small second term picks,
+of all rates that meet the targets (or come as near as the bounds allow), those nearest to 1.
+A row that is in the anchored domain more likely than not has the bound ``least`` 1, all others 0;
+as it is part of the fit, the other rows make up for it, and copies follow the rates alone.
+The optimum has the form ``r = clip(1 - p . z)`` with one number ``z[d]`` a domain, found by
+Newton steps on the dual: an iteration reads the posteriors (a table of a few numbers a
+document) and sums ten numbers.  It ends when the dual's gradient is zero to ``TOLERANCE``,
+and says so if it does not.
 
 Null text counts as empty (no tokens; its rate follows its posterior and changes no total).
 Repeated rows each have a rate.  Without labels all mass is ``clean``.
@@ -18,6 +22,7 @@ Repeated rows each have a rate.  Without labels all mass is ``clean``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +41,11 @@ MAX_LABELLED = 8_000
 WEIGHTS = {"clean": 0.97, "poor": 0.02, "toxic": 0.01}
 ANCHOR = "clean"
 ITERATIONS, TOLERANCE = 40, 1e-4
-#: From this posterior of the anchor on, a row keeps one copy at least.
+#: Weight of the rates' distance from 1 beside that of the totals from their targets.
+NEAR = 1e-4
+#: Dual evaluations before the fit gives up, with a warning.
+EVALUATIONS = 200
+#: From this posterior of the anchor on, a row has a rate of 1 at least.
 CERTAIN = 0.5
 SYMBOLS = "#*$%&|!"
 
@@ -131,7 +140,7 @@ class Fit:
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR) -> Fit:
-    """Projected gradient over the table of posteriors."""
+    """Plain projected gradient from r = 1 with r >= 0 only; ``closest_rates`` is what the mix uses."""
     weights = weights or WEIGHTS
     of = lambda r: [r[f"a_{d}"] or 0.0 for d in DOMAINS]
     total = lambda rate: of(members.agg(*[F.sum(F.col("n_tokens") * rate * F.col(f"p_{d}")).alias(f"a_{d}") for d in DOMAINS]).first())
@@ -148,29 +157,95 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, ancho
     return Fit(gradients, dict(zip(DOMAINS, target)), dict(zip(DOMAINS, now)))
 
 
-def copies():
-    """How many copies of a row its rate gives: its whole part, and a hashed draw for the rest.
+def least_rate():
+    """The lower bound of a row's rate."""
+    return F.when(F.col(f"p_{ANCHOR}") >= CERTAIN, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    A row that is in the anchored domain more likely than not keeps one copy at least.
-    """
-    r = F.when(F.col(f"p_{ANCHOR}") >= CERTAIN, F.greatest("rate", F.lit(1.0))).otherwise(F.col("rate"))
+
+def rate_of(z: list[float], most: float):
+    """The rate of a row at the dual point ``z``."""
+    dot = " + ".join(f"p_{d} * {x!r}D" for d, x in zip(DOMAINS, map(float, z)))
+    return F.least(F.lit(float(most)), F.greatest(least_rate(), F.expr(f"1D - ({dot})")))
+
+
+@dataclass
+class Rates:
+    z: list[float]
+    targets: dict[str, float]
+    totals: dict[str, float]
+    #: The largest component of the dual's gradient, in tokens; zero at the optimum.
+    error: float
+
+
+def closest_rates(members: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR, most: float = float("inf")) -> Rates:
+    """The optimal rates between ``least_rate`` and ``most``, by damped Newton steps on the dual."""
+    weights, n, k = weights or WEIGHTS, F.col("n_tokens"), len(DOMAINS)
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their slope, and the rows' part of the dual."""
+        rate = F.col("rate")
+        rows = members.withColumn("rate", rate_of(list(z), most)).withColumn("dot", sum((c * float(x) for c, x in zip(p, z)), F.lit(0.0)))
+        free = ((rate > least_rate()) & (rate < most)).cast("double")
+        sums = [n * rate * c for c in p] + [n * free * p[i] * p[j] for i, j in pairs] + [n * (-F.col("dot") * rate - (rate - 1) * (rate - 1) / 2)]
+        found = [x or 0.0 for x in rows.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+        slope = np.zeros((k, k))
+        for (i, j), x in zip(pairs, found[k:-1]):
+            slope[i, j] = slope[j, i] = x
+        return np.array(found[:k]), slope, found[-1]
+
+    z = np.zeros(k)
+    now, slope, part = at(z)
+    start = now  # all rates are 1
+    budget = start[DOMAINS.index(anchor)] / weights[anchor]
+    target = np.array([budget * weights.get(d, 0.0) for d in DOMAINS])
+    here = start > 0
+    aim = np.where(here, target, 0.0)  # nothing can add to a domain without tokens
+    dual = lambda z, part: NEAR / 2 * (start * z * z).sum() + aim @ z + part
+    value, used = dual(z, part), 1
+    enough = TOLERANCE * 1e-2 * max(target.sum(), 1.0)
+    while True:
+        gradient = NEAR * start * z + aim - now
+        error = float(np.abs(gradient).max())
+        if error <= enough or used >= EVALUATIONS:
+            break
+        step = -np.linalg.lstsq(slope + NEAR * np.diag(start), gradient, rcond=None)[0]
+        size = 1.0
+        while used < EVALUATIONS:
+            now, slope, part = at(z + size * step)
+            used += 1
+            if dual(z + size * step, part) <= value + 1e-4 * size * (gradient @ step) + 1e-12 * abs(value):
+                break
+            size /= 2
+        z = z + size * step
+        value = dual(z, part)
+    if error > enough:
+        warnings.warn(f"The rates are not optimal: the dual's gradient is {error:.3g} tokens of {target.sum():.3g}", stacklevel=2)
+    return Rates([float(x) for x in z], dict(zip(DOMAINS, map(float, target))), dict(zip(DOMAINS, map(float, now))), error)
+
+
+def copies():
+    """How many copies of a row its rate gives: its whole part, and a hashed draw for the rest."""
+    r = F.col("rate")
     draw = F.pmod(F.xxhash64("row_key", F.lit("mix")), F.lit(1 << 24)) / float(1 << 24)
     return (F.floor(r) + (draw < r - F.floor(r)).cast("int")).cast("bigint")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Posteriors, ``rate`` and ``copies`` of each document."""
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, most: float = float("inf")) -> DataFrame:
+    """Posteriors, ``rate`` (``most`` at most) and ``copies`` of each document."""
     folder = shared_dir(docs.sparkSession)
     members = cut(posteriors(docs, fit_posterior(docs, labels)), folder, "posteriors")
-    fit = fit_rates(members, weights)
-    return members.withColumn("rate", replayed(fit.gradients)).withColumn("copies", copies())
+    fit = closest_rates(members, weights, most=most)
+    return members.withColumn("rate", rate_of(fit.z, most)).withColumn("copies", copies())
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix keeps, with their columns.
 
-    Rows whose copies come to none go; a row of a rate above one stays once, as the mix
-    is for a corpus without duplicates.  The join is on a hash of id and text.
+    Rows are kept or go, as the mix is for a corpus without duplicates; so rates are fitted
+    with 1 as their upper bound, and what is kept has the fitted totals in expectation.
+    The join is on a hash of id and text.
     """
-    chosen = mixed(docs, labels, weights).where("copies = 0").select(F.col("row_key").alias("gone_key")).distinct()
+    chosen = mixed(docs, labels, weights, most=1.0).where("copies = 0").select(F.col("row_key").alias("gone_key")).distinct()
     return docs.join(chosen, row_key() == F.col("gone_key"), "left_anti")

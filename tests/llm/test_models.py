@@ -130,3 +130,43 @@ def test_projected_gradient_equals_brute_force(spark):
         r = np.maximum(0, r - p @ (((n * r) @ p - target) / s))
     got = np.array([x[0] for x in df.select(mixing.replayed(fit.gradients)).collect()])
     assert np.allclose(np.sort(got), np.sort(r), atol=1e-6)
+
+
+def members_frame(spark, n, p):
+    rows = [(i, int(a), *map(float, b)) for i, (a, b) in enumerate(zip(n, p))]
+    return spark.createDataFrame(rows, "row_key long, n_tokens long, p_clean double, p_poor double, p_toxic double")
+
+
+@pytest.mark.parametrize("most", [float("inf"), 1.0])
+@pytest.mark.parametrize("weights", [{"clean": 0.5, "poor": 0.3, "toxic": 0.2}, {"clean": 0.9, "poor": 0.02, "toxic": 0.08}])
+def test_rates_are_optimal_within_their_bounds(spark, weights, most):
+    rng = np.random.default_rng(1)
+    p, n = rng.dirichlet([1, 0.4, 0.4], 60), rng.integers(1, 50, 60)
+    df = members_frame(spark, n, p)
+    fit = mixing.closest_rates(df, weights, most=most)
+    s, target, least = n @ p, np.array([fit.targets[d] for d in mixing.DOMAINS]), np.where(p[:, 0] >= 0.5, 1.0, 0.0)
+    loss = lambda r: (((n * r) @ p - target) ** 2 / s).sum() / 2
+    r = np.ones(60)
+    for _ in range(60_000):
+        r = np.clip(r - p @ (((n * r) @ p - target) / s), least, most)
+    got = np.array([x.rate for x in df.withColumn("rate", mixing.rate_of(fit.z, most)).orderBy("row_key").collect()])
+    assert (got >= least).all() and (got <= most).all() and fit.error <= 1e-6 * target.sum()
+    assert loss(got) <= loss(r) + 1e-3 * target.sum() * 1e-2
+    assert np.allclose([fit.totals[d] for d in mixing.DOMAINS], (n * got) @ p)
+
+
+def test_copies_and_kept_rows_have_the_fitted_totals(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p, n = rng.dirichlet([2, 0.5, 0.5], 20_000), rng.integers(20, 60, 20_000)
+    df = members_frame(spark, n, p)
+    monkeypatch.setattr(mixing, "fit_posterior", lambda *a: None)
+    monkeypatch.setattr(mixing, "posteriors", lambda *a: df)
+    for weights, most in (({"clean": 0.6, "poor": 0.22, "toxic": 0.18}, float("inf")), (None, 1.0)):
+        rows = mixing.mixed(df, None, weights, most).collect()
+        fit = mixing.closest_rates(df, weights, most=most)
+        for d in mixing.DOMAINS:
+            drawn = sum(r.n_tokens * r.copies * r[f"p_{d}"] for r in rows)
+            assert drawn == pytest.approx(fit.totals[d], rel=0.03)
+            if most > 1:
+                assert drawn == pytest.approx(fit.targets[d], rel=0.03)
+        assert most > 1 or max(r.copies for r in rows) == 1
