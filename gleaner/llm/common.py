@@ -35,6 +35,17 @@ def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``cut`` wrote, once no later plan reads it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def row_key():
+    """A hash of a row's id and text, for joins and for draws that don't depend on the plan."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+
+
 def whole_text(column: str = "text"):
     """A document's text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

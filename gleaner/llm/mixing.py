@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import nbsvm
-from gleaner.llm.common import batches, cut, shared_dir
+from gleaner.llm.common import batches, cut, row_key, shared_dir
 from gleaner.llm.features import REPEATED, SHARES, bounded_labels, labelled_rows, word_codes
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -118,11 +118,6 @@ def posteriors(docs: DataFrame, model: Posterior) -> DataFrame:
     return docs.select("doc_id", row_key().alias("row_key"), F.col("text").alias("text")).mapInArrow(run, schema)
 
 
-def row_key():
-    """A hash of a row's id and text, for joins and for draws that don't depend on the plan."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-
-
 def replayed(gradients: list[list[float]]):
     """The rate of a row after these gradients."""
     if not gradients:

@@ -12,14 +12,24 @@ more than ``SMALL`` classes branch on, three levels at a time down to ``DEPTH``;
 of such nodes also enter ``MORE_TREES`` further trees.  A class
 finds its nodes from its own tokens, so a level needs no shuffle; only node sizes do.
 
-*Comparing nodes.*  Within a node all classes are compared by size and a four-bit sketch of
-the tokens; this leaves groups of classes that could be linked, often the same from many nodes,
-of which each is taken once.  Groups with the same least class travel together, so that a
-class's full set of hashed shingles goes out once for all of them; where their sets are more than
-``CHUNK`` shingles, they are dealt to several chunks.  A group is then compared exhaustively on
-full sets, but for classes that are linked already, and each class is returned with the least
-that its links lead to.  So rows grow with the number of classes, never with pairs.  Nodes that are still
-larger than ``BLOCK`` at the last depth are compared block by block.  Nothing is capped or dropped.
+*Contraction.*  A large group of near copies would meet in every tree.  So before all trees are
+searched, a few (``FIRST_TREES``) serve ``ROUNDS`` rounds in which each class is compared, on full
+sets, with one class: the least, by a hash of the round, of those that its nodes put forward and
+that are of another component.  Linked classes are contracted to a component.  All nodes
+that then lie in one component are left out, in the full search as well: nothing can be found there.
+Rounds only spare work; no class and no pair of components is given up by them.
+
+*Comparing nodes.*  Within a node classes of different components are compared by size and a four-bit
+sketch of the tokens.  Classes that could be linked form groups, and a group goes to its
+*home*, the component with most of its classes, each class once however many nodes
+found it.  At the home a class of another component is compared with all that is there on full sets, while
+the home's own classes aren't compared with each other; so these can be dealt to chunks of
+``CHUNK`` shingles, to each of which the others go.  Nodes that are still larger than ``SMALL`` at
+the last depth are dealt to blocks in the same way.  Nothing is capped or dropped.
+
+What is sent grows with the number of classes times the homes that they could belong to, and for one home
+with (classes of other components) * (chunks of its own).  That product is the quadratic rest: it
+is large only where very many classes are alike by sketch and yet not linked.
 
 All trees draw from the same tokens, so they are independent only given how many of them
 agree, which is Binomial(POSITIONS, 0.8) for a pair of similarity 0.8.  Summed over that, the
@@ -29,7 +39,8 @@ of links will do.  ``exact_components`` in the tests is the brute force that thi
 
 Null or wordless texts have an empty set and are linked with nothing.  Rows with a null id
 take part but name no component; a component with null ids only has a null id and its rows
-are kept.  Repeated rows fall into one class.  Shingles are
+are kept.  Repeated rows fall into one class.  Very long texts are sets like others; an empty table
+gives an empty result; further columns, whatever their names, are not read.  Shingles are
 compared, and whole sets keyed, by 64-bit hashes.
 """
 
@@ -44,9 +55,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import batches, cut, mix64, shared_dir
+from gleaner.llm.common import batches, cut, dropped, first_free, mix64, row_key, shared_dir
 
-POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 128
+POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 512
+#: Trees and rounds of the contraction that goes before the full search.
+FIRST_TREES, ROUNDS = 4, 3
 LEAST_PERCENT = 80
 #: Words of a shingle, unless a caller's contract says otherwise.
 WIDTH = 5
@@ -54,9 +67,8 @@ WIDTH = 5
 SKETCH = 64
 #: Tokens of a sketch's 64 that must agree for a pair to be confirmed: at 0.8 fewer agree once in a million.
 LEAST_AGREE = 34
-BLOCK = 512
-#: Shingles of the sets that are held at once for groups with the same least class.
-CHUNK = 1 << 17
+#: Shingles of a home's own sets that are held at once, with ``CLASS_COST`` added for each class.
+CHUNK, CLASS_COST = 1 << 18, 64
 #: Ids up to this many go out with the tasks that fetch texts; more are joined by a shuffle.
 MOST_SENT = 200_000
 
@@ -97,14 +109,15 @@ def set_key(hashes: np.ndarray) -> int:
 def tokens_of(hashes: np.ndarray) -> np.ndarray:
     """The minwise token of each position, 16 bits."""
     low = np.full(POSITIONS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(hashes), 512):
-        part = hashes[None, i : i + 512] * _A[:, None] + _B[:, None]
+    for i in range(0, len(hashes), 256):
+        part = np.multiply.outer(_A, hashes[i : i + 256])
+        part += _B[:, None]
         np.minimum(low, part.min(axis=1), out=low)
     return (mix64(low) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketch_rows(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Arrow map ``(doc_id, text)`` to ``(doc_id, n_shingles, u, tokens, e0..e3)``."""
+    """Arrow map ``(doc_id, text, row)`` to ``(doc_id, row, n_shingles, u, tokens, e0..e3)``."""
     place = (np.arange(SKETCH, dtype=np.uint64) % np.uint64(16)) * np.uint64(4)
     for batch in batches(frames, 1024):
         sizes, keys, packed, nibbles = [], [], [], []
@@ -118,8 +131,8 @@ def sketch_rows(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             nibbles.append(np.bitwise_or.reduce(four.reshape(4, 16), axis=1).view(np.int64))
         e = np.array(nibbles, np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), *(pa.array(e[:, i]) for i in range(4))],
-            names=["doc_id", "n_shingles", "u", "tokens", "e0", "e1", "e2", "e3"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), *(pa.array(e[:, i]) for i in range(4))],
+            names=["doc_id", "row", "n_shingles", "u", "tokens", "e0", "e1", "e2", "e3"],
         )
 
 
@@ -143,23 +156,23 @@ def branch(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, levels: int) -
 
 
 def _paths(levels: int, trees: tuple[int, int] | None = None):
-    """Arrow map to ``(node, u)``: of ``(u, tokens)`` from the roots of trees, or of ``(u, tokens, node)``."""
+    """Arrow map to ``(node, u, comp)``: of ``(u, comp, tokens)`` from the roots of trees, or of ``(u, comp, tokens, node)``."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 n = part.num_rows
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(n, POSITIONS)
+                keys, comps = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(n, POSITIONS)
                 if trees:
                     node = np.repeat(roots(*trees), n)
                     row = np.tile(np.arange(n), trees[1] - trees[0])
                 else:
-                    node = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    node = part.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                     row = np.arange(n)
                 node, row = branch(node, row, tokens, levels)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(keys[row])], names=["node", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(keys[row]), pa.array(comps[row])], names=["node", "u", "comp"])
 
     return run
 
@@ -182,35 +195,43 @@ def whole_groups(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[
             new[1:] |= column[1:] != column[:-1]
         return [0, *np.flatnonzero(new).tolist()]
 
-    held = None
+    held: list[pa.RecordBatch] = []  # what the last group has so far, all of one key
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in frames:
         if not batch.num_rows:
             continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if held and all(held[0].column(k)[0].equals(batch.column(k)[batch.num_rows - 1]) for k in range(keys)):
+            held.append(batch)
+            continue
+        held.append(batch)
+        batch = joined()
         starts = bounds(batch)
         if starts[-1]:
-            yield batch.slice(0, starts[-1]), starts
-        held = batch.slice(starts[-1])
-    if held is not None:
-        yield held, [0, held.num_rows]
+            yield batch.slice(0, starts[-1]), starts[:-1]
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield joined(), [0]
 
 
-def groups_of(size: np.ndarray, nibbles: np.ndarray) -> list[np.ndarray]:
-    """Connected groups of two rows or more whose sizes and sketches allow the threshold."""
-    z = nibbles[:, None, :] ^ nibbles[None, :, :]
+def alike(e: np.ndarray, n: np.ndarray, comp: np.ndarray, rows: slice) -> np.ndarray:
+    """Which of ``rows`` could be linked with which others of other components, by size and sketch."""
+    z = e[rows, None, :] ^ e[None, :, :]
     z |= z >> np.uint64(1)
     z |= z >> np.uint64(2)
     differ = np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
     near = differ <= SKETCH - LEAST_AGREE
-    near &= 100 * np.minimum(size[:, None], size) >= LEAST_PERCENT * np.maximum(size[:, None], size)
-    np.fill_diagonal(near, False)
-    if not near.any():
-        return []
-    np.fill_diagonal(near, True)
-    label = np.arange(len(size))
+    near &= 100 * np.minimum(n[rows, None], n) >= LEAST_PERCENT * np.maximum(n[rows, None], n)
+    return near & (comp[rows, None] != comp)
+
+
+def groups_of(n: np.ndarray, e: np.ndarray, comp: np.ndarray, step: int = 512) -> list[np.ndarray]:
+    """Connected groups of rows of different components that could be linked."""
+    label = np.arange(len(n))
     while True:
-        new = np.where(near, label, len(size)).min(axis=1)
+        new = label.copy()
+        for i in range(0, len(n), step):
+            near = alike(e, n, comp, slice(i, i + step))
+            new[i : i + step] = np.minimum(new[i : i + step], np.where(near, label, len(n)).min(axis=1))
         if (new == label).all():
             break
         label = new
@@ -219,137 +240,224 @@ def groups_of(size: np.ndarray, nibbles: np.ndarray) -> list[np.ndarray]:
     return [part for part in parts if len(part) > 1]
 
 
+def home_of(comps: np.ndarray) -> int:
+    """The component with most classes of a group, the least among equals."""
+    found, counts = np.unique(comps, return_counts=True)
+    return int(found[counts.argmax()])
+
+
 def group_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map of ``(node, i, j, u, n, e0..e3)``, sorted, to the groups ``(home, gid, members)``."""
-    for batch, starts in whole_groups(frames, 3):
-        u, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+    """Arrow map of ``(node, block, u, comp, n, e0..e3)``, sorted, to ``(home, u, comp, n)``."""
+    for batch, starts in whole_groups(frames, 2):
+        u, comp, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
         e = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9)], axis=1).view(np.uint64)
-        homes, gids, rows = [], [], []
+        found = {}
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
-            for part in groups_of(n[lo:hi], e[lo:hi]) if hi - lo > 1 else ():
-                part = lo + part[np.argsort(u[lo:hi][part])]
-                homes.append(int(u[part[0]]))
-                gids.append(xxhash.xxh3_64_intdigest(u[part].tobytes()) >> 1)
-                rows.append(part)
-        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-        members = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(u[at]), pa.array(n[at])], names=["u", "n"]))
-        yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(gids, pa.int64()), members], names=["home", "gid", "members"])
-
-
-def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets ``rows`` with all ``sets``."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = counts > 1
-    shared = often[column]
-    owner, column = owner[shared], (np.cumsum(often) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out, width = np.zeros((len(rows), len(sets))), max(256, (1 << 20) // len(sets))
-    for low in range(0, int(often.sum()), width):
-        a, b = np.searchsorted(column, [low, low + width])
-        held = np.zeros((len(sets), width), np.float32)
-        held[owner[a:b], column[a:b] - low] = 1
-        out += held[rows] @ held.T
-    return out
-
-
-def links_of(keys: list[int], sets: list[np.ndarray], groups: list[list[int]]) -> list[tuple[int, int]]:
-    """Each class that has links in the groups, with the least class that links lead to.
-
-    Full sets are compared exhaustively.  Chunks that hold the same classes so return the same rows.
+            for part in groups_of(n[lo:hi], e[lo:hi], comp[lo:hi]) if hi - lo > 1 else ():
+                home = home_of(comp[lo + part])
+                found.update(((home, int(u[i])), i) for i in lo + part)
+        at = np.fromiter(found.values(), np.int64, len(found))
+        homes = pa.array([home for home, _ in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([homes, pa.array(u[at]), pa.array(comp[at]), pa.array(n[at])], names=["home", "u", "comp", "n"])
+
+
+def links_of(comps: np.ndarray, sets: list[np.ndarray], everywhere: np.ndarray) -> list[tuple[int, int]]:
+    """``(component, least component)`` for each component that full sets link to a lesser one.
+
+    Sets marked ``everywhere`` are compared with all sets of other components; the others,
+    which are of one component or meet elsewhere, only with those.
     """
-    root = list(range(len(keys)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for group in sorted(groups, key=len):
-        roots = np.array([find(x) for x in group])
-        most = np.bincount(roots).argmax()
-        rows = np.flatnonzero(roots != most)
-        if not len(rows):
+    starts = np.cumsum([0, *map(len, sets)])
+    size, starts = np.diff(starts), starts[:-1]
+    held = np.concatenate(sets)
+    names, label = np.unique(comps, return_inverse=True)
+    for i in np.flatnonzero(everywhere):
+        other = label != label[i]
+        other &= 100 * np.minimum(size, size[i]) >= LEAST_PERCENT * np.maximum(size, size[i])
+        if not other.any():
             continue
-        size = np.array([len(sets[x]) for x in group])
-        both = overlaps([sets[x] for x in group], rows)
-        linked = 100 * both >= LEAST_PERCENT * (size[rows][:, None] + size - both)
-        for i, j in zip(*np.nonzero(linked & (roots[rows][:, None] != roots))):
-            x, y = find(group[rows[i]]), find(group[j])
-            if x != y:
-                root[x] = y
-    least: dict[int, int] = {}
-    for x, key in enumerate(keys):
-        top = find(x)
-        least[top] = min(least.get(top, key), key)
-    return [(key, least[find(x)]) for x, key in enumerate(keys) if key != least[find(x)]]
+        if other.sum() * 4 < len(sets):
+            at = np.flatnonzero(other)
+            both = np.array([overlap(sets[i], sets[k]) for k in at])
+        else:
+            at = slice(None)
+            both = np.add.reduceat(inside(held, sets[i]), starts, dtype=np.int64)
+        near = other[at] & (100 * both >= LEAST_PERCENT * (size[i] + size[at] - both))
+        met = np.unique(np.append(label[at][near], label[i]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    least = names[label]
+    return sorted({(int(a), int(b)) for a, b in zip(comps, least) if a != b})
+
+
+def inside(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_set, values)
+    at[at == len(sorted_set)] = 0
+    return sorted_set[at] == values
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    return int(inside(a, b).sum())
 
 
 def link_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map of ``(home, chunk, u, gids, hashes)``, sorted, to links ``(a, b)``."""
+    """Arrow map of ``(home, chunk, u, comp, everywhere, hashes)``, sorted, to links ``(a, b)`` of components."""
     for batch, starts in whole_groups(frames, 2):
-        links = []
+        links: set[tuple[int, int]] = set()
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
-            part, place, sets, groups = batch.slice(lo, hi - lo), {}, [], {}
-            for u, gids, hashes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4)):
-                if u not in place:  # a repeated id can bring its class again
-                    for gid in gids:
-                        groups.setdefault(gid, []).append(len(place))
-                    place[u] = len(place)
-                    sets.append(np.frombuffer(hashes.as_buffer(), np.uint64))
-            links += links_of(list(place), sets, list(groups.values()))
-        ends = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
+            part = batch.slice(lo, hi - lo)
+            _, first = np.unique(part.column(2).to_numpy(zero_copy_only=False), return_index=True)  # a repeated id can bring its class again
+            comps, everywhere = (part.column(k).to_numpy(zero_copy_only=False)[first] for k in (3, 4))
+            packed = part.column(5)
+            links.update(links_of(comps, [np.frombuffer(packed[int(i)].as_buffer(), np.uint64) for i in first], everywhere))
+        rows = sorted(links)
+        ends = [pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
 
+def _alike(a: str, b: str):
+    """The test by size and sketch, of two structs with ``n, e0..e3``, as a column."""
+    n = [F.col(f"{x}.n") for x in (a, b)]
+    differ = F.lit(0)
+    for k in range(4):
+        z = F.col(f"{a}.e{k}").bitwiseXOR(F.col(f"{b}.e{k}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return (differ <= SKETCH - LEAST_AGREE) & (100 * F.least(*n) >= LEAST_PERCENT * F.greatest(*n))
+
+
 class _Join:
-    """One run of the join; its tables lie in a folder of their own."""
+    """One run of the join; its tables lie in a folder of their own and go when they are used up."""
 
     def __init__(self, docs: DataFrame, width: int = WIDTH):
         self.sketched, self.whole = partial(sketch_rows, width=width), partial(set_rows, width=width)
         self.docs = docs.select("doc_id", F.col("text"))
         self.spark, self.folder, self.serial = docs.sparkSession, shared_dir(docs.sparkSession), 0
+        self.held: list[str] = []
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, stays: bool = False) -> DataFrame:
         self.serial += 1
-        return cut(df, self.folder, f"{self.serial:03d}-{name}")
+        name = f"{self.serial:03d}-{name}"
+        if not stays:
+            self.held.append(name)
+        return cut(df, self.folder, name)
+
+    def release(self, mark: int) -> None:
+        """Deletes the tables written since ``mark`` that are not to stay."""
+        for name in self.held[mark:]:
+            dropped(self.spark, f"{self.folder}/{name}")
+        del self.held[mark:]
+
+    @staticmethod
+    def sent(df: DataFrame) -> DataFrame:
+        """``df``, a table of ids, marked for broadcast if it is counted to be small."""
+        return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
 
     def sketches(self) -> tuple[DataFrame, DataFrame]:
         """All rows with their class, and one row a class."""
-        kind = self.docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, n_shingles bigint, u bigint, tokens binary, e0 bigint, e1 bigint, e2 bigint, e3 bigint"
-        rows = self.cut(self.docs.mapInArrow(self.sketched, schema), "sketches")
-        one = rows.where("u IS NOT NULL").groupBy("u").agg(
+        kind, mark = self.docs.schema["doc_id"].dataType.simpleString(), len(self.held)
+        schema = f"doc_id {kind}, row bigint, n_shingles bigint, u bigint, tokens binary, e0 bigint, e1 bigint, e2 bigint, e3 bigint"
+        made = self.cut(self.docs.withColumn("row", row_key()).mapInArrow(self.sketched, schema), "sketches")
+        one = made.where("u IS NOT NULL").groupBy("u").agg(
             F.min("doc_id").alias("rep"),
             F.first(F.struct(F.col("n_shingles").alias("n"), "tokens", "e0", "e1", "e2", "e3")).alias("s"),
         )
-        return rows, self.cut(one.select("u", "rep", "s.*"), "classes")
+        classes = self.cut(one.select("u", "rep", "s.*"), "classes", stays=True)
+        rows = self.cut(made.select("doc_id", "row", "n_shingles", "u"), "rows", stays=True)
+        self.release(mark)
+        return rows, classes
 
-    def members(self, classes: DataFrame) -> DataFrame:
-        """``(node, size, u)`` for the nodes that are compared, each of two classes or more."""
-        def meeting(rows: DataFrame, name: str) -> DataFrame:
-            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-            return self.cut(rows.join(sizes, "node"), name)
+    def sets(self, classes: DataFrame, held: DataFrame) -> DataFrame:
+        """``(u, hashes)`` of the classes in ``held``."""
+        wanted = classes.select("u", F.col("rep").alias("doc_id")).join(held.select("u").distinct(), "u")
+        need = self.cut(wanted.select("doc_id").distinct(), "wanted")
+        schema = "u bigint, hashes binary"
+        found = self.docs.join(self.sent(need), "doc_id", "left_semi").mapInArrow(self.whole, schema)
+        if need.where("doc_id IS NULL").isEmpty():
+            return found
+        nameless = self.docs.where("doc_id IS NULL").dropDuplicates(["text"]).mapInArrow(self.whole, schema)
+        return found.unionByName(nameless.dropDuplicates(["u"]))
+
+    def compared(self, classes: DataFrame, held: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` of components found in the homes ``held``: ``(home, u, comp, n, everywhere)``.
+
+        Classes that are not ``everywhere`` are dealt to the chunks of their home, the others go to all.
+        """
+        held = self.cut(held, "held")
+        weight = F.sum(F.col("n") + CLASS_COST)
+        large = held.where("NOT everywhere").groupBy("home").agg(F.ceil(weight / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+        dealt = held.join(self.sent(self.cut(large, "large")), "home", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        own = F.array(F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
+        chunk = F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own))
+        dealt = dealt.select("home", chunk.alias("chunk"), "u", "comp", "everywhere")
+        rows = dealt.join(self.sets(classes, held), "u").select("home", "chunk", "u", "comp", "everywhere", "hashes")
+        rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
+        return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint").distinct(), "links")
 
-        kind, tokens = "node bigint, u bigint", classes.select("u", "tokens")
-        met = meeting(tokens.mapInArrow(_paths(3, (0, TREES)), kind), "depth3")
+    def with_component(self, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """``classes`` with ``comp``, a class that has no links being its own."""
+        if comps is None:
+            return classes.withColumn("comp", F.col("u"))
+        return classes.join(self.sent(comps), "u", "left").withColumn("comp", F.coalesce("comp", "u"))
+
+    def joined(self, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+        """The components ``(u, comp)`` after ``links`` of components."""
+        merged = self.components(links).select(F.col("u").alias("was"), F.col("label").alias("now"))
+        if comps is None:
+            return merged.select(F.col("was").alias("u"), F.col("now").alias("comp"))
+        old = comps.join(merged, comps["comp"] == merged["was"], "left").select("u", F.coalesce("now", "comp").alias("comp"))
+        return old.unionByName(merged.select(F.col("was").alias("u"), F.col("now").alias("comp"))).dropDuplicates(["u"])
+
+    def contracted(self, classes: DataFrame) -> DataFrame | None:
+        """Components ``(u, comp)`` of the classes that some round links; None if none does."""
+        comps, start = None, len(self.held)
+        first = self.meeting(classes.withColumn("comp", F.col("u")).select("u", "comp", "tokens").mapInArrow(_paths(3, (0, FIRST_TREES)), "node bigint, u bigint, comp bigint"), "first")
+        first = first.select("node", "u")
+        for turn in range(ROUNDS):
+            mark = len(self.held)
+            own = F.struct("u", "comp", "n", "e0", "e1", "e2", "e3").alias("own")
+            rows = first.join(self.with_component(classes, comps).select("u", own), "u").select("node", "own")
+            order = F.xxhash64("own.u", F.lit(turn))
+            tops = rows.groupBy("node").agg(F.min_by("own", order).alias("top"), F.min("own.comp").alias("lo"), F.max("own.comp").alias("hi"))
+            near = rows.join(tops.where("lo <> hi").select("node", "top"), "node").where("own.comp <> top.comp").where(_alike("own", "top"))
+            chosen = near.groupBy(F.col("own.u").alias("u")).agg(F.min_by(F.struct("own", "top"), F.xxhash64("top.u", F.lit(turn))).alias("c"))
+            pairs = self.cut(chosen.select(F.col("c.top").alias("top"), F.col("c.own").alias("own")), "pairs")
+            if pairs.isEmpty():
+                break
+            sides = [pairs.select(F.col("top.u").alias("home"), f"{x}.u", f"{x}.comp", f"{x}.n", F.lit(x == "top").alias("everywhere")) for x in ("top", "own")]
+            links = self.compared(classes, sides[0].distinct().unionByName(sides[1]))
+            if links.isEmpty():
+                self.release(mark)
+                break
+            comps = self.cut(self.joined(comps, links), f"comps{turn}", stays=True)
+            self.release(mark)
+        self.release(start)
+        return comps
+
+    def meeting(self, rows: DataFrame, name: str) -> DataFrame:
+        """Of ``(node, u, comp)`` those of nodes with more than one component, with the node's size."""
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return self.cut(rows.join(sizes.where("lo <> hi").select("node", "size"), "node"), name)
+
+    def members(self, classes: DataFrame) -> DataFrame:
+        """``(node, u, comp, size)`` for the nodes that are compared, each of two components or more."""
+        kind, tokens = "node bigint, u bigint, comp bigint", classes.select("u", "comp", "tokens")
+        met = self.meeting(tokens.mapInArrow(_paths(3, (0, TREES)), kind), "depth3")
         crowded = met.where(F.col("size") > SMALL).select("u").distinct()
         if MORE_TREES and not crowded.isEmpty():
-            further = tokens.join(crowded, "u").select("u", "tokens")
-            met = met.unionByName(meeting(further.mapInArrow(_paths(3, (TREES, TREES + MORE_TREES)), kind), "further3"))
+            further = tokens.join(crowded, "u").select("u", "comp", "tokens")
+            met = met.unionByName(self.meeting(further.mapInArrow(_paths(3, (TREES, TREES + MORE_TREES)), kind), "further3"))
         parts, depth = [], 3
         while True:
             large = met.where(F.col("size") > SMALL)
             if depth >= DEPTH or large.isEmpty():
                 return self._union(parts, met)
             parts.append(met.where(F.col("size") <= SMALL))
-            deeper = large.join(tokens, "u").select("u", "tokens", "node")
+            deeper = large.select("node", "u").join(tokens, "u").select("u", "comp", "tokens", "node")
             deeper = deeper.repartition("u", "node")  # a class of many large nodes branches in many tasks
             depth += 3
-            met = meeting(deeper.mapInArrow(_paths(3), kind), f"depth{depth}")
+            met = self.meeting(deeper.mapInArrow(_paths(3), kind), f"depth{depth}")
 
     @staticmethod
     def _union(parts: list[DataFrame], last: DataFrame) -> DataFrame:
@@ -357,43 +465,25 @@ class _Join:
             last = last.unionByName(p)
         return last
 
-    def groups(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """``(home, gid, members)``: the distinct groups of classes that nodes hold to be alike."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = members.join(classes.select("u", "n", "e0", "e1", "e2", "e3"), "u")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("u"), blocks).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "n", "e0", "e1", "e2", "e3")
-        dealt = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-        found = dealt.mapInArrow(group_rows, "home bigint, gid bigint, members array<struct<u: bigint, n: bigint>>")
-        return self.cut(found.dropDuplicates(["gid"]), "groups")
-
-    def sets(self, classes: DataFrame, held: DataFrame) -> DataFrame:
-        """``(u, hashes)`` of the classes that stand in groups."""
-        wanted = classes.select("u", F.col("rep").alias("doc_id")).join(held.select("u").distinct(), "u")
-        need = self.cut(wanted.select("doc_id").distinct(), "wanted")
-        few = need.limit(MOST_SENT + 1).count() <= MOST_SENT
-        schema = "u bigint, hashes binary"
-        found = self.docs.join(F.broadcast(need) if few else need, "doc_id", "left_semi").mapInArrow(self.whole, schema)
-        if need.where("doc_id IS NULL").isEmpty():
-            return found
-        nameless = self.docs.where("doc_id IS NULL").dropDuplicates(["text"]).mapInArrow(self.whole, schema)
-        return found.unionByName(nameless.dropDuplicates(["u"]))
-
-    def links(self, classes: DataFrame, groups: DataFrame) -> DataFrame:
-        """``(a, b)`` that span the components of each chunk of groups, compared on full sets."""
-        each = groups.select("home", F.explode("members").alias("m")).select("home", "m.*")
-        held = self.cut(each.groupBy("home", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")), "held")
-        homes = held.groupBy("home").agg(F.sum("n").alias("once"), F.sum(F.col("n") * F.col("times")).alias("all"))
-        large = self.cut(homes.where(F.col("once") > CHUNK).select("home", F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "large")
-        few = large.limit(MOST_SENT + 1).count() <= MOST_SENT
-        dealt = groups.join(F.broadcast(large) if few else large, "home", "left")
-        chunk = F.pmod(F.xxhash64("gid"), F.coalesce("chunks", F.lit(1))).cast("int")
-        sent = dealt.select("home", chunk.alias("chunk"), "gid", F.explode("members.u").alias("u"))
-        sent = sent.groupBy("home", "chunk", "u").agg(F.collect_list("gid").alias("gids"))
-        rows = sent.join(self.sets(classes, held), "u").select("home", "chunk", "u", "gids", "hashes")
-        rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
-        return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint").distinct(), "links")
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """``(node, block, u, comp)``: large nodes' main components are dealt to blocks, to all of which the rest goes."""
+        whole = members.where(F.col("size") <= SMALL).select("node", F.lit(0).alias("block"), "u", "comp")
+        large = members.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            return whole
+        counts = large.groupBy("node", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        main = counts.groupBy("node").agg(F.max_by("comp", F.struct("n", F.negative("comp"))).alias("main"), F.ceil(F.first("size") / SMALL).cast("int").alias("blocks"))
+        dealt = large.select("node", "u", "comp").join(main, "node")
+        own = F.array(F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+        block = F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return whole.unionByName(dealt.select("node", block.alias("block"), "u", "comp"))
+
+    def homes(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """``(home, u, comp, n, everywhere)``: the classes that nodes hold to be alike, once at each home."""
+        rows = self.blocks(members).join(classes.select("u", "n", "e0", "e1", "e2", "e3"), "u")
+        rows = rows.select("node", "block", "u", "comp", "n", "e0", "e1", "e2", "e3")
+        found = rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(group_rows, "home bigint, u bigint, comp bigint, n bigint")
+        return found.groupBy("home", "u").agg(F.first("comp").alias("comp"), F.first("n").alias("n")).withColumn("everywhere", F.col("comp") != F.col("home"))
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``(u, label)``, the least key reachable, for the ends of edges; doubling label propagation."""
@@ -410,25 +500,32 @@ class _Join:
                 return labels
 
     def labels(self, classes: DataFrame) -> DataFrame | None:
-        """Component labels of the classes that have links; None without links."""
-        links = self.links(classes, self.groups(self.members(classes), classes))
-        return None if links.isEmpty() else self.components(links)
+        """Components ``(u, comp)`` of the classes that have links; None without links."""
+        comps = self.contracted(classes)
+        known = self.with_component(classes, comps)
+        links = self.compared(classes, self.homes(self.members(known), classes))
+        if not links.isEmpty():
+            comps = self.cut(self.joined(comps, links), "comps", stays=True)
+        self.release(0)
+        return comps
+
+
+def linked_rows(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, row, n_shingles, u, comp`` of each row; ``u`` and ``comp`` are null for empty sets."""
+    run = _Join(docs, width)
+    rows, classes = run.sketches()
+    comps = run.labels(classes)
+    if comps is None:
+        return rows.withColumn("comp", F.col("u"))
+    return rows.join(comps, "u", "left").select("doc_id", "row", "n_shingles", "u", F.coalesce("comp", "u").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``)."""
-    run = _Join(docs, width)
-    rows, classes = run.sketches()
-    labels = run.labels(classes)
-    known = classes.select("u", "rep")
-    if labels is None:
-        ids = known.select("u", F.col("rep").alias("found"))
-    else:
-        named = known.join(labels, "u", "left").withColumn("label", F.coalesce("label", "u"))
-        least = named.groupBy("label").agg(F.min("rep").alias("found"))
-        ids = named.join(least, "label").select("u", "found")
-    out = rows.select("doc_id", "n_shingles", "u").join(ids, "u", "left")
-    component = F.when(F.col("u").isNull(), F.col("doc_id")).otherwise(F.col("found"))
+    rows = linked_rows(docs, width)
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("found"))
+    out = rows.join(least, "comp", "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("found"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
@@ -436,8 +533,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the least id, once.
 
-    Rows with a null id stay if their component has no other; of equal rows one stays.
+    A row with a null id stays only if its component has no named one.  Where an id is
+    repeated, the row of the least hash of id and text stays.  Rows of empty sets stay, equal ones once.
     """
-    kept = near_duplicates(docs, width).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    rows = linked_rows(docs, width)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min_by("row", order).alias("kept_row")).select("kept_row")
+    kept = first.unionByName(rows.where("comp IS NULL").select(F.col("row").alias("kept_row"))).distinct()
+    key = first_free(docs.columns, "row")
+    found = docs.withColumn(key, row_key()).join(kept, F.col(key) == F.col("kept_row"), "left_semi")
+    return found.dropDuplicates([key]).drop(key)

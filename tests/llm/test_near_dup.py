@@ -53,7 +53,6 @@ def corpus(seed=3):
 @pytest.mark.parametrize("small", [128, 3])
 def test_components_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(near_dup, "SMALL", small)
-    monkeypatch.setattr(near_dup, "BLOCK", 4 * small)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS u", "1 AS node")
     got = near_dup.near_duplicates(df).collect()
@@ -103,7 +102,7 @@ def test_pairs_at_the_threshold_meet_at_the_last_depth():
 def test_classes_of_large_nodes_enter_further_trees(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 3)
     tokens = np.arange(near_dup.POSITIONS).astype(np.uint16)
-    classes = spark.createDataFrame([(i, bytearray(tokens.tobytes())) for i in range(8)], "u long, tokens binary")
+    classes = spark.createDataFrame([(i, i, bytearray(tokens.tobytes())) for i in range(8)], "u long, comp long, tokens binary")
     run = near_dup._Join(spark.createDataFrame([], "doc_id long, text string"))
     trees = near_dup.TREES + near_dup.MORE_TREES
     nodes, _ = near_dup.branch(near_dup.roots(0, trees), np.zeros(trees, int), tokens[None, :], near_dup.DEPTH)
