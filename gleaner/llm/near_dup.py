@@ -19,6 +19,10 @@ that are of another component.  Linked classes are contracted to a component.  A
 that then lie in one component are left out, in the full search as well: nothing can be found there.
 Rounds only spare work; no class and no pair of components is given up by them.
 
+*Heavy components.*  A component of ``HEAVY`` classes or more enters a node once, however many of its classes
+reach it; only where a node has too many members do its classes branch on one by one.  What shares a
+node with a heavy component is compared by sketch with all of that component's classes, once.
+
 *Comparing nodes.*  Within a node classes of different components are compared by size and a four-bit
 sketch of the tokens.  Classes that could be linked form groups, and a group goes to its
 *home*, the component with most of its classes, each class once however many nodes
@@ -59,7 +63,9 @@ from gleaner.llm.common import batches, cut, dropped, first_free, mix64, row_key
 
 POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 512
 #: Trees and rounds of the contraction that goes before the full search.
-FIRST_TREES, ROUNDS = 4, 3
+FIRST_TREES, ROUNDS = 4, 2
+#: Classes from which on a component stands as one in the nodes that its classes reach.
+HEAVY = 64
 LEAST_PERCENT = 80
 #: Words of a shingle, unless a caller's contract says otherwise.
 WIDTH = 5
@@ -69,6 +75,8 @@ SKETCH = 64
 LEAST_AGREE = 34
 #: Shingles of a home's own sets that are held at once, with ``CLASS_COST`` added for each class.
 CHUNK, CLASS_COST = 1 << 18, 64
+#: Sketches of a heavy component that are held at once.
+SKETCHES = 4096
 #: Ids up to this many go out with the tasks that fetch texts; more are joined by a shuffle.
 MOST_SENT = 200_000
 
@@ -247,18 +255,45 @@ def home_of(comps: np.ndarray) -> int:
 
 
 def group_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map of ``(node, block, u, comp, n, e0..e3)``, sorted, to ``(home, u, comp, n)``."""
+    """Arrow map of ``(node, block, u, comp, heavy, n, e0..e3)``, sorted, to ``(home, u, comp, n, light)``.
+
+    ``light`` rows are of groups that sketches found.  The others are to be compared with a heavy
+    home; ``u`` is a class or, for a heavy component, that component.
+    """
     for batch, starts in whole_groups(frames, 2):
-        u, comp, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-        e = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5, 9)], axis=1).view(np.uint64)
+        u, comp, heavy, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
+        e = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6, 10)], axis=1).view(np.uint64)
         found = {}
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
-            for part in groups_of(n[lo:hi], e[lo:hi], comp[lo:hi]) if hi - lo > 1 else ():
-                home = home_of(comp[lo + part])
-                found.update(((home, int(u[i])), i) for i in lo + part)
+            at = lo + np.flatnonzero(~heavy[lo:hi])
+            for part in groups_of(n[at], e[at], comp[at]) if len(at) > 1 else ():
+                home = home_of(comp[at[part]])
+                found.update(((home, int(u[i])), i) for i in at[part])
+            mains = sorted(u[lo:hi][heavy[lo:hi]].tolist())
+            for k, home in enumerate(mains):
+                found.update(((home, int(u[i])), i) for i in at if comp[i] != home)
+                found.update(((home, int(u[i])), i) for i in range(lo, hi) if heavy[i] and u[i] > home)
         at = np.fromiter(found.values(), np.int64, len(found))
-        homes = pa.array([home for home, _ in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([homes, pa.array(u[at]), pa.array(comp[at]), pa.array(n[at])], names=["home", "u", "comp", "n"])
+        homes = [home for home, _ in found]
+        weighty = set(u[heavy].tolist())
+        light = pa.array([h not in weighty for h in homes], pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(u[at]), pa.array(comp[at]), pa.array(n[at]), light], names=["home", "u", "comp", "n", "light"])
+
+
+def near_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map of ``(home, chunk, u, comp, everywhere, n, e0..e3)``, sorted, to those that sketches hold to be alike."""
+    for batch, starts in whole_groups(frames, 2):
+        comp, everywhere, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+        e = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6, 10)], axis=1).view(np.uint64)
+        keep = np.zeros(batch.num_rows, bool)
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            order = lo + np.argsort(~everywhere[lo:hi], kind="stable")
+            for i in range(0, int(everywhere[lo:hi].sum()), 256):
+                near = alike(e[order], n[order], comp[order], slice(i, min(i + 256, int(everywhere[lo:hi].sum()))))
+                keep[order[i : i + len(near)]] |= near.any(axis=1)
+                keep[order] |= near.any(axis=0)
+        at = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in (0, 2, 3, 5)], names=["home", "u", "comp", "n"])
 
 
 def links_of(comps: np.ndarray, sets: list[np.ndarray], everywhere: np.ndarray) -> list[tuple[int, int]]:
@@ -379,18 +414,17 @@ class _Join:
         nameless = self.docs.where("doc_id IS NULL").dropDuplicates(["text"]).mapInArrow(self.whole, schema)
         return found.unionByName(nameless.dropDuplicates(["u"]))
 
-    def compared(self, classes: DataFrame, held: DataFrame) -> DataFrame:
-        """Links ``(a, b)`` of components found in the homes ``held``: ``(home, u, comp, n, everywhere)``.
+    def dealt(self, held: DataFrame, weight, most: int) -> DataFrame:
+        """``held`` with ``chunk``: rows not ``everywhere`` are dealt to chunks of their home of about ``most``, the others go to all."""
+        large = held.where("NOT everywhere").groupBy("home").agg(F.ceil(F.sum(weight) / most).cast("int").alias("chunks")).where("chunks > 1")
+        held = held.join(self.sent(self.cut(large, "large")), "home", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        own = F.array(F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
+        return held.withColumn("chunk", F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
 
-        Classes that are not ``everywhere`` are dealt to the chunks of their home, the others go to all.
-        """
+    def compared(self, classes: DataFrame, held: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` of components found in the homes ``held``: ``(home, u, comp, n, everywhere)``."""
         held = self.cut(held, "held")
-        weight = F.sum(F.col("n") + CLASS_COST)
-        large = held.where("NOT everywhere").groupBy("home").agg(F.ceil(weight / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-        dealt = held.join(self.sent(self.cut(large, "large")), "home", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        own = F.array(F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int"))
-        chunk = F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own))
-        dealt = dealt.select("home", chunk.alias("chunk"), "u", "comp", "everywhere")
+        dealt = self.dealt(held, F.col("n") + CLASS_COST, CHUNK).select("home", "chunk", "u", "comp", "everywhere")
         rows = dealt.join(self.sets(classes, held), "u").select("home", "chunk", "u", "comp", "everywhere", "hashes")
         rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk")
         return self.cut(rows.mapInArrow(link_rows, "a bigint, b bigint").distinct(), "links")
@@ -440,50 +474,97 @@ class _Join:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         return self.cut(rows.join(sizes.where("lo <> hi").select("node", "size"), "node"), name)
 
-    def members(self, classes: DataFrame) -> DataFrame:
-        """``(node, u, comp, size)`` for the nodes that are compared, each of two components or more."""
-        kind, tokens = "node bigint, u bigint, comp bigint", classes.select("u", "comp", "tokens")
-        met = self.meeting(tokens.mapInArrow(_paths(3, (0, TREES)), kind), "depth3")
-        crowded = met.where(F.col("size") > SMALL).select("u").distinct()
-        if MORE_TREES and not crowded.isEmpty():
-            further = tokens.join(crowded, "u").select("u", "comp", "tokens")
-            met = met.unionByName(self.meeting(further.mapInArrow(_paths(3, (TREES, TREES + MORE_TREES)), kind), "further3"))
-        parts, depth = [], 3
-        while True:
-            large = met.where(F.col("size") > SMALL)
-            if depth >= DEPTH or large.isEmpty():
-                return self._union(parts, met)
-            parts.append(met.where(F.col("size") <= SMALL))
-            deeper = large.select("node", "u").join(tokens, "u").select("u", "comp", "tokens", "node")
-            deeper = deeper.repartition("u", "node")  # a class of many large nodes branches in many tasks
-            depth += 3
-            met = self.meeting(deeper.mapInArrow(_paths(3), kind), f"depth{depth}")
+    def level(self, light: DataFrame, heavy: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """The members of nodes at a level; of nodes larger than ``SMALL``, the classes (light, heavy) that reach them."""
+        rows = light.withColumn("heavy", F.lit(False))
+        if heavy is not None:
+            rows = rows.unionByName(heavy.select("node", F.col("comp").alias("u"), "comp").distinct().withColumn("heavy", F.lit(True)))
+        met = self.meeting(rows, name)
+        large = self.cut(met.where(F.col("size") > SMALL).select("node").distinct(), "large")
+        within = lambda df: df if df is None else df.join(self.sent(large), "node")
+        return (met, None, None) if large.isEmpty() else (met, within(light), within(heavy))
+
+    def members(self, classes: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+        """``(node, u, comp, heavy, size)`` for the nodes that are compared, each of two components or more.
+
+        ``classes``: those of light components; ``heavy``: those of heavy ones.
+        """
+        kind = "node bigint, u bigint, comp bigint"
+        of = lambda df, trees: df if df is None else df.select("u", "comp", "tokens").mapInArrow(_paths(3, trees), kind)
+        trees = (0, TREES)
+        met, light, weighty = self.level(of(classes, trees), of(heavy, trees), "depth3")
+        if light is None:
+            return met
+        parts, reached = [met], [(light, weighty)]
+        if MORE_TREES:
+            crowded = met.where(F.col("size") > SMALL).select(F.col("u").alias("unit")).distinct()
+            at = lambda df, unit: df if df is None else df.join(crowded, df[unit] == crowded["unit"], "left_semi")
+            trees = (TREES, TREES + MORE_TREES)
+            more, light, weighty = self.level(of(at(classes, "u"), trees), of(at(heavy, "comp"), trees), "further3")
+            parts.append(more)
+            if light is not None:
+                reached.append((light, weighty))
+        for depth in range(6, DEPTH + 1, 3):
+            parts = [p.where(F.col("size") <= SMALL) for p in parts]
+            deeper = []
+            for side, source in enumerate((classes, heavy)):
+                if source is None:
+                    deeper.append(None)
+                    continue
+                rows = self._union([r[side] for r in reached]).select("node", "u").join(source.select("u", "comp", "tokens"), "u")
+                rows = rows.select("u", "comp", "tokens", "node").repartition("u", "node")  # a class of many large nodes branches in many tasks
+                deeper.append(rows.mapInArrow(_paths(3), kind))
+            met, light, weighty = self.level(*deeper, f"depth{depth}")
+            parts.append(met)
+            if light is None:
+                break
+            reached = [(light, weighty)]
+        return self._union(parts)
 
     @staticmethod
-    def _union(parts: list[DataFrame], last: DataFrame) -> DataFrame:
-        for p in parts:
-            last = last.unionByName(p)
-        return last
+    def _union(parts: list[DataFrame]) -> DataFrame:
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        return whole
 
     def blocks(self, members: DataFrame) -> DataFrame:
-        """``(node, block, u, comp)``: large nodes' main components are dealt to blocks, to all of which the rest goes."""
-        whole = members.where(F.col("size") <= SMALL).select("node", F.lit(0).alias("block"), "u", "comp")
+        """``(node, block, u, comp, heavy)``: large nodes' main components are dealt to blocks, to all of which the rest goes."""
+        columns = ["node", "block", "u", "comp", "heavy"]
+        whole = members.where(F.col("size") <= SMALL).withColumn("block", F.lit(0)).select(*columns)
         large = members.where(F.col("size") > SMALL)
         if large.isEmpty():
             return whole
         counts = large.groupBy("node", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
         main = counts.groupBy("node").agg(F.max_by("comp", F.struct("n", F.negative("comp"))).alias("main"), F.ceil(F.first("size") / SMALL).cast("int").alias("blocks"))
-        dealt = large.select("node", "u", "comp").join(main, "node")
+        dealt = large.select("node", "u", "comp", "heavy").join(main, "node")
         own = F.array(F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
         block = F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return whole.unionByName(dealt.select("node", block.alias("block"), "u", "comp"))
+        return whole.unionByName(dealt.withColumn("block", block).select(*columns))
 
-    def homes(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+    def homes(self, members: DataFrame, classes: DataFrame, heavy: DataFrame | None) -> DataFrame:
         """``(home, u, comp, n, everywhere)``: the classes that nodes hold to be alike, once at each home."""
-        rows = self.blocks(members).join(classes.select("u", "n", "e0", "e1", "e2", "e3"), "u")
-        rows = rows.select("node", "block", "u", "comp", "n", "e0", "e1", "e2", "e3")
-        found = rows.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(group_rows, "home bigint, u bigint, comp bigint, n bigint")
-        return found.groupBy("home", "u").agg(F.first("comp").alias("comp"), F.first("n").alias("n")).withColumn("everywhere", F.col("comp") != F.col("home"))
+        sketches = classes.select("u", "n", "e0", "e1", "e2", "e3")
+        rows = self.blocks(members)
+        light = rows.where("NOT heavy").join(sketches, "u")
+        if heavy is not None:
+            light = light.unionByName(rows.where("heavy").select("*", F.lit(0).cast("bigint").alias("n"), *[F.lit(0).cast("bigint").alias(f"e{k}") for k in range(4)]))
+        light = light.select("node", "block", "u", "comp", "heavy", "n", "e0", "e1", "e2", "e3")
+        kind = "home bigint, u bigint, comp bigint, n bigint"
+        found = light.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(group_rows, kind + ", light boolean")
+        found = found.groupBy("home", "u").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("light").alias("light"))
+        if heavy is None:
+            return found.select("home", "u", "comp", "n", (F.col("comp") != F.col("home")).alias("everywhere"))
+        found = self.cut(found, "found")
+        own = heavy.select("u", "comp", "n", "e0", "e1", "e2", "e3")
+        told = found.where("NOT light").select("home", "u", "comp")
+        guests = told.join(sketches, "u").unionByName(told.select("home", F.col("u").alias("comp")).join(own, "comp"))
+        hosts = own.join(told.select(F.col("home").alias("comp")).distinct(), "comp").withColumn("home", F.col("comp"))
+        held = guests.unionByName(hosts).withColumn("everywhere", F.col("comp") != F.col("home"))
+        rows = self.dealt(held, F.lit(1), SKETCHES).select("home", "chunk", "u", "comp", "everywhere", "n", "e0", "e1", "e2", "e3")
+        near = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk").mapInArrow(near_rows, kind).distinct()
+        whole = found.where("light").select("home", "u", "comp", "n").unionByName(near)
+        return whole.withColumn("everywhere", F.col("comp") != F.col("home"))
 
     def components(self, edges: DataFrame) -> DataFrame:
         """``(u, label)``, the least key reachable, for the ends of edges; doubling label propagation."""
@@ -502,8 +583,13 @@ class _Join:
     def labels(self, classes: DataFrame) -> DataFrame | None:
         """Components ``(u, comp)`` of the classes that have links; None without links."""
         comps = self.contracted(classes)
-        known = self.with_component(classes, comps)
-        links = self.compared(classes, self.homes(self.members(known), classes))
+        light, heavy = self.with_component(classes, comps), None
+        if comps is not None:
+            large = self.cut(comps.groupBy("comp").count().where(F.col("count") >= HEAVY).select("comp"), "heavy")
+            if not large.isEmpty():
+                large = self.sent(large)
+                light, heavy = light.join(large, "comp", "left_anti"), light.join(large, "comp", "left_semi")
+        links = self.compared(classes, self.homes(self.members(light, heavy), light, heavy))
         if not links.isEmpty():
             comps = self.cut(self.joined(comps, links), "comps", stays=True)
         self.release(0)

@@ -50,9 +50,10 @@ def corpus(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("small", [128, 3])
-def test_components_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(near_dup, "SMALL", small)
+@pytest.mark.parametrize("small, heavy, chunk, first", [(128, 64, 1 << 18, 4), (3, 2, 300, 1), (128, 2, 300, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, small, heavy, chunk, first):
+    for name, value in (("SMALL", small), ("HEAVY", heavy), ("CHUNK", chunk), ("SKETCHES", max(2, chunk // 100)), ("FIRST_TREES", first)):
+        monkeypatch.setattr(near_dup, name, value)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS u", "1 AS node")
     got = near_dup.near_duplicates(df).collect()
