@@ -8,9 +8,14 @@ backslashes that lead up to one) makes the frame unambiguous and reversible.
 
     ``### <Role>:`` newline, escaped text, newline ``</turn>`` newline
 
-Rows of a conversation are ordered by turn, then role, then text; repeated rows are kept.
-Null text counts as empty and a null role as the empty role; a null conversation id forms a
-conversation of its own.  Extra columns are ignored.
+On a DataFrame a message is a row: its parts are the column ``parts`` (see ``PARTS``), or one text part
+made from ``text``.  Conversations are dealt by id and sorted, and one ``Flattener`` goes through each, so
+placeholders are numbered through a conversation; a conversation of any length needs one row's memory at a time.
+
+Rows of a conversation are ordered by turn, then role, then parts (texts); repeated rows are kept.
+Null text counts as empty and a null role as the empty role; null parts count as none, and a part of an unknown
+type is a placeholder without tokens.  A null conversation id forms a
+conversation of its own.  An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,12 +69,16 @@ class Flattener:
     audio_tokens_per_second: int = 25
     document_tokens_per_page: int = 800
     attachments: list[Attachment] = field(default_factory=list)
+    #: Attachments so far, those that were taken away included.
+    count: int = 0
+
+    def taken(self) -> list[Attachment]:
+        """The attachments since the last call, which are then no longer held."""
+        found, self.attachments = self.attachments, []
+        return found
 
     def visit(self, part: dict) -> str:
-        method = getattr(self, f"visit_{part.get('type')}", None)
-        if method is None:
-            raise ValueError(f"unknown part type {part.get('type')!r}")
-        return method(part)
+        return getattr(self, f"visit_{part.get('type')}", self.visit_unknown)(part)
 
     def flatten(self, parts: list[dict]) -> str:
         return "".join(map(self.visit, parts))
@@ -86,8 +95,12 @@ class Flattener:
     def visit_document(self, part: dict) -> str:
         return self._place("document", part, self.document_tokens_per_page * max(1, int(part.get("pages") or 1)))
 
+    def visit_unknown(self, part: dict) -> str:
+        return self._place("unknown", part, 0)
+
     def _place(self, kind: str, part: dict, tokens: int) -> str:
-        placeholder = f"<|{kind}_{len(self.attachments)}|>"
+        placeholder = f"<|{kind}_{self.count}|>"
+        self.count += 1
         self.attachments.append(Attachment(kind, part.get("ref") or "", placeholder, tokens))
         return placeholder
 
@@ -127,25 +140,46 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+#: The typed parts of a message; fields that a type has no use for are null.
+PARTS = "array<struct<type:string,text:string,ref:string,tiles:int,seconds:double,pages:int>>"
+ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("reference", pa.string()), ("placeholder", pa.string()), ("tokens", pa.int64())]))
+
+
+def with_parts(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, parts``; a table without parts has one text part a row."""
+    if "parts" in conversations.columns:
+        parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
+    else:
+        parts = F.expr(f"CAST(array(named_struct('type', 'text', 'text', coalesce(text, ''), 'ref', NULL, 'tiles', NULL, 'seconds', NULL, 'pages', NULL)) AS {PARTS})")
+    return conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+
+
 def format_rows(conversations: DataFrame) -> DataFrame:
-    """Each row as a framed turn: adds ``formatted`` and the mask ``loss_start``, ``loss_end``.
+    """Each row as a framed turn: ``formatted``, the mask ``loss_start``, ``loss_end`` and its ``attachments``.
 
-    A narrow map; the text of a conversation is its rows' ``formatted`` in turn order.
+    The text of a conversation is its rows' ``formatted`` in the order in which they come out.
     """
     kinds = {c: conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+    names = ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, flattener = object(), Flattener()
         for batch in frames:
-            roles = [r or "" for r in batch.column(2).to_pylist()]
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            made = [format_turn(r, [{"type": "text", "text": t}]) for r, t in zip(roles, texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array([m[0] for m in made], pa.string()), pa.array([m[1][0] for m in made], pa.int64()), pa.array([m[1][1] for m in made], pa.int64())],
-                names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end"],
-            )
-
-    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, formatted string, loss_start bigint, loss_end bigint"
-    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, schema)
+            made = []
+            for conv_id, role, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if conv_id != now:
+                    now, flattener = conv_id, Flattener()
+                before = flattener.count
+                text, (start, end) = format_turn(role, parts, flattener)
+                made.append((text, start, end, [vars(a) for a in flattener.taken()] if flattener.count > before else []))
+            columns = list(zip(*made)) or [[]] * 4
+            types = [pa.string(), pa.int64(), pa.int64(), ATTACHMENTS]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
+
+    attachments = "array<struct<kind:string,reference:string,placeholder:string,tokens:bigint>>"
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, formatted string, loss_start bigint, loss_end bigint, attachments {attachments}"
+    rows = with_parts(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
+    return rows.mapInArrow(run, schema)
 
 
 class _Reader:
@@ -154,8 +188,11 @@ class _Reader:
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.attachments, self.tokens = 0, 0
 
-    def add(self, formatted: str, start: int, end: int) -> None:
+    def add(self, formatted: str, start: int, end: int, attachments: list[dict]) -> None:
+        self.attachments += len(attachments)
+        self.tokens += sum(a["tokens"] for a in attachments)
         for role, text in parse(formatted):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -166,34 +203,33 @@ class _Reader:
         self.chars += len(formatted)
 
     def row(self) -> tuple:
-        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.attachments, self.tokens
 
 
 def digest_conversations(conversations: DataFrame) -> DataFrame:
     """One row a conversation, read back from the formatted turns.
 
-    Turns are formatted where they lie, dealt by conversation, sorted, and streamed through
-    running digests, so a conversation of any length needs one turn's memory at a time.
+    ``n_attachments`` and ``attachment_tokens`` are of its parts that aren't text.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
         now, done, id_type = None, [], None
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*done))
-            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in frames:
             id_type = batch.column(0).type
-            for conv_id, formatted, start, end in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for conv_id, formatted, start, end, attachments in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if now is None or now.conv_id != conv_id:
                     if now is not None:
                         done.append(now.row())
                     now = _Reader(conv_id)
-                now.add(formatted, start, end)
+                now.add(formatted, start, end, attachments)
             if len(done) >= 2000:
                 yield flush()
                 done.clear()
@@ -201,10 +237,8 @@ def digest_conversations(conversations: DataFrame) -> DataFrame:
             done.append(now.row())
             yield flush()
 
-    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    rows = format_rows(conversations).repartition("conv_id")
-    ordered = rows.sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
+    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, attachment_tokens bigint"
+    return format_rows(conversations).select("conv_id", "formatted", "loss_start", "loss_end", "attachments").mapInArrow(run, schema)
 
 
 PROBE_ID = -7

@@ -10,10 +10,12 @@ security numbers, telephone numbers and long account or card numbers.  Each is v
 * numbers with a check digit keep a right check digit (Luhn, mod 97); a long number whose
   Luhn sum is wrong is permuted as it is and not made right;
 * IPv4 addresses: a Feistel network over two 16-bit halves;
+* social security numbers: over the 898 areas, 99 groups and 9,999 serial numbers that are valid;
 * dates: over the 146,097 days from 1800 to 2199, as pairs from 27 x 5,411.
 
 The permutations depend on the key and the value alone, so equal values stay equal in all
-documents.  A null text stays null; repeated rows and extra columns are kept as they are.
+documents.  A null text stays null and an empty one empty; repeated rows and extra columns, whatever their
+names, are kept as they are, and an empty table stays empty.  A text is read once, whole, however long it is.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ IBAN = _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END
 IP = r"(?<![A-Za-z0-9.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?![A-Za-z0-9]|\.[0-9])"
 DATE = _EDGE + r"(?:[0-9]{4}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.])(?:0[1-9]|[12][0-9]|3[01])\2[0-9]{4})" + _END
 SSN = _EDGE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _END
-PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-])(?:[0-9]{2,4}[ .-]?){1,3}[0-9]{2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}([-.])[0-9]{3}\3[0-9]{4})" + _END
+PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-])(?:[0-9]{2,4}[ .-]?){1,3}[0-9]{2,4}|\+[0-9]{8,15}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}([-. ])[0-9]{3}\3[0-9]{4})" + _END
 NUMBER = _EDGE + r"(?:[0-9]{4}([ -])[0-9]{4}\4[0-9]{4}\4[0-9]{1,7}|[0-9]{12,19})" + _END
 VALUE = "|".join((EMAIL, IBAN, IP, DATE, SSN, PHONE, NUMBER))
 
@@ -113,6 +115,15 @@ def _date(x: str, key: str) -> str:
     return _let(x, "n", _let(mark, "m", _let(forms, "f", body)))
 
 
+def _ssn(x: str, key: str) -> str:
+    area, skip = "CAST(substring(n, 1, 3) AS BIGINT)", 666  # an area that is not given out
+    left = f"({area} - CASE WHEN {area} > {skip} THEN 2 ELSE 1 END) * 99 + CAST(substring(n, 5, 2) AS BIGINT) - 1"
+    pair = _feistel_pair(left, "CAST(substring(n, 8) AS BIGINT) - 1", 898 * 99, 9999, key)
+    new = f"q.l DIV 99 + CASE WHEN q.l DIV 99 >= {skip - 1} THEN 2 ELSE 1 END"
+    padded = lambda value, n: f"lpad(CAST({value} AS STRING), {n}, '0')"
+    return _let(x, "n", _let(pair, "q", f"concat_ws('-', {padded(new, 3)}, {padded('q.l % 99 + 1', 2)}, {padded('q.r + 1', 4)})"))
+
+
 def _pseudonym(x: str, key: str) -> str:
     at = "instr(x, '@')"
     phone = _let("regexp_extract(x, '^[+][0-9]{1,3}', 0)", "cc", f"concat(cc, {permuted('substring(x, length(cc) + 1)', key)})")
@@ -121,7 +132,7 @@ def _pseudonym(x: str, key: str) -> str:
         WHEN {x} RLIKE '^[A-Z]' THEN {_iban(x, key)}
         WHEN {x} RLIKE {whole(IP)} THEN {_ip(x, key)}
         WHEN {x} RLIKE {whole(DATE)} THEN {_date(x, key)}
-        WHEN {x} RLIKE {whole(SSN)} THEN {permuted(x, key)}
+        WHEN {x} RLIKE {whole(SSN)} THEN {_ssn(x, key)}
         WHEN {x} RLIKE '^[0-9]{{4}}([ -])[0-9]{{4}}|^[0-9]{{12,19}}$' THEN {_number(x, key)}
         ELSE {phone} END"""
 

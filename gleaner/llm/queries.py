@@ -90,7 +90,8 @@ ORACLE_SQL: dict[str, str] = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               sum(length(escaped) + length(role) + 15)::BIGINT AS formatted_chars
+               sum(length(escaped) + length(role) + 15)::BIGINT AS formatted_chars,
+               0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
         FROM made GROUP BY conv_id
     """,
 }

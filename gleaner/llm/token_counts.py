@@ -94,8 +94,10 @@ class PieceCounter:
             elif part[end - 1] not in reached:
                 last.append("")
                 counts.append(counts[-1] + len(part[end - 1].encode("utf-8", "surrogatepass")))
-            else:
-                raise ValueError(f"no encoding of {part[:end]!r}")
+            else:  # not known to happen for a vocabulary whose pieces are made by merges; merge the prefix itself
+                merged = self._merged(part[:end])
+                last.append(merged[-1])
+                counts.append(sum(1 if p in self.scores else len(p.encode("utf-8", "surrogatepass")) for p in merged))
         if len(part) <= 64:
             self.words.put(part, counts)
         return counts
@@ -158,7 +160,8 @@ def load(path: str) -> PieceCounter:
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int | None = None) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for each row, with ``limit`` also the longest prefix within it.
 
-    A narrow map without a shuffle over whole texts; repeated rows and null ids are kept.
+    A narrow map without a shuffle over whole texts; repeated rows and null ids are kept, an empty table
+    gives no rows, and further columns, whatever their names, are not read.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 

@@ -24,8 +24,7 @@ def test_typed_parts():
     kinds = [(a.kind, a.reference, a.placeholder, a.tokens) for a in made["attachments"]]
     assert kinds == [("image", "a.png", "<|image_0|>", 1152), ("audio", "b.wav", "<|audio_1|>", 38), ("document", "c.pdf", "<|document_2|>", 2400), ("image", "d.png", "<|image_3|>", 576)]
     assert made["text"].count("\\<|image_0|>") == 1 and made["text"].count("<|image_0|>") == 2
-    with pytest.raises(ValueError):
-        chat.Flattener().visit({"type": "video"})
+    assert chat.Flattener().visit({"type": "video"}) == "<|unknown_0|>"
     with pytest.raises(ValueError):
         chat.parse("no frame")
 
@@ -42,3 +41,24 @@ def test_digests_of_a_table(spark):
     assert got[-7].turns_sha256 == sha(f"user\n{probe}\nassistant\n{probe}\n") and got[-7].loss_sha256 == sha(probe)
     assert None in got and len(got) == 4
     assert chat.digest_conversations(table.where("false")).count() == 0
+
+
+def test_parts_of_a_table_are_numbered_through_a_conversation(spark):
+    part = lambda kind, text=None, ref=None, tiles=None, seconds=None, pages=None: (kind, text, ref, tiles, seconds, pages)
+    rows = [
+        (1, 1, "assistant", [part("text", "it is "), part("image", ref="y.png"), part("text", "### so")]),
+        (1, 0, "user", [part("text", "see <|image_0|> "), part("image", ref="x.png", tiles=3), part("audio", ref="z.wav", seconds=2.0)]),
+        (2, 0, "user", [part("document", ref="d.pdf", pages=2), part("hologram", ref="h")]),
+        (3, 0, "user", None),
+    ]
+    table = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    turns = {(r.conv_id, r.turn): r for r in chat.format_rows(table).collect()}
+    made = chat.format_conversation([(r[2], [dict(zip(("type", "text", "ref", "tiles", "seconds", "pages"), p)) for p in r[3]]) for r in (rows[1], rows[0])])
+    assert turns[1, 0].formatted + turns[1, 1].formatted == made["text"]
+    assert [a.placeholder for a in turns[1, 0].attachments + turns[1, 1].attachments] == ["<|image_0|>", "<|audio_1|>", "<|image_2|>"]
+    assert [(a.reference, a.tokens) for a in turns[2, 0].attachments] == [("d.pdf", 1600), ("h", 0)]
+    got = {r.conv_id: r for r in chat.digest_conversations(table).collect()}
+    assert [(got[i].n_attachments, got[i].attachment_tokens) for i in (1, 2, 3)] == [(3, 3 * 576 + 50 + 576), (2, 1600), (0, 0)]
+    assert got[1].loss_chars == len("it is <|image_2|>### so")
+    long = spark.createDataFrame([(9, 0, "assistant", "</turn>" * 200_000)], "conv_id long, turn long, role string, text string")
+    assert chat.digest_conversations(long).first().loss_chars == 1_400_000
