@@ -10,16 +10,17 @@ WS = r"[ \t\n\r\f\x0b]+"
 TOKEN = r"[a-z0-9$%]+"
 
 # Word lists that results depend on.
-GENERIC_TERMS = (
-    "what which does this that the policy coverage include includes provide provides listed insurance from your about "
-    "page evidence mentioning explains summarize guidance consumer know passage related described find amount numeric "
-    "detail stated for and after before with into under document guide pdf apply applies"
-).split()
-CONTENT_STOPWORDS = (
-    "about after also and are before between from have into may more must not that the their there this when where "
-    "which will with would your you they them than then what does policy insurance coverage company companies consumer "
-    "guide page"
-).split()
+GENERIC_TERMS = [
+    "what", "which", "does", "this", "that", "the", "policy", "coverage", "include", "includes", "provide", "provides", "listed", "insurance", "from",
+    "your", "about", "page", "evidence", "mentioning", "explains", "summarize", "guidance", "consumer", "know", "passage", "related", "described",
+    "find", "amount", "numeric", "detail", "stated", "for", "and", "after", "before", "with", "into", "under", "document", "guide", "pdf", "apply",
+    "applies",
+]
+CONTENT_STOPWORDS = [
+    "about", "after", "also", "and", "are", "before", "between", "from", "have", "into", "may", "more", "must", "not", "that", "the", "their",
+    "there", "this", "when", "where", "which", "will", "with", "would", "your", "you", "they", "them", "than", "then", "what", "does", "policy",
+    "insurance", "coverage", "company", "companies", "consumer", "guide", "page",
+]
 INSURANCE_TERMS = (
     "policy", "coverage", "insured", "insurer", "premium", "deductible", "limit", "liability", "claim", "loss", "exclusion",
     "endorsement", "declarations", "benefit", "peril", "replacement cost", "actual cash value", "medical payments",

@@ -76,8 +76,9 @@ for tail in (False, True):
             (SELECT doc_id, w, n, unnest(range(0, n, 120)) AS i FROM (SELECT doc_id, {WORDS} AS w, len({WORDS}) AS n FROM documents)) {ends}""",
     )
     def word_windows(spark, sf_dir, tail=tail):
-        found = chunk.windows(F.split(T.collapsed(text()), " "), tail=tail)
-        rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("w"))
+        # words are a column of their own: a lambda would split the whole text again for each window
+        split = table(spark, sf_dir, "documents").select("doc_id", F.split(T.collapsed(text()), " ").alias("all_words"))
+        rows = split.select("doc_id", F.explode(chunk.windows(F.col("all_words"), tail=tail)).alias("w"))
         return rows.select("doc_id", "w.start", F.array_join("w.words", " ").alias("words"))
 
 
@@ -317,9 +318,11 @@ def enriched(spark, sf_dir):
 
 
 def enrich(pages):
+    """Every tagger over a page; what lambdas read is projected first, as they share no subexpressions."""
     c = F.col("text")
-    df = pages.withColumns({"coverage_tags": tags.coverage_tags(c), "clause_types": tags.clause_types(c), "primary_clause_type": tags.primary_clause(c), "document_type": tags.document_type(F.col("source"), c), "section_titles": tags.section_titles(c), "form_codes": tags.form_codes(c), "packet_id": F.coalesce(F.when(F.col("packet_id") != "", F.col("packet_id")), F.col("doc_id"))})
-    return df.withColumns({"document_role": F.col("document_type"), "document_priority": tags.role_priority(F.col("document_type")), "section_path": F.slice("section_titles", 1, 3), "section_anchor": F.try_element_at("section_titles", F.lit(-1)), "section_tokens": tags.section_tokens(F.col("section_titles"))})
+    named = F.coalesce(F.when(F.col("packet_id") != "", F.col("packet_id")), F.col("doc_id"))
+    df = pages.withColumns({"coverage_tags": tags.coverage_tags(c), "clause_types": tags.clause_types(c), "document_type": tags.document_type(F.col("source"), c), "section_titles": tags.section_titles(c), "form_codes": tags.form_codes(c), "packet_id": named})
+    return df.withColumns({"primary_clause_type": tags.primary_of(F.col("clause_types")), "document_role": F.col("document_type"), "document_priority": tags.role_priority(F.col("document_type")), "section_path": F.slice("section_titles", 1, 3), "section_anchor": F.try_element_at("section_titles", F.lit(-1)), "section_tokens": tags.section_tokens(F.col("section_titles"))})
 
 
 GLOSSARY = Relation(
