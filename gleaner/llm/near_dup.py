@@ -13,11 +13,10 @@ of such nodes also enter ``MORE_TREES`` further trees.  A class
 finds its nodes from its own tokens, so a level needs no shuffle; only node sizes do.
 
 *Contraction.*  A large group of near copies would meet in every tree.  So before all trees are
-searched, a few (``FIRST_TREES``) serve ``ROUNDS`` rounds in which each class is compared, on full
-sets, with one class: the least, by a hash of the round, of those that its nodes put forward and
-that are of another component.  Linked classes are contracted to a component.  All nodes
-that then lie in one component are left out, in the full search as well: nothing can be found there.
-Rounds only spare work; no class and no pair of components is given up by them.
+searched, in a few of them (``FIRST_TREES``) each class is compared, on full sets, with one class: the
+least, by hash, of those that its nodes put forward and that its sketch allows.  Linked classes are
+contracted to a component.  Nodes that lie in one component are then left out of the full search: nothing
+can be found there.  This only spares work; no class and no pair of components is given up by it.
 
 *Heavy components.*  A component of ``HEAVY`` classes or more enters a node once, however many of its classes
 reach it; only where a node has too many members do its classes branch on one by one.  What shares a
@@ -61,9 +60,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import batches, cut, dropped, first_free, mix64, row_key, shared_dir
 
-POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 512
-#: Trees and rounds of the contraction that goes before the full search.
-FIRST_TREES, ROUNDS = 4, 2
+POSITIONS, TREES, MORE_TREES, SECOND, DEPTH, SMALL = 256, 20, 30, 0.25, 9, 4096
+#: Trees of the contraction that goes before the full search.
+FIRST_TREES = 4
 #: Classes from which on a component stands as one in the nodes that its classes reach.
 HEAVY = 64
 LEAST_PERCENT = 80
@@ -232,9 +231,9 @@ def alike(e: np.ndarray, n: np.ndarray, comp: np.ndarray, rows: slice) -> np.nda
     return near & (comp[rows, None] != comp)
 
 
-def groups_of(n: np.ndarray, e: np.ndarray, comp: np.ndarray, step: int = 512) -> list[np.ndarray]:
-    """Connected groups of rows of different components that could be linked."""
-    label = np.arange(len(n))
+def groups_of(n: np.ndarray, e: np.ndarray, comp: np.ndarray) -> list[np.ndarray]:
+    """Connected groups of rows of different components that could be linked; about 2^18 pairs are held at once."""
+    label, step = np.arange(len(n)), max(16, (1 << 18) // max(1, len(n)))
     while True:
         new = label.copy()
         for i in range(0, len(n), step):
@@ -444,29 +443,21 @@ class _Join:
         return old.unionByName(merged.select(F.col("was").alias("u"), F.col("now").alias("comp"))).dropDuplicates(["u"])
 
     def contracted(self, classes: DataFrame) -> DataFrame | None:
-        """Components ``(u, comp)`` of the classes that some round links; None if none does."""
-        comps, start = None, len(self.held)
-        first = self.meeting(classes.withColumn("comp", F.col("u")).select("u", "comp", "tokens").mapInArrow(_paths(3, (0, FIRST_TREES)), "node bigint, u bigint, comp bigint"), "first")
-        first = first.select("node", "u")
-        for turn in range(ROUNDS):
-            mark = len(self.held)
-            own = F.struct("u", "comp", "n", "e0", "e1", "e2", "e3").alias("own")
-            rows = first.join(self.with_component(classes, comps).select("u", own), "u").select("node", "own")
-            order = F.xxhash64("own.u", F.lit(turn))
-            tops = rows.groupBy("node").agg(F.min_by("own", order).alias("top"), F.min("own.comp").alias("lo"), F.max("own.comp").alias("hi"))
-            near = rows.join(tops.where("lo <> hi").select("node", "top"), "node").where("own.comp <> top.comp").where(_alike("own", "top"))
-            chosen = near.groupBy(F.col("own.u").alias("u")).agg(F.min_by(F.struct("own", "top"), F.xxhash64("top.u", F.lit(turn))).alias("c"))
-            pairs = self.cut(chosen.select(F.col("c.top").alias("top"), F.col("c.own").alias("own")), "pairs")
-            if pairs.isEmpty():
-                break
-            sides = [pairs.select(F.col("top.u").alias("home"), f"{x}.u", f"{x}.comp", f"{x}.n", F.lit(x == "top").alias("everywhere")) for x in ("top", "own")]
-            links = self.compared(classes, sides[0].distinct().unionByName(sides[1]))
-            if links.isEmpty():
-                self.release(mark)
-                break
-            comps = self.cut(self.joined(comps, links), f"comps{turn}", stays=True)
-            self.release(mark)
-        self.release(start)
+        """Components ``(u, comp)`` of the classes that are linked with the one put forward to them; None if none is."""
+        mark, order = len(self.held), F.xxhash64("u")
+        rows = classes.select("u", F.col("u").alias("comp"), "tokens").mapInArrow(_paths(3, (0, FIRST_TREES)), "node bigint, u bigint, comp bigint").select("node", "u")
+        tops = rows.groupBy("node").agg(F.min_by("u", order).alias("top"), F.count("*").alias("size")).where("size > 1").select("node", "top")
+        near = rows.join(tops, "node").where("u <> top").select("u", "top").distinct()
+        sketch = F.struct("n", "e0", "e1", "e2", "e3")
+        near = near.join(classes.select("u", sketch.alias("own")), "u").join(classes.select(F.col("u").alias("top"), sketch.alias("its")), "top").where(_alike("own", "its"))
+        chosen = near.groupBy("u").agg(F.min_by(F.struct("top", F.col("own.n").alias("n"), F.col("its.n").alias("top_n")), F.xxhash64("top")).alias("c"))
+        pairs = self.cut(chosen.select("u", "c.*"), "pairs")
+        if pairs.isEmpty():
+            return None
+        tops = pairs.select(F.col("top").alias("home"), F.col("top").alias("u"), F.col("top").alias("comp"), F.col("top_n").alias("n"), F.lit(True).alias("everywhere")).distinct()
+        links = self.compared(classes, tops.unionByName(pairs.select(F.col("top").alias("home"), "u", F.col("u").alias("comp"), "n", F.lit(False).alias("everywhere"))))
+        comps = None if links.isEmpty() else self.cut(self.joined(None, links), "comps", stays=True)
+        self.release(mark)
         return comps
 
     def meeting(self, rows: DataFrame, name: str) -> DataFrame:
@@ -480,9 +471,10 @@ class _Join:
         if heavy is not None:
             rows = rows.unionByName(heavy.select("node", F.col("comp").alias("u"), "comp").distinct().withColumn("heavy", F.lit(True)))
         met = self.meeting(rows, name)
-        large = self.cut(met.where(F.col("size") > SMALL).select("node").distinct(), "large")
-        within = lambda df: df if df is None else df.join(self.sent(large), "node")
-        return (met, None, None) if large.isEmpty() else (met, within(light), within(heavy))
+        if met.where(F.col("size") > SMALL).isEmpty():
+            return met, None, None
+        large = self.sent(self.cut(met.where(F.col("size") > SMALL).select("node").distinct(), "large"))
+        return met, light.join(large, "node"), heavy if heavy is None else heavy.join(large, "node")
 
     def members(self, classes: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
         """``(node, u, comp, heavy, size)`` for the nodes that are compared, each of two components or more.
