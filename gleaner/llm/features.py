@@ -65,13 +65,16 @@ def labelled_rows(docs: DataFrame, sample: list[tuple], run, schema: str) -> lis
     """Applies an Arrow map to the documents of a bounded sample of labels and collects it.
 
     ``sample`` holds ``(doc_id, label...)`` tuples; the ids go out with the task, so the
-    documents are scanned in place and nothing but the sample's rows is moved.
+    documents are scanned in place and nothing but the sample's rows is moved.  Where an id is
+    repeated, its least row counts, so no more rows come back than the sample has.
     """
     if not sample:
         return []
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     wanted = F.broadcast(spark.createDataFrame([(s[0],) for s in sample], f"doc_id {kind}"))
-    return docs.select("doc_id", F.col("text")).join(wanted, "doc_id", "left_semi").mapInArrow(run, schema).collect()
+    found = docs.select("doc_id", F.col("text")).join(wanted, "doc_id", "left_semi").mapInArrow(run, schema)
+    rest = F.min(F.struct(*[c for c in found.columns if c != "doc_id"])).alias("least")
+    return found.groupBy("doc_id").agg(rest).select("doc_id", "least.*").collect()
 
 
 def code_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ so that some hold only a few words of a text and outlive an edit.  The likeness
 hashes among the subsets that are not empty in both.
 
 A text without lexicon words is hashed over all its words.  Null text counts as empty; its
-hashes are all "-" and its likeness to another empty text is 1.
+hashes are all "-" and its likeness to another empty text is 1.  Repeated rows each have a row; an empty
+table gives none; very long texts are read whole; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -132,9 +133,10 @@ def with_following(docs: DataFrame) -> DataFrame:
 
     Ids are cut into buckets at quantiles, highest ids first.  A bucket ends with a row of
     ``ctx`` 1 that holds the first text of the next bucket (of the first, after the last).
-    Ties of an id are ordered by text; null ids come last.
+    Ids that are not whole numbers stand where their hash does.  Ties of an id are ordered by text; null ids come last.
     """
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    named = F.col("doc_id").cast("string")
+    key = F.when(named.isNotNull(), F.coalesce(named.try_cast("bigint"), F.xxhash64(named))).otherwise(F.lit(-(2**63)))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", key.alias("key"), text.alias("text"))
     total = base.count()

@@ -17,7 +17,8 @@ document) and sums ten numbers.  It ends when the dual's gradient is zero to ``T
 and says so if it does not.
 
 Null text counts as empty (no tokens; its rate follows its posterior and changes no total).
-Repeated rows each have a rate.  Without labels all mass is ``clean``.
+Repeated rows each have a rate, and equal ones the same draw.  Without labels all mass is ``clean``; an empty table
+gives no rows.  Columns other than ``doc_id`` and ``text`` are not read, and ``mix_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations

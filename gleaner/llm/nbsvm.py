@@ -9,6 +9,8 @@ hashed codes; scoring is a narrow map over all whole texts.
 
 Null text counts as empty: no indicators, so its score is that of the intercept alone.
 Without labelled rows of both kinds every score is the share of label 1 (0.5 without rows).
+Repeated rows are scored each; where a labelled id is repeated, its least row is learned from, and of
+contradicting labels the least.  An empty table gives no rows.  Columns that are kept may have any names.
 """
 
 from __future__ import annotations
@@ -133,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None,
     return train(codes, np.array([known[r[0]] == 1 for r in rows], bool))
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row, and ``score``."""
+def scores(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of each row, and the score as ``name``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size: two floats a slot
     names = [f"c{i}" for i in range(len(keep))]
@@ -148,7 +150,7 @@ def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     picked = docs.select(F.col("text").alias("whole"), *[F.col(c).alias(n) for n, c in zip(names, keep)])
     out = picked.mapInArrow(run, f"{fields}, score double")
-    return out.toDF(*keep, "score")
+    return out.toDF(*keep, name)
 
 
 def held_out(id_column: str = "doc_id"):

@@ -73,9 +73,9 @@ SKETCH = 64
 #: Tokens of a sketch's 64 that must agree for a pair to be confirmed: at 0.8 fewer agree once in a million.
 LEAST_AGREE = 34
 #: Shingles of a home's own sets that are held at once, with ``CLASS_COST`` added for each class.
-CHUNK, CLASS_COST = 1 << 18, 64
+CHUNK, CLASS_COST = 1 << 16, 64
 #: Sketches of a heavy component that are held at once.
-SKETCHES = 4096
+SKETCHES = 1024
 #: Ids up to this many go out with the tasks that fetch texts; more are joined by a shuffle.
 MOST_SENT = 200_000
 

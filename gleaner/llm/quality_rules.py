@@ -7,7 +7,8 @@ and removes the rows that it covers.  The list is emitted as ordered Spark ``CAS
 conditions; rows that no rule rejects are kept.
 
 Null text counts as empty (no words, base test failed).  Without labelled rows of both kinds
-no rule is learned.  Repeated rows are kept; extra columns are ignored.
+no rule is learned.  Repeated rows are kept; extra columns, whatever their names, are ignored; an empty table gives
+no rows.  Of tests with equal gain the first by statistic and cut is taken.
 """
 
 from __future__ import annotations
