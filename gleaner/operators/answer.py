@@ -40,11 +40,37 @@ def repaired_answer(question: Column, answer: Column, evidence: Column) -> Colum
 
 
 def confidence(top: Column, question: Column, answer: Column, evidence: Column) -> Column:
-    """.55 of the top score, .20 of the terms answered, .25 of the key terms in evidence; rounded."""
-    q, keys = T.terms(question, 3), T.key_terms(question)
+    """.55 of the top score, .20 of the terms answered, .25 of the key terms in evidence; four digits.
+
+    A numeric question has at least .42 if the answer's amounts all stand in the evidence, else at most .19.  At most
+    .19, too, where long key terms are missing and half or fewer are there, or where under a quarter are there.
+    """
+    q, keys, known = T.terms(question, 3), T.key_terms(question), T.terms(evidence, 3)
     share = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)), F.lit(0.0))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), top))
-    return F.round(0.55 * clamped + 0.20 * share(q, T.terms(answer, 3)) + 0.25 * share(keys, T.terms(evidence, 3)), 6)
+    clamped, there = F.greatest(F.lit(0.0), F.least(F.lit(1.0), top)), share(keys, known)
+    plain = 0.55 * clamped + 0.20 * share(q, T.terms(answer, 3)) + 0.25 * there
+    said = T.found(answer, T.AMOUNT)
+    backed = (F.size(said) > 0) & (F.size(F.array_except(said, T.found(evidence, T.AMOUNT))) == 0)
+    checked = F.when(~tags.needs_numeric_evidence(question), plain).when(backed, F.greatest(plain, F.lit(0.42))).otherwise(F.least(plain, F.lit(0.19)))
+    missing = F.exists(F.array_except(keys, known), lambda t: F.length(t) >= 7)
+    weak = (missing & (there <= 0.5)) | ((F.size(keys) > 0) & (there < 0.25))
+    return F.round(F.when(weak, F.least(checked, F.lit(0.19))).otherwise(checked), 4)
+
+
+# Words of a question about versions (two are needed), and of one about given documents.
+VERSION_WORDS = r"(?i)\b(?:compar|diff|version|drift|v1|v2|chang|updat)\w*\b"
+GIVEN_DOCUMENTS = r"(?i)\b(?:documents?|polic(?:y|ies)|guides?|pdf|uploaded|files?)\b"
+
+
+def route(question: Column, known: Column) -> Column:
+    """Where a chat question goes; ``known`` says that the glossary has a term of it.
+
+    One's own policy: ``abstain``, as a public corpus can't settle it.  Then ``diff``, ``knowledge`` unless the question
+    is about given documents, and ``document``.
+    """
+    given = tags.is_personal(question) | question.rlike(GIVEN_DOCUMENTS) | question.rlike(tags.THIS_CONCEPT)
+    versions = F.regexp_count(question, F.lit(VERSION_WORDS)) >= 2
+    return F.when(tags.is_personal(question), "abstain").when(versions, "diff").when(known & ~given, "knowledge").otherwise("document")
 
 
 def key_present(answer: Column, key: Column) -> Column:

@@ -59,7 +59,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def bounded_walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 8) -> DataFrame:
     """``(qid, node, hop, place)``: pages reached from seeds, each once, at most ``most`` a query.
 
-    Explicit edges (those not marked ``candidate_``) come first and alone lead past one hop.
+    Explicit edges (those not marked ``candidate_``) come first and alone lead past one hop.  A hop keeps
+    its first ``most`` pages: pages of a later hop rank behind all of an earlier one, so no other can enter.
     """
     explicit = ~F.col("relation").contains("candidate_")
     seen = seeds.select("qid", F.col("node")).withColumn("hop", F.lit(0))
@@ -68,6 +69,8 @@ def bounded_walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int =
         steps = frontier.join(edges.where(explicit) if hop > 1 else edges, frontier["node"] == edges["source"]).select("qid", F.col("target").alias("node"), explicit.alias("explicit"), "confidence", "relation", F.col("source").alias("origin"))
         first = Window.partitionBy("qid", "node").orderBy(F.desc("explicit"), F.desc("confidence"), "relation", "origin")
         steps = steps.withColumn("k", F.row_number().over(first)).where("k = 1").join(seen.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        best = Window.partitionBy("qid").orderBy(F.desc("explicit"), F.desc("confidence"), "node")
+        steps = steps.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most)
         found = steps if found is None else found.unionByName(steps)
         seen = seen.unionByName(steps.select("qid", "node", "hop"))
         frontier = steps.where("explicit").select("qid", "node")
@@ -75,6 +78,31 @@ def bounded_walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int =
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("qid", "node", "hop", "place")
 
 
+def reserve_dependencies(ranked: DataFrame, edges: DataFrame, k: int, hops: int = 2, most: int = 8) -> DataFrame:
+    """``(qid, id, role, place)``: ``k`` pages a query, with places kept for what one of them refers to.
+
+    ``ranked``: qid, id, place.  The anchor is the first of the first ``k`` pages whose explicit edges lead,
+    within ``hops`` and ``most`` pages, to a ranked page.  It comes first, then those pages in the walk's
+    order, then the ranking.  Without an anchor, or with ``k`` below two, the ranking stays.
+
+    A walk has one seed, so it has seen at most ``most + 1`` pages; ``2 * most + 1`` edges of a page are
+    therefore enough, and a page that many refer to sends out no more.
+    """
+    fan = Window.partitionBy("source").orderBy(F.desc("confidence"), "target")
+    plain = edges.where(~F.col("relation").contains("candidate_")).groupBy("source", "target").agg(F.max("confidence").alias("confidence")).withColumn("relation", F.lit("explicit"))
+    plain = plain.where("source <> target").withColumn("n", F.row_number().over(fan)).where(F.col("n") <= 2 * most + 1).drop("n")
+    top = ranked.where(F.col("place") <= k).where(F.lit(k >= 2))
+    walks = bounded_walk(top.select(F.struct("qid", "id").alias("qid"), F.col("id").alias("node")), plain, hops, most)
+    steps = walks.select(F.col("qid.qid").alias("qid"), F.col("qid.id").alias("anchor"), F.col("node").alias("id"), F.col("place").alias("step"))
+    linked = steps.join(ranked.select("qid", "id"), ["qid", "id"]).join(top.select("qid", F.col("id").alias("anchor"), F.col("place").alias("at")), ["qid", "anchor"])
+    chosen = linked.withColumn("first", F.min("at").over(Window.partitionBy("qid"))).where("at = first")
+    kept = chosen.select("qid", "id", "step").unionByName(chosen.select("qid", F.col("anchor").alias("id"), F.lit(0).alias("step")).distinct())
+    order = Window.partitionBy("qid").orderBy(F.col("step").isNull(), F.coalesce("step", "place"))
+    role = F.when(F.col("step") == 0, "anchor").when(F.col("step") > 0, "dependency").otherwise("ranked")
+    rows = ranked.join(kept, ["qid", "id"], "left").withColumn("role", role).withColumn("new", F.row_number().over(order))
+    return rows.where(F.col("new") <= k).select("qid", "id", "role", F.col("new").alias("place"))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, component)`` with the least node reachable; labels halve their distance each round.
 

@@ -97,3 +97,72 @@ def line_differences(pairs: DataFrame, words: list[str] | None = None) -> DataFr
     kept = (lambda arr: arr) if not words else (lambda arr: F.filter(arr, lambda x: F.lower(x).rlike("|".join(words))))
     change = lambda kind, a, b: F.transform(F.array_except(kept(lines(a)), kept(lines(b))), lambda x: F.struct(F.lit(kind).alias("change"), x.alias("line")))
     return pairs.select("key", F.explode(F.concat(change("added", "new", "old"), change("removed", "old", "new"))).alias("c")).select("key", "c.change", "c.line")
+
+
+# The words that place a changed line in a group, groups in the order of the summary.
+POLICY_GROUPS = {
+    "deductible": ["deductible"],
+    "coverage": ["coverage", "limit", "liability"],
+    "endorsement": ["endorsement", "rider"],
+    "exclusion": ["exclusion", "excludes"],
+    "duties": ["insured must", "duties", "after a loss", "promptly notify"],
+}
+
+
+def policy_changes(pairs: DataFrame) -> DataFrame:
+    """``key``, the number of changed lines in each group (a line may be in several) and a summary sentence."""
+    alone = lambda a, b: F.array_except(T.lines(F.col(a)), T.lines(F.col(b)))
+    changed = pairs.select("key", F.concat(alone("new", "old"), alone("old", "new")).alias("lines"))
+    counts = {g: F.size(F.filter("lines", lambda x: F.lower(x).rlike("|".join(words)))).cast("bigint") for g, words in POLICY_GROUPS.items()}
+    rows = changed.select("key", *[c.alias(g) for g, c in counts.items()])
+    names = F.concat_ws(", ", *[F.when(F.col(g) > 0, F.lit(g)) for g in counts])
+    none = F.lit("No material policy-rule changes detected.")
+    return rows.withColumn("summary", F.when(names == "", none).otherwise(F.concat(F.lit("Detected changes in: "), names, F.lit("."))))
+
+
+def training_groups(positives: DataFrame, negatives: DataFrame, presentations: int, quotas: dict[str, int], size: int = 5) -> DataFrame:
+    """``(gid, presentation, slot, id)``: one positive (slot 0) and ``size`` negatives for each presentation.
+
+    ``positives``: gid, id, taken in turn by id.  ``negatives``: gid, id, kind, distinct ids; each kind gives up to
+    its quota, and what is then missing comes from all that is left.  Picks follow a hash of presentation, group and
+    id, so they can be repeated.  A group without a positive or with fewer than ``size`` other negatives gives no rows.
+    """
+    turn = F.explode(F.sequence(F.lit(0), F.lit(presentations - 1))).alias("presentation")
+    group = Window.partitionBy("gid")
+    first = positives.select("gid", "id").distinct().withColumn("k", F.row_number().over(group.orderBy("id")) - 1).withColumn("n", F.count("*").over(group))
+    first = first.select("gid", "id", "k", "n", turn).where(F.col("k") == F.col("presentation") % F.col("n"))
+    rest = negatives.join(positives.select("gid", "id"), ["gid", "id"], "left_anti").select("gid", "id", "kind", turn)
+    rest = rest.withColumn("h", F.sha2(F.concat_ws("|", "presentation", "gid", "id"), 256))
+    quota = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in quotas.items()], F.lit(0))
+    rest = rest.withColumn("own", F.row_number().over(Window.partitionBy("gid", "presentation", "kind").orderBy("h")) > quota)
+    rest = rest.withColumn("slot", F.row_number().over(Window.partitionBy("gid", "presentation").orderBy("own", "h"))).where(F.col("slot") <= size)
+    rows = first.select("gid", "presentation", F.lit(0).alias("slot"), "id").unionByName(rest.select("gid", "presentation", "slot", "id"))
+    span = Window.partitionBy("gid", "presentation")
+    whole = rows.withColumn("n", F.count("*").over(span)).withColumn("least", F.min("slot").over(span))
+    return whole.where((F.col("n") == size + 1) & (F.col("least") == 0)).drop("n", "least")
+
+
+def negative_confidence(score, positive, margin: float = 1.0):
+    """.25 for a negative that a teacher scores within ``margin`` of the positive or above it, else 1."""
+    return F.when(score >= positive - margin, 0.25).otherwise(1.0)
+
+
+def split_sizes(n: int, train: float = 0.8, valid: float = 0.1) -> tuple[int, int]:
+    """How many of ``n`` files are for training and validation; the rest is for the test.
+
+    From three files on each part has one at least, and training gives way; two files are training and test.
+    """
+    if n < 3:
+        return min(n, 1), 0
+    held = max(1, int(n * valid))
+    return max(1, min(max(1, int(n * train)), n - held - 1)), held
+
+
+def document_split(sources: DataFrame, seed: str) -> DataFrame:
+    """``(source, split)``: sources in the order of a seeded hash, cut at ``split_sizes``.
+
+    The order is a window over sources (files), not over rows.
+    """
+    train, valid = split_sizes(sources.count())
+    place = F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "source"), 256)))
+    return sources.select("source", F.when(place <= train, "train").when(place <= train + valid, "valid").otherwise("test").alias("split"))

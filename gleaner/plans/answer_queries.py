@@ -13,10 +13,10 @@ from pyspark.sql import Window
 
 from gleaner.functions import tags, text as T
 from gleaner.operators import answer as A
-from gleaner.operators import index
+from gleaner.operators import index, sets
 from gleaner.plans import fixtures as X
 from gleaner.plans.base import Catalog, Relation, quoted, sql_any, sql_tags, table
-from gleaner.plans.tag_queries import PAGES_CTE, all_pages
+from gleaner.plans.tag_queries import PAGES_CTE, all_pages, glossary
 from gleaner.plans.rank_queries import QP_CTE, SENT, SQL_GROUPS, SQL_KEY, SQL_TERMS, VECTORS_CTE, is_amount, near_vectors
 
 catalog = Catalog()
@@ -68,9 +68,12 @@ def sql_share(a: str, b: str) -> str:
     return f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}), 0)::DOUBLE, 0)"
 
 
-@catalog.add("an8_confidence", f"WITH {QP_CTE} SELECT qid, doc_id, page_number, round(0.55 * 0.5 + 0.20 * {sql_share(SQL_TERMS.format('question', 3), SQL_TERMS.format('text', 3))} + 0.25 * {sql_share(SQL_KEY, SQL_TERMS.format('text', 3))}, 6)::DOUBLE AS confidence FROM qp")
+SHARES = f"WITH {QP_CTE}, p AS (SELECT *, {SQL_TERMS.format('question', 3)} AS q, {SQL_KEY} AS keys, {SQL_TERMS.format('text', 3)} AS ev FROM qp), s AS (SELECT qid, doc_id, page_number, keys, ev, {sql_any(tags.NUMERIC_INTENTS, 'lower(question)')} AS numeric, list_contains(regexp_extract_all(text, '{T.AMOUNT}'), '$500') AS backed, {sql_share('keys', 'ev')} AS share, 0.55 * 0.5 + 0.20 * {sql_share('q', quoted(['the', 'limit', '$500']))} + 0.25 * {sql_share('keys', 'ev')} AS c FROM p)"
+
+
+@catalog.add("an8_confidence", SHARES + ", f AS (SELECT *, CASE WHEN NOT numeric THEN c WHEN backed THEN greatest(c, 0.42) ELSE least(c, 0.19) END AS d FROM s) SELECT qid, doc_id, page_number, round(CASE WHEN len(list_filter(keys, lambda t: length(t) >= 7 AND NOT list_contains(ev, t))) > 0 AND share <= 0.5 OR len(keys) > 0 AND share < 0.25 THEN least(d, 0.19) ELSE d END::DOUBLE, 4) AS confidence FROM f")
 def confidences(spark, sf_dir):
-    return question_pages(spark).select("qid", "doc_id", "page_number", A.confidence(F.lit(0.5), F.col("question"), F.col("text"), F.col("text")).alias("confidence"))
+    return question_pages(spark).select("qid", "doc_id", "page_number", A.confidence(F.lit(0.5), F.col("question"), F.lit("the limit: $500"), F.col("text")).alias("confidence"))
 
 
 KEYS = Relation("fixture_keys", "kid int, answer string, k1 string, k2 string", [(1, "It is $2,500.50 in total", "2500.50", "total"), (2, "It is $25,000", "2500", "it"), (3, "Covered under form HO-3", "ho-3", "covered"), (4, "12 % of limits", "12", "limit"), (5, "about 3.0 days", "3", "days")])
@@ -105,11 +108,11 @@ def conflicts(spark, sf_dir):
     return amounts.groupBy("packet_id").agg(F.countDistinct("amount").alias("n"), (F.countDistinct("amount") > 1).alias("conflict"))
 
 
-@catalog.add("an12_routes", f"WITH {X.QUESTIONS.cte()} SELECT qid, CASE WHEN regexp_matches(lower(question), '\\b(my|our)\\b') THEN 'personal' WHEN contains(lower(question), 'compare') THEN 'diff' WHEN regexp_matches(lower(question), '\\b(define|what is)\\b') THEN 'glossary' ELSE 'document' END AS route FROM fixture_questions")
+@catalog.add("an12_routes", "SELECT * FROM (VALUES (1, 'abstain'), (2, 'diff'), (3, 'knowledge'), (4, 'knowledge'), (5, 'knowledge'), (6, 'document'), (7, 'document'), (8, 'abstain'), (9, 'abstain'), (10, 'document')) t(qid, route)")
 def chat_routes(spark, sf_dir):
-    low = F.lower("question")
-    route = F.when(low.rlike(r"\b(my|our)\b"), "personal").when(low.contains("compare"), "diff").when(low.rlike(r"\b(define|what is)\b"), "glossary").otherwise("document")
-    return X.QUESTIONS.frame(spark).select("qid", route.alias("route"))
+    """Over a public corpus; the SQL holds what each question must give."""
+    known = glossary(spark, sf_dir).select("qid", F.lit(True).alias("known")).distinct()
+    return X.QUESTIONS.frame(spark).join(known, "qid", "left").select("qid", A.route(F.col("question"), F.coalesce("known", F.lit(False))).alias("route"))
 
 
 # dataset generation and mining
@@ -183,17 +186,36 @@ def ambiguity(spark, sf_dir):
     return near.withColumn("best", best).groupBy("qid").agg(F.count_if(F.col("score") >= F.col("best") - 0.2).alias("close"))
 
 
-@catalog.add("dg11_training_groups")
+@catalog.add(
+    "dg11_training_groups",
+    f"""WITH {NEG_CTE}, pos AS (SELECT n.qid AS gid, n.id FROM near n JOIN unit a ON a.vec_id = n.qid JOIN unit b ON b.vec_id = n.id WHERE a.label = b.label AND n.id <> n.qid), hard AS (SELECT qid AS gid, id, 'current_hard' AS kind FROM neg QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 4),
+        reps AS (SELECT label, arg_min(vec_id, sha256(vec_id::VARCHAR)) AS id FROM unit GROUP BY label), rnd AS (SELECT q.vec_id AS gid, r.id, 'random' AS kind FROM unit q JOIN reps r ON q.label <> r.label WHERE q.vec_id % 100 = 0),
+        pool AS (SELECT * FROM hard UNION ALL SELECT * FROM rnd WHERE (gid, id) NOT IN (SELECT (gid, id) FROM hard)), turns AS (SELECT i::INTEGER AS presentation FROM range(3) r(i)),
+        first AS (SELECT gid, presentation, 0 AS slot, id FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY gid) AS n FROM pos), turns WHERE k = presentation % n),
+        hashed AS (SELECT *, sha256(presentation || '|' || gid || '|' || id) AS h FROM pool, turns), own AS (SELECT *, row_number() OVER (PARTITION BY gid, presentation, kind ORDER BY h) > CASE kind WHEN 'random' THEN 1 ELSE 2 END AS late FROM hashed),
+        rest AS (SELECT gid, presentation, row_number() OVER (PARTITION BY gid, presentation ORDER BY late, h) AS slot, id FROM own QUALIFY slot <= 5), rows AS (SELECT * FROM first UNION ALL SELECT * FROM rest)
+        SELECT * FROM rows QUALIFY count(*) OVER (PARTITION BY gid, presentation) = 6 AND min(slot) OVER (PARTITION BY gid, presentation) = 0""",
+)
 def training_groups(spark, sf_dir):
-    """Two hard and one other negative for each presentation; positives are taken in turn."""
-    labels = table(spark, sf_dir, "labels")
-    positives = labels.where("quality = 1").withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id")))
-    return positives.withColumn("presentation", F.pmod(F.col("k"), F.lit(5))).groupBy("toxic", "presentation").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    """Neighbours of the same label are positives; vectors have no words, so no lexical negatives."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    near = near_vectors(spark, sf_dir).join(v.toDF("qid", "own"), "qid").join(v.toDF("id", "other"), "id")
+    positives = near.where("own = other AND id <> qid").select(F.col("qid").alias("gid"), "id")
+    hard = index.top_k(near.where("own <> other").drop("rank"), "qid", "id", 4).select(F.col("qid").alias("gid"), "id", F.lit("current_hard").alias("kind"))
+    reps = v.groupBy(F.col("label").alias("other")).agg(F.min_by("vec_id", F.sha2(F.col("vec_id").cast("string"), 256)).alias("id"))
+    others = v.where("vec_id % 100 = 0").toDF("gid", "own").join(reps, F.col("own") != F.col("other")).select("gid", "id").join(hard, ["gid", "id"], "left_anti")
+    negatives = hard.unionByName(others.withColumn("kind", F.lit("random")))
+    return sets.training_groups(positives, negatives, 3, {"current_hard": 2, "lexical_hard": 2, "random": 1})
 
 
-@catalog.add("dg12_negative_confidence", "SELECT doc_id, CASE WHEN toxic = 1 THEN 0.25 ELSE 1.0 END::DOUBLE AS weight FROM labels")
+@catalog.add("dg12_negative_confidence", f"WITH {NEG_CTE}, best AS (SELECT n.qid, max(n.score) AS best FROM near n JOIN unit a ON a.vec_id = n.qid JOIN unit b ON b.vec_id = n.id WHERE a.label = b.label AND n.id <> n.qid GROUP BY n.qid) SELECT qid, id, CASE WHEN 20 * score >= 20 * best - 1 THEN 0.25 ELSE 1.0 END::DOUBLE AS weight FROM neg JOIN best USING (qid)")
 def negative_confidence(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 0.25).otherwise(1.0).alias("weight"))
+    """Neighbours of another label against the best of the same label; a cosine times 20 is the teacher's score."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    near = near_vectors(spark, sf_dir).join(v.toDF("qid", "own"), "qid").join(v.toDF("id", "other"), "id").where("id <> qid")
+    best = F.max(F.when(F.col("own") == F.col("other"), F.col("score"))).over(Window.partitionBy("qid"))
+    rows = near.withColumn("best", best).where("own <> other AND best IS NOT NULL")
+    return rows.select("qid", "id", sets.negative_confidence(20 * F.col("score"), 20 * F.col("best")).alias("weight"))
 
 
 @catalog.add("dg14_best_evidence", "SELECT source, arg_min(doc_id, (-n_chars, doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY source")
@@ -207,10 +229,13 @@ def evidence_guard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (~(low.contains("license") | low.contains("copyright"))).alias("usable"))
 
 
-@catalog.add("dg16_document_split", "SELECT doc_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || left(sha256('split|' || doc_id), 6))::INTEGER % 100 AS b FROM documents)")
+@catalog.add(
+    "dg16_document_split",
+    "WITH p AS (SELECT source, row_number() OVER (ORDER BY sha256('split|' || source)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), c AS (SELECT *, greatest(1, floor(n * 0.8::DOUBLE)) AS t0, CASE WHEN n >= 3 THEN greatest(1, floor(n * 0.1::DOUBLE)) ELSE 0 END AS v0 FROM p), d AS (SELECT *, CASE WHEN t0 + v0 >= n THEN greatest(1, n - 1) ELSE t0 END AS t1, CASE WHEN t0 + v0 < n THEN v0 WHEN n <= 2 THEN 0 ELSE 1 END AS v1 FROM c), "
+    "s AS (SELECT *, CASE WHEN n >= 3 AND n - t1 - v1 <= 0 THEN greatest(1, t1 - 1) ELSE t1 END AS t2 FROM d) SELECT source, CASE WHEN place <= t2 THEN 'train' WHEN place <= t2 + v1 THEN 'valid' ELSE 'test' END AS split FROM s",
+)
 def document_split(spark, sf_dir):
-    b = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("split"), "doc_id"), 256), 1, 6), 16, 10).cast("int") % 100
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(b < 80, "train").when(b < 90, "valid").otherwise("test").alias("split"))
+    return sets.document_split(table(spark, sf_dir, "documents").select("source").distinct(), "split")
 
 
 @catalog.add("dg17_qa_split", "SELECT d.doc_id, coalesce(CASE quality WHEN 1 THEN 'train' WHEN 0 THEN 'test' END, 'valid') AS split FROM documents d LEFT JOIN labels USING (doc_id)")
@@ -365,6 +390,13 @@ def scratch(spark) -> str:
     return f"{base.rstrip('/')}/source-{uuid.uuid4().hex}"
 
 
+def kept(spark, df):
+    """A frame that is read more than once, as a table in the shared folder."""
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @catalog.add("src19_jsonl_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def jsonl(spark, sf_dir):
     d, path = table(spark, sf_dir, "documents"), scratch(spark)

@@ -7,10 +7,11 @@ from pyspark.sql import Window
 
 from gleaner.functions import tags, text as T
 from gleaner.operators import answer as A
-from gleaner.operators import chunk, index, packing
+from gleaner.operators import chunk, graph, index, packing
 from gleaner.plans import fixtures as X
 from gleaner.plans.base import Catalog, Relation, table
-from gleaner.plans.answer_queries import question_pages, scratch
+from gleaner.plans.answer_queries import kept, question_pages, scratch
+from gleaner.plans.graph_queries import SHARED_CTE, shared_lines
 from gleaner.plans.rank_queries import BM25_CTE, QP_CTE, RULE_SQL, SQL_TERMS, evidence_score, near_vectors, questions, sparse
 from gleaner.plans.tag_queries import FIELDS_CTE, PAGES_CTE, all_pages
 from gleaner.sources import adapters
@@ -159,12 +160,20 @@ def ranked_contexts(spark, sf_dir):
     return evidence.select("qid", "place", F.concat(F.lit("SOURCE: doc"), "id").alias("header"), F.col("evidence").alias("body"))
 
 
-@catalog.add("rk16_reserved_dependencies")
+@catalog.add(
+    "rk16_reserved_dependencies",
+    f"""WITH {BM25_CTE}, {SHARED_CTE}, sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e), ranked AS (SELECT qid, id, rank FROM sparse WHERE rank <= 20), top AS (SELECT * FROM ranked WHERE rank <= 5),
+        one AS (SELECT qid, id AS anchor, b AS node, 1 AS hop FROM top JOIN sides ON a = id), two AS (SELECT DISTINCT qid, anchor, s.b AS node, 2 AS hop FROM one JOIN sides s ON s.a = node WHERE s.b <> anchor),
+        walk AS (SELECT qid, anchor, node, row_number() OVER (PARTITION BY qid, anchor ORDER BY hop, node) AS step FROM (SELECT qid, anchor, node, min(hop) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL) QUALIFY step <= 8),
+        linked AS (SELECT w.qid, w.node, w.step, t.rank AS anchor_rank FROM walk w JOIN ranked r ON r.qid = w.qid AND r.id = w.node JOIN top t ON t.qid = w.qid AND t.id = w.anchor), firsts AS (SELECT qid, min(anchor_rank) AS anchor_rank FROM linked GROUP BY qid),
+        kept AS (SELECT qid, node AS id, step FROM linked JOIN firsts USING (qid, anchor_rank) UNION ALL SELECT t.qid, t.id, 0 FROM top t JOIN firsts f ON f.qid = t.qid AND f.anchor_rank = t.rank)
+        SELECT qid, id, CASE WHEN step = 0 THEN 'anchor' WHEN step > 0 THEN 'dependency' ELSE 'ranked' END AS role, row_number() OVER (PARTITION BY qid ORDER BY step IS NULL, coalesce(step, rank)) AS place FROM ranked LEFT JOIN kept USING (qid, id) QUALIFY place <= 5""",
+)
 def reserved(spark, sf_dir):
-    """The anchor's first dependency takes the second place; the others move down."""
-    near = near_vectors(spark, sf_dir, 5).select("qid", "id", "rank")
-    order = F.when(F.col("rank") == 1, 0.0).when(F.col("rank") == 3, 0.5).otherwise(F.col("rank").cast("double"))
-    return near.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")).alias("place"))
+    """Documents that share a long line depend on each other; BM25 ranks them, once."""
+    ranked = kept(spark, sparse(spark, sf_dir, 20).select("qid", "id", F.col("rank").alias("place")))
+    lines = shared_lines(spark, sf_dir).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("shares_line").alias("relation"), F.lit(1.0).alias("confidence"))
+    return graph.reserve_dependencies(ranked, kept(spark, graph.adjacency(lines)), 5)
 
 
 @catalog.add("rk18_packed_contexts")

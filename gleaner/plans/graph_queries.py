@@ -106,12 +106,15 @@ SHARED_CTE = "ln AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(
         SELECT node, min(seen) AS component FROM reach GROUP BY node""",
 )
 def shared_line_components(spark, sf_dir):
-    """Documents joined by long lines that they share; each line links to its least document."""
+    return G.components(shared_lines(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node")))
+
+
+def shared_lines(spark, sf_dir):
+    """Edges between documents that share a long line; each line links to its least document."""
     docs = table(spark, sf_dir, "documents")
     ln = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.xxhash64(F.trim("l")).alias("line"), F.length(F.trim("l")).alias("n")).where("n >= 60").select("doc_id", "line").distinct()
     heads = ln.groupBy("line").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    edges = ln.join(heads, "line").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    return G.components(edges, docs.select(F.col("doc_id").alias("node")))
+    return ln.join(heads, "line").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 @catalog.add("gr9_navigation_arms", f"WITH {VECTORS_CTE}, arms AS (SELECT qid, id, 1 AS arm, rank FROM near WHERE rank <= 2 UNION ALL SELECT n.qid, m.id, 2, n.rank * 100 + m.rank FROM near n JOIN near m ON m.qid = n.id WHERE n.rank <= 2 AND m.rank <= 3), firsts AS (SELECT qid, id, min(arm * 100000 + rank) AS k FROM arms GROUP BY ALL) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY k, id) AS place FROM firsts QUALIFY place <= 3")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from gleaner.functions import text as T
 from gleaner.operators import sets
 from gleaner.plans import fixtures as X
-from gleaner.plans.base import Catalog, table
+from gleaner.plans.base import Catalog, Relation, sql_any, table
 from gleaner.plans.text_queries import SQL_COLLAPSED
 
 catalog = Catalog()
@@ -212,7 +212,8 @@ def version_pairs(spark, sf_dir):
     return documents(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("text").alias("new"), F.lag("text").over(w).alias("old")).where("old IS NOT NULL")
 
 
-DIFF_CTE = f"{PAIRS}, sides AS (SELECT key, {LINES.format('new')} AS n, {LINES.format('old')} AS o FROM pairs), diffs AS (SELECT key, 'added' AS change, unnest(list_filter(n, lambda x: NOT list_contains(o, x))) AS line FROM sides UNION ALL SELECT key, 'removed', unnest(list_filter(o, lambda x: NOT list_contains(n, x))) FROM sides)"
+DIFF_TAIL = f"sides AS (SELECT key, {LINES.format('new')} AS n, {LINES.format('old')} AS o FROM pairs), diffs AS (SELECT key, 'added' AS change, unnest(list_filter(n, lambda x: NOT list_contains(o, x))) AS line FROM sides UNION ALL SELECT key, 'removed', unnest(list_filter(o, lambda x: NOT list_contains(n, x))) FROM sides)"
+DIFF_CTE = f"{PAIRS}, {DIFF_TAIL}"
 
 
 @catalog.add("st21_line_diff", f"WITH {DIFF_CTE} SELECT * FROM diffs")
@@ -234,11 +235,22 @@ def change_summary(spark, sf_dir):
     return changes.groupBy("change").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"))
 
 
-@catalog.add("st24_policy_diff", f"WITH {DIFF_CTE} SELECT key, count(*) FILTER (regexp_matches(lower(line), 'apache|license')) AS licence, count(*) FILTER (regexp_matches(lower(line), 'the|und')) AS common FROM diffs GROUP BY key")
+VERSIONS = Relation(
+    "fixture_versions", "key bigint, old string, new string",
+    [(-1, "Collision Deductible: $500\nRoof Limit: $9\nsame", "Collision Deductible: $750\n\n  Roof Limit: $9 \nsame"), (-2, "This rider excludes mold.\nDUTIES: notify", "You must promptly notify us\nno rule here"), (-3, "a\nb", "b\nc"), (-4, "", "Liability limit, with a deductible"), (-5, "x", "x")],
+)
+IN_GROUP = {name: sql_any(words, "lower(line)") for name, words in sets.POLICY_GROUPS.items()}
+
+
+@catalog.add(
+    "st24_policy_diff",
+    f"""WITH {VERSIONS.cte()}, {PAIRS.replace('pairs AS', 'documents_pairs AS')}, pairs AS (SELECT key, new, old FROM documents_pairs UNION ALL SELECT key, new, old FROM fixture_versions), {DIFF_TAIL},
+        n AS (SELECT pairs.key, {', '.join(f"count(*) FILTER ({c}) AS {g}" for g, c in IN_GROUP.items())} FROM pairs LEFT JOIN diffs USING (key) GROUP BY pairs.key), named AS (SELECT *, concat_ws(', ', {', '.join(f"CASE WHEN {g} > 0 THEN '{g}' END" for g in IN_GROUP)}) AS names FROM n)
+        SELECT * EXCLUDE names, CASE WHEN names = '' THEN 'No material policy-rule changes detected.' ELSE 'Detected changes in: ' || names || '.' END AS summary FROM named""",
+)
 def policy_diff(spark, sf_dir):
-    """Counts of changed lines by category of the words in them."""
-    d = sets.line_differences(version_pairs(spark, sf_dir))
-    return d.groupBy("key").agg(F.count_if(F.lower("line").rlike("apache|license")).alias("licence"), F.count_if(F.lower("line").rlike("the|und")).alias("common"))
+    """Each document against the one before it, and small versions in the domain's words."""
+    return sets.policy_changes(version_pairs(spark, sf_dir).unionByName(VERSIONS.frame(spark)))
 
 
 @catalog.add("dg18_hash_split", "WITH s AS (SELECT DISTINCT source FROM documents), p AS (SELECT source, row_number() OVER (ORDER BY sha256('seed|' || source)) AS place, count(*) OVER () AS n FROM s) SELECT source, place, CASE WHEN place <= round_even(n * 0.5, 0) THEN 'train' WHEN place <= round_even(n * 0.75, 0) THEN 'valid' ELSE 'test' END AS split FROM p")
