@@ -75,3 +75,14 @@ def calibration_curve(rows: DataFrame) -> DataFrame:
         F.round(c("t") / 20, 2).alias("threshold"), share(c("answered"), c("rows")).alias("coverage"), share(c("answered_answerable"), c("all_answerable")).alias("answerable_coverage"),
         share(c("answered") - c("right"), c("answered")).alias("selective_risk"), share(c("right"), c("answered_answerable")).alias("accuracy"), share(c("declined"), c("all_unsupported")).alias("abstention"),
     )
+
+
+def error_type(answerable: Column, abstain: Column, retrieved: Column, cited: Column, evidence: Column, f1: Column) -> Column:
+    """What went wrong with an answer; null if nothing did.
+
+    ``retrieved``: a gold page is ranked; ``cited``: the answer names pages; ``evidence``: one of them is gold.
+    An unanswerable question is wrong only if it was answered.
+    """
+    weak = abstain | (f1 <= 0.05)
+    wrong = F.when(~retrieved, "retrieval_miss").when(cited & ~evidence, "citation_mismatch").when(weak, "weak_answer_extraction")
+    return F.when(answerable, wrong).when(~abstain, "unsupported_false_positive")

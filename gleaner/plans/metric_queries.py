@@ -86,9 +86,10 @@ def grouping_sets(spark, sf_dir):
 
 
 PAIRS = "replies AS (SELECT a.conv_id, a.turn, lower(trim(regexp_replace(a.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS p, lower(trim(regexp_replace(u.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS r FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant')"
-F1_CTE = f"""{PAIRS}, pw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(p, ' ')) AS w FROM replies) GROUP BY ALL), rw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(r, ' ')) AS w FROM replies) GROUP BY ALL),
+F1_TAIL = """pw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(p, ' ')) AS w FROM replies) GROUP BY ALL), rw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(r, ' ')) AS w FROM replies) GROUP BY ALL),
     same AS (SELECT conv_id, turn, sum(least(pw.n, rw.n)) AS same FROM pw JOIN rw USING (conv_id, turn, w) GROUP BY ALL),
     f1 AS (SELECT conv_id, turn, (p = r)::INTEGER AS exact, round(coalesce(2 * (same / len(string_split(p, ' '))::DOUBLE) * (same / len(string_split(r, ' '))::DOUBLE) / ((same / len(string_split(p, ' '))::DOUBLE) + (same / len(string_split(r, ' '))::DOUBLE)), 0), 6) AS f1 FROM replies LEFT JOIN same USING (conv_id, turn))"""
+F1_CTE = f"{PAIRS}, {F1_TAIL}"
 
 
 def answer_f1(spark, sf_dir):
@@ -137,22 +138,34 @@ def interpolated(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
 
 
-KIND = "CASE WHEN event_type = 'error' THEN 'request_error' WHEN value IS NULL THEN 'missing' WHEN value < 10 THEN 'low_confidence' WHEN value > 90 THEN 'overconfident' ELSE 'ok' END"
+PLAIN_TEXT = "lower(trim(regexp_replace({0}.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '))"
+TAXONOMY_CTE = f"""{VECTORS_CTE}, others AS (SELECT n.qid, n.id, n.score, a.label = b.label AS same, row_number() OVER (PARTITION BY n.qid ORDER BY n.rank) AS k FROM near n JOIN unit a ON a.vec_id = n.qid JOIN unit b ON b.vec_id = n.id WHERE n.id <> n.qid),
+    judged AS (SELECT qid, bool_or(same AND k <= 5) AS hit, bool_or(same AND k = 1) AS evidence, max(CASE WHEN k = 1 THEN id END) AS id, max(CASE WHEN k = 1 THEN score END) < 0.5 AS abstain FROM others GROUP BY qid), sure AS (SELECT vec_id AS qid, count(*) OVER (PARTITION BY label) > 1 AS answerable FROM unit),
+    replies AS (SELECT j.qid AS conv_id, j.id AS turn, {PLAIN_TEXT.format('d')} AS p, {PLAIN_TEXT.format('u')} AS r FROM judged j JOIN documents d ON d.doc_id = j.id JOIN documents u ON u.doc_id = j.qid), {F1_TAIL},
+    typed AS (SELECT qid, CASE WHEN NOT answerable THEN CASE WHEN abstain THEN 'none' ELSE 'unsupported_false_positive' END WHEN NOT hit THEN 'retrieval_miss' WHEN NOT evidence THEN 'citation_mismatch' WHEN abstain OR coalesce(f1, 0) <= 0.05 THEN 'weak_answer_extraction' ELSE 'none' END AS error_type
+        FROM judged JOIN sure USING (qid) LEFT JOIN f1 ON conv_id = qid AND turn = judged.id)"""
 
 
-@catalog.add("mt16_error_taxonomy", f"SELECT event_id, {KIND} AS error_type FROM events")
+@catalog.add("mt16_error_taxonomy", f"WITH {TAXONOMY_CTE} SELECT * FROM typed")
 def taxonomy(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", error_type().alias("error_type"))
-
-
-def error_type():
-    v = F.col("value")
-    return F.when(F.col("event_type") == "error", "request_error").when(v.isNull(), "missing").when(v < 10, "low_confidence").when(v > 90, "overconfident").otherwise("ok")
-
-
-@catalog.add("mt17_error_counts", f"SELECT {KIND} AS error_type, count(*) AS n FROM events GROUP BY 1")
+    """A vector's best neighbour is its cited answer: right if of the same label, and as good as its document's words."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    labels = v.groupBy("label").agg((F.count("*") > 1).alias("answerable"))
+    near = near_vectors(spark, sf_dir).where("id <> qid").join(v.join(labels, "label").toDF("own", "qid", "answerable"), "qid").join(v.toDF("id", "other"), "id")
+    rows = near.withColumn("same", F.col("own") == F.col("other")).withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    top = lambda c: F.max(F.when(F.col("k") == 1, F.col(c)))
+    judged = rows.groupBy("qid", "answerable").agg(F.bool_or(F.col("same") & (F.col("k") <= 5)).alias("hit"), top("same").alias("evidence"), top("id").alias("id"), (top("score") < 0.5).alias("abstain"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = judged.select("qid", "id").join(d.toDF("id", "answer"), "id").join(d.toDF("qid", "reference"), "qid")
+    f1 = M.token_f1(texts, ["qid", "id"], "answer", "reference")
+    f1 = f1.select("qid", "id", F.round("f1", 6).alias("f1"))
+    kind = M.error_type(F.col("answerable"), F.col("abstain"), F.col("hit"), F.lit(True), F.col("evidence"), F.coalesce("f1", F.lit(0.0)))
+    return judged.join(f1, ["qid", "id"], "left").select("qid", F.coalesce(kind, F.lit("none")).alias("error_type"))
+
+
+@catalog.add("mt17_error_counts", f"WITH {TAXONOMY_CTE} SELECT error_type, count(*) AS n FROM typed GROUP BY 1")
 def error_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(error_type().alias("error_type")).agg(F.count("*").alias("n"))
+    return taxonomy(spark, sf_dir).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
 SCORED = "scored AS (SELECT doc_id, (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence, quality = 1 AS answerable, toxic = 0 AS correct FROM labels)"
