@@ -140,12 +140,21 @@ def index_build(spark, sf_dir):
     return read("postings").agg(F.count("*").alias("postings")).join(read("lengths").agg(F.sum("dl").alias("tokens"))).join(read("terms").agg(F.count("*").alias("terms")))
 
 
-@catalog.add("idx17_index_validation", "SELECT count(*) AS rows, TRUE AS valid FROM documents")
+@catalog.add("idx17_index_validation", "SELECT 'stored' AS corpus, count(*) AS rows, TRUE AS valid FROM documents UNION ALL SELECT 'edited', count(*), count(*) FILTER (doc_id % 1000 = 0) = 0 FROM documents UNION ALL SELECT 'longer', count(*), FALSE FROM documents")
 def index_validation(spark, sf_dir):
-    """An index is reused only if the corpus still has the fingerprint of its manifest."""
-    manifest = spark.read.parquet(f"{build_index(spark, sf_dir)}/manifest")
-    now = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id", "text")).alias("f"))
-    return manifest.join(now).select("rows", ((F.col("rows") == F.col("n")) & (F.col("fingerprint") == F.col("f")) & (F.col("schema_version") == 4)).alias("valid"))
+    """An index is reused only if the corpus still has the rows and the fingerprint of its manifest.
+
+    The corpus it was built from is held against it, and two that have changed since.
+    """
+    manifest, docs = spark.read.parquet(f"{build_index(spark, sf_dir)}/manifest"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 1000 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    longer = docs.unionByName(spark.createDataFrame([(-1, "added")], "doc_id bigint, text string"))
+    now = None
+    for name, corpus in (("stored", docs), ("edited", edited), ("longer", longer)):
+        one = corpus.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id", "text")).alias("f")).withColumn("corpus", F.lit(name))
+        now = one if now is None else now.unionByName(one)
+    valid = (F.col("rows") == F.col("n")) & (F.col("fingerprint") == F.col("f")) & (F.col("schema_version") == 4)
+    return now.join(manifest).select("corpus", "rows", valid.alias("valid"))
 
 
 @catalog.add("rk15_selected_evidence")
