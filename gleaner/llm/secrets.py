@@ -46,7 +46,8 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)abcdefgh|01234567",
     r"^[-_=+/]+$",
-    r"^(?:[A-Za-z]{1,24}[-_/=])+[A-Za-z]{1,24}$",
+    # possessive, as Java matches a repeated group that could give back by recursion, one frame a repetition
+    r"^(?:[A-Za-z]{1,24}+[-_/=])++[A-Za-z]{1,24}+$",
 )
 
 

@@ -75,6 +75,15 @@ def test_scan_of_a_long_text_is_linear(spark):
     assert seconds[1] < 24 * max(seconds[0], 1.0)  # quadratic time would be 64 times as long
 
 
+def test_long_paths_and_slugs_are_scanned(spark):
+    longs = ["ab-" * 2000, "word/" * 2000, "ab-" * 350_000, "word/" * 210_000 + "end", "Ab1_" * 100_000, "z" * 500_000, "x-" * 300_000 + "9"]
+    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(longs)), "doc_id long, text string")).collect()}
+    assert len(rows) == len(longs) and not any(r.base for r in rows.values())
+    assert not rows[1].found and not rows[3].found and not rows[5].found
+    short = secrets.scan(spark.createDataFrame([(0, longs[0])], "doc_id long, text string")).first()
+    assert [(s.start, s.kind, s.end) for s in short.found] == brute(longs[0])[1]
+
+
 def test_query_digest(spark, tmp_path):
     from gleaner.llm import queries
 
