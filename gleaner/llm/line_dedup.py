@@ -138,10 +138,11 @@ def dropped_places(docs: DataFrame, text_column: str = "text", least_chars: int
     held = cut(lines.drop("batch").join(repeated, KEY), folder, "held")
     dropped(spark, path)
     counted = held.groupBy(*KEY).agg((F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("docs"))
-    sure = counted.where(F.col("docs") >= least_docs).select(*KEY)
+    # a table of its own, as Spark splits a hot key in a join only where both sides come straight from a shuffle
+    sure = cut(counted.where(F.col("docs") >= least_docs).select(*KEY), folder, "sure")
     lost = held.where(F.col("id").isNull() | (F.col("id") != F.col("top"))).join(sure, KEY)
     out = cut(lost.groupBy("id", "mark").agg(F.collect_set("pos").alias("places")), folder, "places")
-    for name in ("repeated", "held"):
+    for name in ("repeated", "held", "sure"):
         dropped(spark, f"{folder}/{name}")
     return out
 
