@@ -28,6 +28,13 @@ def pool(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return d.join(s, ["qid", "id"], "full_outer").fillna(0.0, ["dense", "sparse"])
 
 
+def pooled(lists: DataFrame) -> DataFrame:
+    """``pool`` of the channels ``dense`` and ``sparse`` of rows ``(qid, channel, id, score, rank)``, which are made once."""
+    of = lambda channel, column: F.max(F.when(F.col("channel") == channel, F.col(column)))
+    both = [of(c, "score").alias(c) for c in ("dense", "sparse")] + [of(c, "rank").alias(f"{c}_rank") for c in ("dense", "sparse")]
+    return lists.groupBy("qid", "id").agg(*both).fillna(0.0, ["dense", "sparse"])
+
+
 def blend(candidates: DataFrame, lexical: float, cross: float = 0.0) -> DataFrame:
     """(1 - lexical) dense + lexical sparse over scores scaled within a query, then mixed with ``cross``."""
     first = (1 - lexical) * minmax(F.col("dense")) + lexical * minmax(F.col("sparse"))

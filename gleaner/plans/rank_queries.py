@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import tags, text as T
-from gleaner.operators import index, rank
+from gleaner.operators import blocks, index, rank
 from gleaner.plans import fixtures as X
 from gleaner.plans.base import Catalog, Relation, quoted, sql_any, table
 
@@ -31,13 +31,21 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def found(spark, sf_dir, k=DEPTH, channels=blocks.CHANNELS):
+    """Both ranked lists of every question, from one tokenised scan and one pass over its blocks."""
+    return blocks.BlockIndex.build(table(spark, sf_dir, "documents")).search(questions(spark, sf_dir), k, channels)
+
+
 def sparse(spark, sf_dir, k=DEPTH):
-    scored = index.bm25(table(spark, sf_dir, "documents"), questions(spark, sf_dir)).withColumn("score", F.round("score", 6)).withColumnRenamed("doc_id", "id")
-    return index.top_k(scored, "qid", "id", k)
+    return found(spark, sf_dir, k, ("sparse",)).select("qid", "id", "score", "rank")
 
 
 def dense(spark, sf_dir, k=DEPTH):
-    return index.dense_top_k(table(spark, sf_dir, "documents").select("doc_id", "text"), questions(spark, sf_dir), k, "text")
+    return found(spark, sf_dir, k, ("dense",)).select("qid", "id", "score", "rank")
+
+
+def pooled(spark, sf_dir):
+    return rank.pooled(found(spark, sf_dir))
 
 
 @catalog.add("idx1_hash_embedding", f"WITH {BM25_CTE}, {HASH_CTE} SELECT doc_id, b AS bucket, round(c / norm, 9) AS value FROM db JOIN dn USING (doc_id)")
@@ -123,9 +131,7 @@ LISTS_CTE = f"{BOTH_CTE}, lists AS (SELECT qid, 'sparse' AS channel, id, rank, s
 
 
 def lists(spark, sf_dir):
-    cols = ["qid", "channel", "id", "rank", "score"]
-    s, d = sparse(spark, sf_dir).withColumn("channel", F.lit("sparse")), dense(spark, sf_dir).withColumn("channel", F.lit("dense"))
-    return s.select(cols).unionByName(d.select(cols))
+    return found(spark, sf_dir).select("qid", "channel", "id", "rank", "score")
 
 
 @catalog.add("rk2_ranked_lists", f"WITH {LISTS_CTE} SELECT * FROM lists WHERE rank <= 12")
@@ -156,7 +162,7 @@ def sql_minmax(column: str) -> str:
 
 @catalog.add("rk7_minmax", f"WITH {POOL_CTE} SELECT qid, id, round({sql_minmax('dense')}, 6) AS dense, round({sql_minmax('sparse')}, 6) AS sparse FROM pool")
 def minmax_scores(spark, sf_dir):
-    p = rank.pool(dense(spark, sf_dir), sparse(spark, sf_dir))
+    p = pooled(spark, sf_dir)
     return p.select("qid", "id", F.round(rank.minmax(F.col("dense")), 6).alias("dense"), F.round(rank.minmax(F.col("sparse")), 6).alias("sparse"))
 
 
@@ -165,13 +171,13 @@ SQL_BLEND = f"round(0.8 * {sql_minmax('dense')} + 0.2 * {sql_minmax('sparse')},
 
 @catalog.add("rk8_score_fusion", f"WITH {POOL_CTE} SELECT qid, id, {SQL_BLEND} AS blend FROM pool")
 def score_fusion(spark, sf_dir):
-    return rank.blend(rank.pool(dense(spark, sf_dir), sparse(spark, sf_dir)), 0.2).select("qid", "id", "blend")
+    return rank.blend(pooled(spark, sf_dir), 0.2).select("qid", "id", "blend")
 
 
 @catalog.add("rk9_anchored_blend", f"WITH {POOL_CTE} SELECT qid, id, round(0.75 * {sql_minmax('dense')} + 0.25 * (0.5 * {sql_minmax('dense')} + 0.5 * {sql_minmax('sparse')}), 6) AS anchored FROM pool")
 def anchored(spark, sf_dir):
     """A first teacher's scores, with a share of the mean of two teachers."""
-    p = rank.pool(dense(spark, sf_dir), sparse(spark, sf_dir))
+    p = pooled(spark, sf_dir)
     a, b = rank.minmax(F.col("dense")), rank.minmax(F.col("sparse"))
     return p.select("qid", "id", F.round(0.75 * a + 0.25 * (0.5 * a + 0.5 * b), 6).alias("anchored"))
 
@@ -182,7 +188,7 @@ def anchored(spark, sf_dir):
         again AS (SELECT qid, id, {SQL_BLEND} AS blend FROM kept) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY blend DESC, id) AS place FROM again""",
 )
 def candidate_policies(spark, sf_dir):
-    kept = rank.restricted_blend(rank.pool(dense(spark, sf_dir), sparse(spark, sf_dir)), 0.2, 50)
+    kept = rank.restricted_blend(pooled(spark, sf_dir), 0.2, 50)
     return index.top_k(kept, "qid", "id", 50, "blend").select("qid", "id", "blend", F.col("rank").alias("place"))
 
 
@@ -299,7 +305,7 @@ FUSED_CTE = f"{POOL_CTE}, fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + dense
 
 
 def reranked(spark, sf_dir):
-    p = rank.pool(dense(spark, sf_dir), sparse(spark, sf_dir))
+    p = pooled(spark, sf_dir)
     one = lambda r: F.coalesce(1.0 / (60 + F.col(r)), F.lit(0.0))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     rows = p.withColumn("rrf", one("dense_rank") + one("sparse_rank")).join(docs, "id").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "qid")
