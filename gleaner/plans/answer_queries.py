@@ -294,18 +294,27 @@ def overlap_join(spark, sf_dir):
     return a.join(b, ["packet_id", "tag"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-GRAMS = "list_distinct(list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: substring(t, i, 5)))"
+def near_sql(left: str, right: str, threshold: float) -> str:
+    """CTEs up to ``nearest`` (id, other, similarity): every pair scored on character 3- to 5-grams."""
+    grams = ", ".join(f"list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))" for n in (3, 4, 5))
+    return f"""sides AS (SELECT 'l' AS side, * FROM ({left}) UNION ALL SELECT 'r', * FROM ({right})),
+        padded AS (SELECT side, id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM sides),
+        tfs AS (SELECT side, id, gram, count(*) AS tf FROM (SELECT side, id, unnest(list_concat({grams})) AS gram FROM padded) GROUP BY ALL),
+        dfs AS (SELECT gram, ln((1 + (SELECT count(*) FROM sides)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tfs GROUP BY gram HAVING count(*) >= 2),
+        weights AS (SELECT side, id, gram, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY side, id)) AS w FROM tfs JOIN dfs USING (gram)),
+        firsts AS (SELECT min(id) AS id FROM sides WHERE side = 'r' AND text IS NOT NULL GROUP BY text),
+        near AS (SELECT l.id, r.id AS other, sum(l.w * r.w) AS similarity FROM weights l JOIN weights r USING (gram) WHERE l.side = 'l' AND r.side = 'r' AND r.id IN (SELECT id FROM firsts) GROUP BY ALL HAVING sum(l.w * r.w) >= {threshold} - 1e-9),
+        nearest AS (SELECT id, other, round(similarity, 6) AS similarity FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(similarity, 6) DESC, other) = 1)"""
 
 
-@catalog.add("jn11_nearest_neighbour", f"WITH q AS (SELECT item_id, {GRAMS} AS g FROM (SELECT item_id, lower(text) AS t FROM benchmark)), p AS (SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g)) / sqrt(len(a.g)::DOUBLE * len(b.g)), 6) AS score FROM q a JOIN q b ON a.item_id <> b.item_id) SELECT a, b, score FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1")
+NEAR_FROM = 0.3
+ITEMS_SQL = "SELECT item_id AS id, text FROM benchmark"
+
+
+@catalog.add("jn11_nearest_neighbour", f"WITH {near_sql('SELECT doc_id AS id, text FROM documents', ITEMS_SQL, NEAR_FROM)} SELECT * FROM nearest")
 def nearest_neighbour(spark, sf_dir):
-    """The most alike other item by shared character 5-grams, through a join on the grams."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t"))
-    g = t.select("item_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 4, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(5))))).alias("g"))
-    size = g.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = g.toDF("a", "g").join(g.toDF("b", "g"), "g").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("s"))
-    rows = shared.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", F.round(F.col("s") / F.sqrt(F.col("na").cast("double") * F.col("nb")), 6).alias("score"))
-    return rows.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("k"), "b")).alias("m")).select("a", "m.b", (-F.col("m.k")).alias("score"))
+    """Of every document the benchmark text that is nearest by character 3- to 5-grams, from a cosine of .3 on."""
+    return near.nearest(near.near_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), NEAR_FROM))
 
 
 @catalog.add("jn12_scores_by_source", "SELECT doc_id, coalesce(n, 0) AS score FROM documents LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON doc_id = user_id")
