@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import nbsvm
-from gleaner.llm.common import batches, cut, row_key, shared_dir
+from gleaner.llm.common import batches, cut, first_free, row_key, shared_dir
 from gleaner.llm.features import REPEATED, SHARES, bounded_labels, labelled_rows, word_codes
 
 DOMAINS = ("clean", "poor", "toxic")
@@ -243,5 +243,6 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float]
     with 1 as their upper bound, and what is kept has the fitted totals in expectation.
     The join is on a hash of id and text.
     """
-    chosen = mixed(docs, labels, weights, most=1.0).where("copies = 0").select(F.col("row_key").alias("gone_key")).distinct()
-    return docs.join(chosen, row_key() == F.col("gone_key"), "left_anti")
+    gone = first_free(docs.columns, "gone_key")
+    chosen = mixed(docs, labels, weights, most=1.0).where("copies = 0").select(F.col("row_key").alias(gone)).distinct()
+    return docs.join(chosen, row_key() == F.col(gone), "left_anti")

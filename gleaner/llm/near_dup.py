@@ -616,8 +616,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     rows = linked_rows(docs, width)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min_by("row", order).alias("kept_row")).select("kept_row")
-    kept = first.unionByName(rows.where("comp IS NULL").select(F.col("row").alias("kept_row"))).distinct()
-    key = first_free(docs.columns, "row")
-    found = docs.withColumn(key, row_key()).join(kept, F.col(key) == F.col("kept_row"), "left_semi")
+    key, own = first_free(docs.columns, "row"), first_free(docs.columns, "kept_row")
+    first = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min_by("row", order).alias(own)).select(own)
+    kept = first.unionByName(rows.where("comp IS NULL").select(F.col("row").alias(own))).distinct()
+    found = docs.withColumn(key, row_key()).join(kept, F.col(key) == F.col(own), "left_semi")
     return found.dropDuplicates([key]).drop(key)

@@ -44,6 +44,20 @@ def test_each_stage_against_its_input(spark, folder):
     assert kept <= set(private) and clean & set(private) <= kept and len(kept) < len(private)
 
 
+def test_stages_bear_columns_named_like_their_own(spark, folder):
+    path, rows, _ = folder
+    clashing = ["row", "kept_row", "gone_key", "row_key", "score", "copies", "rate", "u", "comp", "found", "n_shingles", "held_out", "codes", "p", "t"]
+    docs = spark.createDataFrame(rows[:120] + [(3000, "w " * 150_000, "en", "src0", 9)] + rows[:5], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(clashing)])
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, path).collect(), docs.schema)
+        assert docs.columns == columns and docs.count()
+    assert all(r[c] == i for r in docs.collect() for i, c in enumerate(clashing))
+    assert docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    assert corpus_pipeline.token_ids(spark, docs, path).count() == docs.count()
+
+
 def test_run_encodes_what_is_left(spark, folder):
     path, _, _ = folder
     out = corpus_pipeline.run(spark, path).collect()
