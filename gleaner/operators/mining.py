@@ -65,27 +65,29 @@ def shortages(groups: DataFrame, negatives: DataFrame, quotas: dict[str, int]) -
     return rows.withColumn("missing", F.col("quota") - F.coalesce("n", F.lit(0))).where("missing > 0").select("qid", "kind", F.col("missing").cast("bigint").alias("missing"))
 
 
-def candidate_pool(channels: list[tuple[str, DataFrame, int]], spare: DataFrame, gold_keys: DataFrame, forbidden: DataFrame, least: int = 10) -> DataFrame:
-    """``(qid, id, key, source, turn)``: what a teacher is to score, and one more random id (source ``random``).
+def accepted(ranked: DataFrame, gold_keys: DataFrame, forbidden: DataFrame, quota: int | None = None) -> DataFrame:
+    """``(qid, id, key, rank)`` of a list's first rows that are no positive, no copy of one and not forbidden, ranked anew."""
+    rows = ranked.join(gold_keys, ["qid", "key"], "left_anti").join(forbidden.select("id"), "id", "left_anti")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).select("qid", "id", "key", "rank")
+    return rows if quota is None else rows.where(F.col("rank") <= quota)
 
-    Each channel gives the first of its quota that are no positive, no copy of one and not forbidden; a text that an earlier
-    one gave stands there.  With fewer than ``least`` candidates, ids of ``spare`` (qid, id, key, rank) fill them up; the next
-    one after is the random one.
+
+def candidate_pool(channels: list[tuple[str, DataFrame]], spare: DataFrame, least: int = 10) -> DataFrame:
+    """``(qid, id, key, source)``: what a teacher is to score, and one more random id (source ``random``).
+
+    Channels and ``spare`` are accepted lists; a text that several hold stands under the first.  Groups with fewer than
+    ``least`` candidates are filled up from ``spare`` (source ``fill``); the next one there is the random one.
     """
-    allowed = lambda rows: rows.join(gold_keys, ["qid", "key"], "left_anti").join(forbidden.select("id"), "id", "left_anti")
     found = None
-    for at, (source, ranked, quota) in enumerate(channels):
-        place = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))
-        rows = allowed(ranked).withColumn("place", place).where(F.col("place") <= quota).select("qid", "id", "key", F.lit(source).alias("source"), F.struct(F.lit(at).alias("at"), "place").alias("turn"))
+    for at, (source, rows) in enumerate(channels):
+        rows = rows.select("qid", "id", "key", F.lit(source).alias("source"), F.struct(F.lit(at).alias("at"), "rank").alias("turn"))
         found = rows if found is None else found.unionByName(rows)
-    found = distinct_texts(found, ["turn", "id"])
+    found = distinct_texts(found, ["turn", "id"]).select("qid", "id", "key", "source")
     counts = found.groupBy("qid").agg(F.count("*").alias("n"))
-    rest = allowed(spare).join(found.select("qid", "key"), ["qid", "key"], "left_anti")
-    rest = distinct_texts(rest, ["rank", "id"]).join(counts, "qid", "left").fillna(0, ["n"])
-    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).where(F.col("place") <= F.greatest(F.lit(0), least - F.col("n")) + 1)
-    last = F.col("place") == F.greatest(F.lit(0), least - F.col("n")) + 1
-    fill = rest.select("qid", "id", "key", F.when(last, "random").otherwise("fill").alias("source"), F.struct(F.lit(len(channels)).alias("at"), "place").alias("turn"))
-    return found.unionByName(fill)
+    rest = distinct_texts(spare.join(found.select("qid", "key"), ["qid", "key"], "left_anti"), ["rank", "id"]).join(counts, "qid", "left").fillna(0, ["n"])
+    wanted = F.greatest(F.lit(0), least - F.col("n"))
+    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).where(F.col("place") <= wanted + 1)
+    return found.unionByName(rest.select("qid", "id", "key", F.when(F.col("place") > wanted, "random").otherwise("fill").alias("source")))
 
 
 def model_negatives(pool: DataFrame, lexical: DataFrame, hard: int = 6, lex: int = 4, least: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gleaner.functions import text as T
+from gleaner.operators.order import in_order
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -55,12 +56,29 @@ def source_closure(rows: DataFrame, start: DataFrame) -> DataFrame:
     return rows.join(of_source.select("text"), "text", "left_semi").select("doc_id").distinct()
 
 
-def hash_split(sources: DataFrame, seed: str, shares: tuple[float, float] = (0.5, 0.25)) -> DataFrame:
-    """Sources in the order of a seeded hash, cut at rounded shares (half to even)."""
-    place = F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "source"), 256)))
-    n = sources.count()
+def seeded(seed: str, column: str):
+    """The hash by which groups are shuffled; it depends on nothing but the seed and the name."""
+    return F.sha2(F.concat_ws("|", F.lit(seed), F.col(column).cast("string")), 256)
+
+
+def hash_split(groups: DataFrame, seed: str, shares: tuple[float, float] = (0.5, 0.25), column: str = "source") -> DataFrame:
+    """Groups in the order of a seeded hash, cut at rounded shares (half to even); any number of groups."""
+    placed, n = in_order(groups, [seeded(seed, column), F.asc(column)])
     first, second = round(n * shares[0]), round(n * (shares[0] + shares[1]))
-    return sources.withColumn("place", place).withColumn("split", F.when(F.col("place") <= first, "train").when(F.col("place") <= second, "valid").otherwise("test"))
+    return placed.withColumn("split", F.when(F.col("place") <= first, "train").when(F.col("place") <= second, "valid").otherwise("test"))
+
+
+def cumulative_split(counts: DataFrame, seed: str, column: str, share: float, least: int = 40, rest: int = 10) -> DataFrame:
+    """``column, n, split``: groups in a seeded order are for validation until they have enough examples, then for the test.
+
+    ``counts``: a group and its number ``n`` of examples.  Enough is ``share`` of all, at least ``least`` and at most all but
+    ``rest``; a group is taken whole, and the last one is always for the test.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    target = min(max(int(total * share), least), max(1, total - rest))
+    placed, groups = in_order(counts.select(column, "n"), [seeded(seed, column), F.asc(column)], ["n"])
+    valid = (F.col("n_before") < target) & (F.col("place") < groups)
+    return placed.select(column, "n", F.when(valid, "valid").otherwise("test").alias("split"))
 
 
 def sentence_changes(pairs: DataFrame) -> DataFrame:
@@ -158,11 +176,8 @@ def split_sizes(n: int, train: float = 0.8, valid: float = 0.1) -> tuple[int, in
     return max(1, min(max(1, int(n * train)), n - held - 1)), held
 
 
-def document_split(sources: DataFrame, seed: str) -> DataFrame:
-    """``(source, split)``: sources in the order of a seeded hash, cut at ``split_sizes``.
-
-    The order is a window over sources (files), not over rows.
-    """
-    train, valid = split_sizes(sources.count())
-    place = F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "source"), 256)))
-    return sources.select("source", F.when(place <= train, "train").when(place <= train + valid, "valid").otherwise("test").alias("split"))
+def document_split(groups: DataFrame, seed: str, column: str = "source") -> DataFrame:
+    """``(column, split)``: groups in the order of a seeded hash, cut at ``split_sizes``; any number of groups."""
+    placed, n = in_order(groups.select(column), [seeded(seed, column), F.asc(column)])
+    train, valid = split_sizes(n)
+    return placed.select(column, F.when(F.col("place") <= train, "train").when(F.col("place") <= train + valid, "valid").otherwise("test").alias("split"))

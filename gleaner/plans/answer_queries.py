@@ -163,22 +163,6 @@ def positive_snippets(spark, sf_dir):
     return best.select("doc_id", "b.line", (-F.col("b.k")).alias("score"))
 
 
-@catalog.add(
-    "dg8_quota_mining",
-    f"""WITH {NEG_CTE}, hard AS (SELECT qid, id, 'dense' AS kind, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM neg QUALIFY k <= 4), reps AS (SELECT label, arg_min(vec_id, sha256(vec_id::VARCHAR)) AS id FROM unit GROUP BY label),
-        rnd AS (SELECT q.vec_id AS qid, r.id, 'random' AS kind, row_number() OVER (PARTITION BY q.vec_id ORDER BY sha256(q.vec_id || '|' || r.id)) AS k FROM unit q JOIN reps r ON q.label <> r.label WHERE q.vec_id % 100 = 0 AND (q.vec_id, r.id) NOT IN (SELECT (qid, id) FROM hard) QUALIFY k <= 1) SELECT * FROM hard UNION ALL SELECT * FROM rnd""",
-)
-def quota_mining(spark, sf_dir):
-    """Four dense negatives, and one picked by hash among one representative of each other label."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    near = near_vectors(spark, sf_dir).join(v.toDF("qid", "own"), "qid").join(v.toDF("id", "other"), "id").where("own <> other")
-    hard = index.top_k(near.drop("rank"), "qid", "id", 4).select("qid", "id", F.lit("dense").alias("kind"), F.col("rank").alias("k"))
-    reps = v.groupBy(F.col("label").alias("other")).agg(F.min_by("vec_id", F.sha2(F.col("vec_id").cast("string"), 256)).alias("id"))
-    pairs = v.where("vec_id % 100 = 0").toDF("qid", "own").join(reps, F.col("own") != F.col("other")).select("qid", "id").join(hard.select("qid", "id"), ["qid", "id"], "left_anti")
-    pick = pairs.groupBy("qid").agg(F.min_by("id", F.sha2(F.concat_ws("|", "qid", "id"), 256)).alias("id"))
-    return hard.unionByName(pick.select("qid", "id", F.lit("random").alias("kind"), F.lit(1).alias("k")))
-
-
 @catalog.add("dg10_ambiguity_counts", f"WITH {VECTORS_CTE}, m AS (SELECT qid, max(score) AS best FROM near GROUP BY qid) SELECT qid, count(*) FILTER (score >= best - 0.2) AS close FROM near JOIN m USING (qid) GROUP BY qid")
 def ambiguity(spark, sf_dir):
     near = near_vectors(spark, sf_dir)
@@ -231,11 +215,11 @@ def evidence_guard(spark, sf_dir):
 
 @catalog.add(
     "dg16_document_split",
-    "WITH p AS (SELECT source, row_number() OVER (ORDER BY sha256('split|' || source)) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), c AS (SELECT *, greatest(1, floor(n * 0.8::DOUBLE)) AS t0, CASE WHEN n >= 3 THEN greatest(1, floor(n * 0.1::DOUBLE)) ELSE 0 END AS v0 FROM p), d AS (SELECT *, CASE WHEN t0 + v0 >= n THEN greatest(1, n - 1) ELSE t0 END AS t1, CASE WHEN t0 + v0 < n THEN v0 WHEN n <= 2 THEN 0 ELSE 1 END AS v1 FROM c), "
-    "s AS (SELECT *, CASE WHEN n >= 3 AND n - t1 - v1 <= 0 THEN greatest(1, t1 - 1) ELSE t1 END AS t2 FROM d) SELECT source, CASE WHEN place <= t2 THEN 'train' WHEN place <= t2 + v1 THEN 'valid' ELSE 'test' END AS split FROM s",
+    "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('split|' || doc_id)) AS place, count(*) OVER () AS n FROM (SELECT doc_id FROM documents)), c AS (SELECT *, greatest(1, floor(n * 0.8::DOUBLE)) AS t0, CASE WHEN n >= 3 THEN greatest(1, floor(n * 0.1::DOUBLE)) ELSE 0 END AS v0 FROM p), d AS (SELECT *, CASE WHEN t0 + v0 >= n THEN greatest(1, n - 1) ELSE t0 END AS t1, CASE WHEN t0 + v0 < n THEN v0 WHEN n <= 2 THEN 0 ELSE 1 END AS v1 FROM c), "
+    "s AS (SELECT *, CASE WHEN n >= 3 AND n - t1 - v1 <= 0 THEN greatest(1, t1 - 1) ELSE t1 END AS t2 FROM d) SELECT doc_id, CASE WHEN place <= t2 THEN 'train' WHEN place <= t2 + v1 THEN 'valid' ELSE 'test' END AS split FROM s",
 )
 def document_split(spark, sf_dir):
-    return sets.document_split(table(spark, sf_dir, "documents").select("source").distinct(), "split")
+    return sets.document_split(table(spark, sf_dir, "documents").select("doc_id"), "split", "doc_id")
 
 
 @catalog.add("dg17_qa_split", "SELECT d.doc_id, coalesce(CASE quality WHEN 1 THEN 'train' WHEN 0 THEN 'test' END, 'valid') AS split FROM documents d LEFT JOIN labels USING (doc_id)")
@@ -244,11 +228,17 @@ def qa_split(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "train").when(F.col("quality") == 0, "test"), F.lit("valid")).alias("split"))
 
 
-@catalog.add("dg19_cumulative_split", "SELECT source, n, before < 300 AS valid FROM (SELECT source, n, sum(n) OVER (ORDER BY source) - n AS before FROM (SELECT source, count(*) AS n FROM documents GROUP BY source))")
+@catalog.add(
+    "dg19_cumulative_split",
+    """WITH c AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ') <> '')) AS n FROM documents), t AS (SELECT least(greatest(floor(sum(n) * 0.2::DOUBLE), 40), greatest(1, sum(n) - 10)) AS target, count(*) AS groups FROM c),
+        p AS (SELECT doc_id, n, sum(n) OVER w - n AS before, row_number() OVER w AS place FROM c WINDOW w AS (ORDER BY sha256('valid|' || doc_id), doc_id ROWS UNBOUNDED PRECEDING))
+        SELECT doc_id, n, CASE WHEN before < target AND place < groups THEN 'valid' ELSE 'test' END AS split FROM p, t""",
+)
 def cumulative_split(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("source")) - F.col("n")
-    return counts.select("source", "n", (before < 300).alias("valid"))
+    """Documents by hash for validation until they hold a fifth of all lines that are not blank."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+    counts = table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("bigint").alias("n"))
+    return sets.cumulative_split(counts, "valid", "doc_id", 0.2)
 
 
 @catalog.add("dg20_distinct_sources", "SELECT lang, source, doc_id FROM (SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5")
@@ -294,29 +284,6 @@ def overlap_join(spark, sf_dir):
     return a.join(b, ["packet_id", "tag"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def near_sql(left: str, right: str, threshold: float) -> str:
-    """CTEs up to ``nearest`` (id, other, similarity): every pair scored on character 3- to 5-grams."""
-    grams = ", ".join(f"list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))" for n in (3, 4, 5))
-    return f"""sides AS (SELECT 'l' AS side, * FROM ({left}) UNION ALL SELECT 'r', * FROM ({right})),
-        padded AS (SELECT side, id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM sides),
-        tfs AS (SELECT side, id, gram, count(*) AS tf FROM (SELECT side, id, unnest(list_concat({grams})) AS gram FROM padded) GROUP BY ALL),
-        dfs AS (SELECT gram, ln((1 + (SELECT count(*) FROM sides)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tfs GROUP BY gram HAVING count(*) >= 2),
-        weights AS (SELECT side, id, gram, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY side, id)) AS w FROM tfs JOIN dfs USING (gram)),
-        firsts AS (SELECT min(id) AS id FROM sides WHERE side = 'r' AND text IS NOT NULL GROUP BY text),
-        near AS (SELECT l.id, r.id AS other, sum(l.w * r.w) AS similarity FROM weights l JOIN weights r USING (gram) WHERE l.side = 'l' AND r.side = 'r' AND r.id IN (SELECT id FROM firsts) GROUP BY ALL HAVING sum(l.w * r.w) >= {threshold} - 1e-9),
-        nearest AS (SELECT id, other, round(similarity, 6) AS similarity FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(similarity, 6) DESC, other) = 1)"""
-
-
-NEAR_FROM = 0.3
-ITEMS_SQL = "SELECT item_id AS id, text FROM benchmark"
-
-
-@catalog.add("jn11_nearest_neighbour", f"WITH {near_sql('SELECT doc_id AS id, text FROM documents', ITEMS_SQL, NEAR_FROM)} SELECT * FROM nearest")
-def nearest_neighbour(spark, sf_dir):
-    """Of every document the benchmark text that is nearest by character 3- to 5-grams, from a cosine of .3 on."""
-    return near.nearest(near.near_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), NEAR_FROM))
-
-
 @catalog.add("jn12_scores_by_source", "SELECT doc_id, coalesce(n, 0) AS score FROM documents LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON doc_id = user_id")
 def scores_by_source(spark, sf_dir):
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))

@@ -275,13 +275,6 @@ def training_corpora(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(b < 8, "sft").when(b == 8, "retrieval").otherwise("calibration").alias("corpus"), F.length("text").alias("n"))
 
 
-@catalog.add("dg9_model_hard_negatives")
-def model_hard(spark, sf_dir):
-    """The pool's negatives by a scorer's rank, six at most."""
-    scored = pair_scores(spark, sf_dir).join(table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return index.top_k(scored.withColumnRenamed("cross", "score"), "qid", "id", 6)
-
-
 @catalog.add("dg13_curated_quota")
 def curated_quota(spark, sf_dir):
     """Topic quotas, then turns in order: the first five documents of each source and language."""
