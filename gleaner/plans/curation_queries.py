@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import blocks, mining, near, sets
-from gleaner.plans.base import Catalog, table
+from gleaner.operators import blocks, curate, mining, near, sets
+from gleaner.operators.order import in_order
+from gleaner.plans.base import Catalog, quoted, table
 from gleaner.plans.rank_queries import BOTH_CTE, SQL_KEY, SQL_TERMS, found, questions
 from gleaner.session import shared_folder
 
@@ -160,4 +161,80 @@ def model_hard(spark, sf_dir):
     return model_mined(spark, sf_dir)[0]
 
 
+# A rule table for the generated texts, whose words are syllables: topics, their questions, and what they must at least have.
+LEXICON = {"coverage": ["that", "with"], "limits": ["tion", "thon"], "duties": ["ther", "shre", "thre"], "claims": ["estion", "ingen"]}
+VARIANTS = {t: [f"What does the page say about {t}?", f"Which part of the page settles {t}?", f"Explain {t} in one sentence."] for t in LEXICON}
+GENERIC = ["What is this page for?", "Name the main point of the page.", "What should a reader check here?"]
+MINIMUMS = {"claims": 120, "duties": 150, "limits": 90}
+UNSUPPORTED = ["Does the page mention the?", "Does the page mention tion?", "Does the page mention zebra?"]
+TARGET, COUNTEREXAMPLES, LINE_WORDS = 1_000, 120, (20, 140)
+SQL_WORDS = "regexp_split_to_array(lower(line), '[^a-z0-9]+')"
+SQL_TOPICS = "list_filter([" + ", ".join(f"CASE WHEN list_has_any({SQL_WORDS}, {quoted(w)}) THEN '{t}' END" for t, w in LEXICON.items()) + "], lambda t: t IS NOT NULL)"
+SQL_HITS = f"len(list_filter({SQL_WORDS}, lambda w: list_contains({quoted([w for ws in LEXICON.values() for w in ws])}, w)))"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+CURATED_CTE = f"""variants(topic, v, question) AS (VALUES {_values([(t, i, q) for t, qs in VARIANTS.items() for i, q in enumerate(qs)])}), generic(g, question) AS (VALUES {_values(list(enumerate(GENERIC)))}),
+    quotas(topic, step, quota) AS (VALUES {_values([(t, i, n) for i, (t, n) in enumerate(MINIMUMS.items())])}),
+    lined AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    sized AS (SELECT *, {SQL_HITS} AS hits, len(list_filter({SQL_WORDS}, lambda w: w <> '')) AS words FROM lined),
+    sn AS (SELECT doc_id, pos, line, {SQL_TOPICS} AS topics, row_number() OVER (ORDER BY hits DESC, words DESC, doc_id, pos) AS s FROM sized WHERE hits >= 2 AND words BETWEEN {LINE_WORDS[0]} AND {LINE_WORDS[1]}),
+    r1 AS (SELECT topic, s, question, step, row_number() OVER (PARTITION BY topic ORDER BY s, v) AS k FROM sn JOIN variants ON list_contains(topics, topic) JOIN quotas USING (topic) QUALIFY k <= any_value(quota) OVER (PARTITION BY topic)),
+    t1 AS (SELECT row_number() OVER (ORDER BY step, k) AS position, 1 AS round, s, topic, question FROM r1 QUALIFY position <= {TARGET}),
+    firsts AS (SELECT s, unnest(f) AS topic, generate_subscripts(f, 1) AS i FROM (SELECT s, (CASE WHEN len(topics) > 0 THEN topics ELSE ['coverage'] END)[1:3] AS f FROM sn)),
+    own AS (SELECT s, topic, question, row_number() OVER (PARTITION BY s ORDER BY i, v) - 1 AS j FROM firsts JOIN variants USING (topic)),
+    offered AS (SELECT CASE WHEN j < 2 THEN 2 ELSE 3 END AS round, s, j AS slot, topic, question FROM own UNION ALL SELECT CASE WHEN g = 0 THEN 2 ELSE 3 END, s, 1000 + g, 'general', question FROM sn, generic),
+    fresh AS (SELECT * FROM offered ANTI JOIN t1 USING (s, question) QUALIFY row_number() OVER (PARTITION BY s, question ORDER BY round, slot) = 1),
+    later AS (SELECT row_number() OVER (ORDER BY round, s, slot) + (SELECT count(*) FROM t1) AS position, round, s, topic, question FROM fresh QUALIFY position <= {TARGET}),
+    records AS (SELECT position, round, doc_id, pos, topic, question, line FROM (SELECT * FROM t1 UNION ALL SELECT * FROM later) JOIN sn USING (s))"""
+
+
+def snippets(spark, sf_dir):
+    """Lines of a fair length with two words of the lexicon at least, in the builder's order ``s``."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    words = F.split(F.lower("line"), "[^a-z0-9]+")
+    cues = [w for ws in LEXICON.values() for w in ws]
+    sized = lines.withColumn("hits", F.size(F.filter(words, lambda w: w.isin(cues)))).withColumn("words", F.size(F.filter(words, lambda w: w != "")))
+    fair = sized.where((F.col("hits") >= 2) & F.col("words").between(*LINE_WORDS)).withColumn("topics", curate.matched_topics(F.col("line"), LEXICON))
+    return in_order(fair, [F.desc("hits"), F.desc("words"), F.asc("doc_id"), F.asc("pos")], place="s")[0].drop("hits", "words")
+
+
+def curated_records(spark, sf_dir):
+    rows = snippets(spark, sf_dir)
+    pairs = curate.curated(rows.select("s", "topics"), VARIANTS, GENERIC, MINIMUMS, TARGET)
+    return pairs.join(rows.select("s", "doc_id", "pos", "line"), "s")
+
+
+@catalog.add("dg13_curated_quota", f"WITH {CURATED_CTE} SELECT position, round, doc_id, pos, topic, question FROM records")
+def curated_quota(spark, sf_dir):
+    """A thousand questions over lines: topic quotas, then each line's first questions, then deferred ones."""
+    return curated_records(spark, sf_dir).select("position", "round", "doc_id", "pos", "topic", "question")
+
+
+SQL_ASKED = "CASE idx % 3 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(UNSUPPORTED)) + " END"
+
+
+def mentions(question, evidence):
+    """The last word of the question stands in the evidence."""
+    return F.array_contains(F.split(F.lower(evidence), "[^a-z0-9]+"), F.regexp_extract(question, "([a-z]+)[?]$", 1))
+
+
+@catalog.add(
+    "dg13_counterexamples",
+    f"""WITH {CURATED_CTE}, n AS (SELECT count(*) AS n FROM records), probes AS (SELECT idx, {SQL_ASKED} AS question FROM range({COUNTEREXAMPLES}) r(idx), n WHERE idx < n),
+        far AS (SELECT idx, p.question, position, (n - position - idx + n) % n AS distance FROM probes p, n, records WHERE NOT list_contains({SQL_WORDS}, regexp_extract(p.question, '([a-z]+)[?]$', 1)))
+        SELECT idx, question, position FROM far QUALIFY row_number() OVER (PARTITION BY idx ORDER BY distance) = 1""",
+)
+def curated_counterexamples(spark, sf_dir):
+    """Questions that the record beside them does not support."""
+    records = curated_records(spark, sf_dir).select("position", F.col("line").alias("evidence"))
+    folder = shared_folder(spark, "curated")
+    records.write.parquet(folder)
+    records = spark.read.parquet(folder)
+    return curate.counterexamples(records, records.count(), UNSUPPORTED, mentions, COUNTEREXAMPLES)
+
+
 QUERIES, ORACLE_SQL = catalog.queries, catalog.oracles

@@ -275,13 +275,6 @@ def training_corpora(spark, sf_dir):
     return c.select("conv_id", "turn", F.when(b < 8, "sft").when(b == 8, "retrieval").otherwise("calibration").alias("corpus"), F.length("text").alias("n"))
 
 
-@catalog.add("dg13_curated_quota")
-def curated_quota(spark, sf_dir):
-    """Topic quotas, then turns in order: the first five documents of each source and language."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.sha2(F.col("doc_id").cast("string"), 256)))).where("k <= 5")
-
-
 @catalog.add("dg21_conditioned_records")
 def conditioned(spark, sf_dir):
     """The gold page first, then the ranking, packed."""
