@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +91,116 @@ def error_type(answerable: Column, abstain: Column, retrieved: Column, cited: Co
     weak = abstain | (f1 <= 0.05)
     wrong = F.when(~retrieved, "retrieval_miss").when(cited & ~evidence, "citation_mismatch").when(weak, "weak_answer_extraction")
     return F.when(answerable, wrong).when(~abstain, "unsupported_false_positive")
+
+
+def log_gamma(x: Column) -> Column:
+    """ln gamma(x) for x >= 1: Stirling's series ten steps further up, where it is exact to double precision."""
+    y = x + 10
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    steps = F.lit(0.0)
+    for i in range(10):
+        steps = steps + F.log(x + i)
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - steps
+
+
+def exact_binomial(wins: Column, losses: Column) -> Column:
+    """Two-sided p-value of so many wins and losses if both were equally likely; 1 without any.
+
+    The tail is summed downwards from its largest term, whose size comes from log gammas.  Terms fall below double
+    precision within some widths of the distribution, so large counts need no longer sums than that.
+    """
+    n, k = (wins + losses).cast("double"), F.least(wins, losses).cast("double")
+    top = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * F.log(F.lit(2.0))
+    terms = F.least(k, 50 + F.ceil(12 * F.sqrt(n))).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(a, i):
+        term = a["term"] * (k - i) / (n - k + i + 1)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    tail = F.aggregate(F.when(terms > 0, F.sequence(F.lit(0), terms - 1)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["total"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * tail))
+
+
+def paired_outcomes(pairs: DataFrame, keys: list[str], new: str = "new", old: str = "old") -> DataFrame:
+    """Wins, losses and ties of matched outcomes (true or 1 is a hit), their mean difference and the exact p-value."""
+    a, b = F.col(new).cast("int"), F.col(old).cast("int")
+    counts = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(a > b).alias("wins"), F.count_if(a < b).alias("losses"), F.count_if(a == b).alias("ties"))
+    difference = (F.col("wins") - F.col("losses")) / F.col("n")
+    return counts.select(*keys, "n", "wins", "losses", "ties", difference.alias("difference"), exact_binomial(F.col("wins"), F.col("losses")).alias("p"))
+
+
+#: P(Poisson(1) <= i) for the weights 0, 1, ... of a drawn cluster.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
+
+
+def bootstrap(rows: DataFrame, cluster: str, replicates: int = 200) -> DataFrame:
+    """``(rep, ratio)``: sum of ``num`` over sum of ``den`` for clusters drawn with replacement.
+
+    Rows are summed by cluster.  A cluster's weight in a replicate is a Poisson(1) count from a hash of both, so
+    results do not depend on the partitions and can be repeated.  Each task adds its clusters up to one pair of sums a
+    replicate; nothing is exploded by replicates.
+    """
+    sums = rows.groupBy(F.xxhash64(cluster).alias("h")).agg(F.sum("num").cast("double").alias("num"), F.sum("den").cast("double").alias("den"))
+
+    def draw(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, den = np.zeros(replicates), np.zeros(replicates)
+        reps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for frame in frames:
+            h, a, b = (frame.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for at in range(0, len(h), 1_024):
+                x = h[at : at + 1_024].astype(np.uint64)[:, None] ^ reps[None, :]
+                for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+                u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+                weight = np.searchsorted(_POISSON, u, side="right")
+                num, den = num + a[at : at + 1_024] @ weight, den + b[at : at + 1_024] @ weight
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(num), pa.array(den)], names=["rep", "num", "den"])
+
+    parts = sums.mapInArrow(draw, "rep int, num double, den double")
+    return parts.groupBy("rep").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio"))
+
+
+def guarded_selection(metrics: DataFrame, utility: dict[str, tuple[str, float]], guards: dict[str, tuple[str, float]], default: str, tie: tuple[str, str], slack: float = 1e-12) -> DataFrame:
+    """``(config, model, utility, eligible, chosen, promoted)`` of every configuration.
+
+    ``metrics``: config, model, domain, metric, value.  ``utility``: by domain the metric that counts and its weight.  ``guards``:
+    by domain a metric and by how much it may fall below the ``default`` configuration's.  Among the eligible ones the best
+    of model ``previous`` stands, unless the best of the others beats it by more than ``slack``; equal utilities are told
+    apart by ``tie`` (domain, metric), then by name.
+    """
+    is_ = lambda d, m: (F.col("domain") == d) & (F.col("metric") == m)
+    value = lambda d, m: F.max(F.when(is_(d, m), F.col("value")))
+    wide = metrics.groupBy("config", "model").agg(
+        sum((w * value(d, m) for d, (m, w) in utility.items()), F.lit(0.0)).alias("utility"), value(*tie).alias("tie"), *[value(d, m).alias(f"guard{i}") for i, (d, (m, _)) in enumerate(guards.items())]
+    )
+    base = wide.where(F.col("config") == default).select(*[F.col(f"guard{i}").alias(f"base{i}") for i in range(len(guards))])
+    fine = [F.col(f"guard{i}") + slack >= F.col(f"base{i}") - drop for i, (_, drop) in enumerate(guards.values())]
+    rows = wide.join(F.broadcast(base)) if guards else wide  # one row
+    eligible = F.lit(True)
+    for f in fine:
+        eligible = eligible & F.coalesce(f, F.lit(False))
+    rows = rows.select("config", "model", "utility", "tie", eligible.alias("eligible"))
+    best = lambda cond: F.min(F.when(cond & F.col("eligible"), F.struct((-F.col("utility")).alias("u"), (-F.col("tie")).alias("t"), "config")))
+    tops = rows.agg(best(F.col("model") == "previous").alias("old"), best(F.col("model") != "previous").alias("new"))
+    promoted = F.coalesce(-F.col("new.u") > -F.col("old.u") + slack, F.col("old").isNull() & F.col("new").isNotNull())
+    tops = tops.select(promoted.alias("promoted"), F.when(promoted, F.col("new.config")).otherwise(F.col("old.config")).alias("winner"))
+    return rows.join(F.broadcast(tops)).select("config", "model", "utility", "eligible", F.coalesce(F.col("config") == F.col("winner"), F.lit(False)).alias("chosen"), "promoted")
+
+
+def run_contingency(left: DataFrame, right: DataFrame, metrics: list[str]) -> DataFrame:
+    """``(mode, metric, n, both_pass, left_only, right_only, neither_pass, points)`` of two matched runs.
+
+    Rows: mode, id, and a pass (or null where it does not apply) for each metric.  Runs that do not have the very same
+    requests are no match and raise an error; ``points`` is right minus left in percentage points.
+    """
+    side = lambda df, s: df.select("mode", "id", F.lit(True).alias(s), *[F.col(m).cast("boolean").alias(f"{s}_{m}") for m in metrics])
+    both = side(left, "left").join(side(right, "right"), ["mode", "id"], "full_outer")
+    state = both.agg(F.count_if(F.col("left").isNull() | F.col("right").isNull()).alias("odd"), (F.count("*") - F.countDistinct("mode", "id")).alias("twice")).first()
+    if state["odd"] or state["twice"]:
+        raise ValueError(f"the runs do not match: {state['odd']} requests of one run only, {state['twice']} repeated")
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"left_{m}").alias("x"), F.col(f"right_{m}").alias("y")) for m in metrics]))
+    long = both.select("mode", cells.alias("c")).select("mode", "c.*").where("x IS NOT NULL AND y IS NOT NULL")
+    x, y = F.col("x"), F.col("y")
+    out = long.groupBy("mode", "metric").agg(F.count("*").alias("n"), F.count_if(x & y).alias("both_pass"), F.count_if(x & ~y).alias("left_only"), F.count_if(~x & y).alias("right_only"), F.count_if(~x & ~y).alias("neither_pass"))
+    return out.withColumn("points", F.round(100 * (F.col("right_only") - F.col("left_only")) / F.col("n"), 6))

@@ -197,40 +197,24 @@ def ratios(spark, sf_dir):
     return scored(spark, sf_dir).agg(F.count_if(a & c).alias("success"), F.count_if(a).alias("eligible"), ratio(a & c, a).alias("rate"), ratio(~a & (conf < 0.2), ~a).alias("declined"), ratio(conf >= 0.2, F.lit(True)).alias("answered"))
 
 
-def bootstrap(rows, cluster: str, replicates: int = 200):
-    """Ratio of sums over clusters drawn with replacement: Poisson weights hashed from cluster and replicate."""
-    grouped = rows.groupBy(cluster).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    draws = grouped.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(cluster, "rep"), F.lit(1 << 24)) / float(1 << 24)
-    bounds = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = sum([(u >= b).cast("int") for b in bounds], F.lit(0))
-    return draws.groupBy("rep").agg((F.sum(F.col("num") * weight) / F.sum(F.col("den") * weight)).alias("ratio"))
-
-
 @catalog.add("mt21_cluster_bootstrap")
 def cluster_bootstrap(spark, sf_dir):
     """Share of long documents, resampled by source; the sums by cluster are all that is drawn from."""
     rows = table(spark, sf_dir, "documents").select("source", (F.col("n_chars") > 2000).cast("int").alias("num"), F.lit(1).alias("den"))
-    return bootstrap(rows, "source").agg(F.round(F.avg("ratio"), 4).alias("mean"), F.round(F.percentile("ratio", 0.025), 4).alias("low"), F.round(F.percentile("ratio", 0.975), 4).alias("high"))
+    return M.bootstrap(rows, "source").agg(F.round(F.avg("ratio"), 4).alias("mean"), F.round(F.percentile("ratio", 0.025), 4).alias("low"), F.round(F.percentile("ratio", 0.975), 4).alias("high"))
 
 
 @catalog.add("mt22_paired_bootstrap")
 def paired_bootstrap(spark, sf_dir):
     """The difference of two shares of the same documents, resampled by source."""
     rows = table(spark, sf_dir, "documents").select("source", ((F.col("n_chars") > 2000).cast("int") - (F.col("n_chars") % 2).cast("int")).alias("num"), F.lit(1).alias("den"))
-    return bootstrap(rows, "source").agg(F.round(F.avg("ratio"), 4).alias("mean"), F.round(F.percentile("ratio", 0.025), 4).alias("low"), F.round(F.percentile("ratio", 0.975), 4).alias("high"))
+    return M.bootstrap(rows, "source").agg(F.round(F.avg("ratio"), 4).alias("mean"), F.round(F.percentile("ratio", 0.025), 4).alias("low"), F.round(F.percentile("ratio", 0.975), 4).alias("high"))
 
 
 @catalog.add("mt25_packet_bootstrap")
 def packet_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("role") == "assistant").cast("int").alias("num"), F.lit(1).alias("den"))
-    return bootstrap(rows, "conv_id", 50).agg(F.round(F.percentile("ratio", 0.025), 4).alias("low"), F.round(F.percentile("ratio", 0.975), 4).alias("high"))
-
-
-@catalog.add("mt23_paired_wins", "SELECT lang, count(*) FILTER (n_chars > length(trim(text, ' '))) AS wins, count(*) FILTER (n_chars < length(trim(text, ' '))) AS losses, count(*) FILTER (n_chars = length(trim(text, ' '))) AS ties FROM documents GROUP BY lang")
-def paired_wins(spark, sf_dir):
-    a, b = F.col("n_chars"), F.length(F.trim("text"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(a > b).alias("wins"), F.count_if(a < b).alias("losses"), F.count_if(a == b).alias("ties"))
+    return M.bootstrap(rows, "conv_id", 50).agg(F.round(F.percentile("ratio", 0.025), 4).alias("low"), F.round(F.percentile("ratio", 0.975), 4).alias("high"))
 
 
 @catalog.add("mt24_metric_table", f"WITH {PER_CTE}, long AS (SELECT qid, unnest(['hit1', 'hit10', 'mrr']) AS metric, unnest([hit1::DOUBLE, hit10::DOUBLE, mrr]) AS value FROM per) SELECT metric, round(avg(value), 6) AS mean, count(*) FILTER (value > 0.5) AS above FROM long GROUP BY metric")
@@ -239,25 +223,12 @@ def metric_table(spark, sf_dir):
     return long.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") > 0.5).alias("above"))
 
 
-@catalog.add("mt26_guarded_selection", "WITH runs AS (SELECT source AS run, avg(n_chars) FILTER (lang = 'en') AS en, avg(n_chars) FILTER (lang = 'de') AS de, avg(n_chars) AS score FROM documents GROUP BY 1) SELECT run, round(score, 6) AS score FROM runs WHERE en > 500 AND de > 500 ORDER BY score DESC, run LIMIT 1")
-def selection(spark, sf_dir):
-    """The best run among those that pass the guard in every domain."""
-    of = lambda l: F.avg(F.when(F.col("lang") == l, F.col("n_chars")))
-    runs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("run")).agg(of("en").alias("en"), of("de").alias("de"), F.avg("n_chars").alias("score"))
-    return runs.where("en > 500 AND de > 500").orderBy(F.desc("score"), "run").limit(1).select("run", F.round("score", 6).alias("score"))
-
-
 @catalog.add("mt27_stratum_summary", "SELECT lang, round(avg(quality), 6) AS quality, round(avg(toxic) FILTER (quality = 0), 6) AS toxic_when_poor, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def strata(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg(F.when(F.col("quality") == 0, F.col("toxic"))), 6).alias("toxic_when_poor"), F.count("*").alias("n"))
 
 
-@catalog.add("mt28_run_contingency", "SELECT quality AS old, toxic AS new, count(*) AS n FROM labels GROUP BY ALL")
-def contingency(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("old"), F.col("toxic").alias("new")).agg(F.count("*").alias("n"))
-
-
 @catalog.add("mt30_ambiguous_questions", "SELECT sha256(text) AS key, count(DISTINCT source) AS n_sources FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
 def ambiguous(spark, sf_dir):
     keyed = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key"), "source")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.plans import answer_queries, curation_queries, extra_queries, graph_queries, metric_queries, rank_queries, set_queries, tag_queries, text_queries
+from gleaner.plans import answer_queries, comparison_queries, curation_queries, extra_queries, graph_queries, metric_queries, rank_queries, set_queries, tag_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple = (text_queries, tag_queries, rank_queries, metric_queries, set_queries, graph_queries, answer_queries, extra_queries, curation_queries)
+_MODULES: tuple = (text_queries, tag_queries, rank_queries, metric_queries, set_queries, graph_queries, answer_queries, extra_queries, curation_queries, comparison_queries)
 
 
 def queries() -> dict[str, Query]:
