@@ -22,8 +22,8 @@ from gleaner.plans.rank_queries import QP_CTE, SENT, SQL_GROUPS, SQL_KEY, SQL_TE
 catalog = Catalog()
 
 
-def question_pages(spark):
-    return X.QUESTIONS.frame(spark).join(X.PAGES.frame(spark))
+def question_pages(spark, sf_dir):
+    return X.QUESTIONS.frame(spark).join(X.PAGES.frame(spark, sf_dir))
 
 
 SENTS_CTE = f"{QP_CTE}, st AS (SELECT qid, question, doc_id, page_number, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS i FROM qp)"
@@ -36,7 +36,7 @@ SENTS_CTE = f"{QP_CTE}, st AS (SELECT qid, question, doc_id, page_number, unnest
         SELECT qid, doc_id, page_number, s AS answer FROM b WHERE score > 0 AND hit""",
 )
 def extractive(spark, sf_dir):
-    rows = question_pages(spark).select("qid", "doc_id", "page_number", A.best_sentence(F.col("question"), F.col("text")).alias("answer"))
+    rows = question_pages(spark, sf_dir).select("qid", "doc_id", "page_number", A.best_sentence(F.col("question"), F.col("text")).alias("answer"))
     return rows.where("answer IS NOT NULL")
 
 
@@ -46,7 +46,7 @@ def extractive(spark, sf_dir):
         b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY qid, doc_id, page_number ORDER BY score DESC, i) = 1) SELECT qid, doc_id, page_number, s AS answer FROM b WHERE score > 0""",
 )
 def repairs(spark, sf_dir):
-    rows = question_pages(spark).select("qid", "doc_id", "page_number", A.repaired_answer(F.col("question"), F.lit("it depends"), F.col("text")).alias("answer"))
+    rows = question_pages(spark, sf_dir).select("qid", "doc_id", "page_number", A.repaired_answer(F.col("question"), F.lit("it depends"), F.col("text")).alias("answer"))
     return rows.where("answer IS NOT NULL")
 
 
@@ -56,7 +56,7 @@ def repairs(spark, sf_dir):
         b AS (SELECT * FROM sc WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY qid, doc_id, page_number ORDER BY score DESC, i) = 1) SELECT qid, doc_id, page_number, s AS sentence, score::DOUBLE AS score FROM b WHERE score >= 2""",
 )
 def best_sentences(spark, sf_dir):
-    rows = question_pages(spark).select("qid", "question", "doc_id", "page_number", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
+    rows = question_pages(spark, sf_dir).select("qid", "question", "doc_id", "page_number", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
     n = F.size(F.array_intersect(T.key_terms(F.col("question")), T.terms(F.col("s"), 3)))
     score = n.cast("double") + F.when(F.col("s").rlike(T.AMOUNT), 1.0).otherwise(0.0) - F.when(F.length("s") < 40, 0.5).otherwise(0.0)
     w = Window.partitionBy("qid", "doc_id", "page_number").orderBy(F.desc("score"), "i")
@@ -73,7 +73,7 @@ SHARES = f"WITH {QP_CTE}, p AS (SELECT *, {SQL_TERMS.format('question', 3)} AS q
 
 @catalog.add("an8_confidence", SHARES + ", f AS (SELECT *, CASE WHEN NOT numeric THEN c WHEN backed THEN greatest(c, 0.42) ELSE least(c, 0.19) END AS d FROM s) SELECT qid, doc_id, page_number, round(CASE WHEN len(list_filter(keys, lambda t: length(t) >= 7 AND NOT list_contains(ev, t))) > 0 AND share <= 0.5 OR len(keys) > 0 AND share < 0.25 THEN least(d, 0.19) ELSE d END::DOUBLE, 4) AS confidence FROM f")
 def confidences(spark, sf_dir):
-    return question_pages(spark).select("qid", "doc_id", "page_number", A.confidence(F.lit(0.5), F.col("question"), F.lit("the limit: $500"), F.col("text")).alias("confidence"))
+    return question_pages(spark, sf_dir).select("qid", "doc_id", "page_number", A.confidence(F.lit(0.5), F.col("question"), F.lit("the limit: $500"), F.col("text")).alias("confidence"))
 
 
 KEYS = Relation("fixture_keys", "kid int, answer string, k1 string, k2 string", [(1, "It is $2,500.50 in total", "2500.50", "total"), (2, "It is $25,000", "2500", "it"), (3, "Covered under form HO-3", "ho-3", "covered"), (4, "12 % of limits", "12", "limit"), (5, "about 3.0 days", "3", "days")])
@@ -93,17 +93,17 @@ def answer_keys(spark, sf_dir):
 
 @catalog.add("an5_support_ratios")
 def support(spark, sf_dir):
-    rows = question_pages(spark)
+    rows = question_pages(spark, sf_dir)
     ratio = A.support_ratio(F.col("question"), F.col("text"))
     reason = F.when(tags.is_abstention(F.col("question")), "model_reported_insufficient_evidence").when(F.trim("text") == "", "missing_citation_evidence").when(tags.needs_numeric_evidence(F.col("question")) & ~F.col("text").rlike(T.AMOUNT), "numeric_question_without_answer_amount").when(ratio < 0.2, "answer_terms_not_supported_by_citation").otherwise("supported")
     return rows.select("qid", "doc_id", "page_number", F.round(ratio, 6).alias("ratio"), reason.alias("reason"))
 
 
-@catalog.add("an10_conflicts", "WITH " + X.PAGES.cte() + ", a AS (SELECT packet_id, unnest(list_distinct(regexp_extract_all(text, '\\$[0-9][0-9,]*'))) AS amount FROM fixture_pages WHERE contains(lower(text), 'deductible') OR contains(lower(text), 'limit')) SELECT packet_id, count(DISTINCT amount) AS n, count(DISTINCT amount) > 1 AS conflict FROM a GROUP BY 1")
+@catalog.add("an10_conflicts", "WITH " + X.PAGES.whole() + ", a AS (SELECT packet_id, unnest(list_distinct(regexp_extract_all(text, '\\$[0-9][0-9,]*'))) AS amount FROM fixture_pages WHERE contains(lower(text), 'deductible') OR contains(lower(text), 'limit')) SELECT packet_id, count(DISTINCT amount) AS n, count(DISTINCT amount) > 1 AS conflict FROM a GROUP BY 1")
 def conflicts(spark, sf_dir):
     """Packets whose pages on one field name several amounts."""
     low = F.lower("text")
-    rows = X.PAGES.frame(spark).where(low.contains("deductible") | low.contains("limit"))
+    rows = X.PAGES.frame(spark, sf_dir).where(low.contains("deductible") | low.contains("limit"))
     amounts = rows.select("packet_id", F.explode(F.array_distinct(T.found(F.col("text"), r"\$[0-9][0-9,]*"))).alias("amount"))
     return amounts.groupBy("packet_id").agg(F.countDistinct("amount").alias("n"), (F.countDistinct("amount") > 1).alias("conflict"))
 
@@ -120,10 +120,10 @@ def chat_routes(spark, sf_dir):
 RULES = [("What is the comprehensive deductible?", "contains(l, 'deductible') AND contains(line, '$') AND contains(l, 'comprehensive')"), ("What is the collision deductible?", "contains(l, 'deductible') AND contains(line, '$') AND contains(l, 'collision') AND NOT contains(l, 'comprehensive')"), ("What is the liability coverage limit?", "contains(l, 'liability') AND contains(l, 'limit')"), ("What does the endorsement provide?", "contains(l, 'endorsement') AND (contains(l, 'provides') OR contains(l, 'covers'))"), ("What exclusions are listed in the policy?", "contains(l, 'excludes coverage') OR l LIKE 'this policy excludes%'"), ("What duties does the insured have after a loss?", "contains(l, 'insured must') OR contains(l, 'must promptly notify')"), ("What does Medical Payments Coverage apply to?", "contains(l, 'medical payments')")]
 
 
-@catalog.add("dg1_rule_questions", "WITH " + X.PAGES.cte() + ", ln AS (SELECT doc_id, page_number, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM fixture_pages), low AS (SELECT *, lower(line) AS l FROM ln) " + " UNION ALL ".join(f"SELECT doc_id, page_number, '{q}' AS question, line AS answer FROM low WHERE {c}" for q, c in RULES))
+@catalog.add("dg1_rule_questions", "WITH " + X.PAGES.whole() + ", ln AS (SELECT doc_id, page_number, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM fixture_pages), low AS (SELECT *, lower(line) AS l FROM ln) " + " UNION ALL ".join(f"SELECT doc_id, page_number, '{q}' AS question, line AS answer FROM low WHERE {c}" for q, c in RULES))
 def rule_questions(spark, sf_dir):
     """Lines that fit a rule become questions with the line as their answer; several may fit."""
-    lines = X.PAGES.frame(spark).select("doc_id", "page_number", F.explode(T.lines(F.col("text"))).alias("line")).withColumn("l", F.lower("line"))
+    lines = X.PAGES.frame(spark, sf_dir).select("doc_id", "page_number", F.explode(T.lines(F.col("text"))).alias("line")).withColumn("l", F.lower("line"))
     fired = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(q)) for q, c in RULES]))
     return lines.select("doc_id", "page_number", F.explode(fired).alias("question"), F.col("line").alias("answer"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Relation:
-    """A small fixed relation, the same for Spark and for SQL."""
-
-    def __init__(self, name: str, schema: str, rows: list[tuple]):
-        self.name, self.schema, self.rows = name, schema, rows
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    """Small fixed rows in words that the tables do not hold, the same for Spark and for SQL.
+
+    ``tables``: a query in the SQL of both, its tables in braces, for the rows that a whole table adds to them.
+    """
+
+    def __init__(self, name: str, schema: str, rows: list[tuple], tables: str | None = None):
+        self.name, self.schema, self.rows, self.tables = name, schema, rows, tables
+
+    def frame(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        """The fixed rows, and those of the tables if a folder is given."""
+        fixed = spark.createDataFrame(self.rows, self.schema)
+        if sf_dir is None or self.tables is None:
+            return fixed
+        used = {name: table(spark, sf_dir, name) for name in re.findall(r"{(\w+)}", self.tables)}
+        return fixed.unionByName(spark.sql(self.tables, **used))
+
+    def whole(self) -> str:
+        """As ``cte``, with the rows of the tables."""
+        more = re.sub(r"{(\w+)}", r"\1", self.tables).replace(r"explode(split(text, '\n'))", "unnest(string_split(text, chr(10)))").replace("array(", "list_value(")
+        return self.cte().removesuffix(")") + f" UNION ALL {more})"
 
     def cte(self) -> str:
         """``name(columns) AS (VALUES ...)`` for a WITH clause."""

@@ -66,7 +66,7 @@ def annotated_references(spark, sf_dir):
 @catalog.add("jn18_lexical_negatives", f"WITH {QP_CTE}, o AS (SELECT qid, source, len(list_intersect({SQL_TERMS.format('question', 3)}, {SQL_TERMS.format('text', 3)})) AS n FROM qp) SELECT qid, source, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, source) AS place FROM o QUALIFY place <= 3")
 def lexical_negatives(spark, sf_dir):
     """Every question against every page; pages without a shared term stay eligible."""
-    rows = question_pages(spark).select("qid", "source", F.size(F.array_intersect(T.terms(F.col("question"), 3), T.terms(F.col("text"), 3))).alias("n"))
+    rows = question_pages(spark, sf_dir).select("qid", "source", F.size(F.array_intersect(T.terms(F.col("question"), 3), T.terms(F.col("text"), 3))).alias("n"))
     return index.top_k(rows, "qid", "source", 3, "n").withColumnRenamed("rank", "place")
 
 
@@ -192,7 +192,7 @@ def packed(spark, sf_dir):
 
 @catalog.add("rk20_rule_reranked_pages", RULE_SQL.replace("SELECT qid, doc_id, page_number, round(", "SELECT qid, doc_id, page_number, row_number() OVER (PARTITION BY qid ORDER BY rule_score DESC, doc_id, page_number) AS place, rule_score FROM (SELECT qid, doc_id, page_number, round(") + ") QUALIFY place <= 3")
 def rule_reranked(spark, sf_dir):
-    rows = question_pages(spark).select("qid", "doc_id", "page_number", evidence_score(F.col("question"), F.col("text"), F.col("page_number")).alias("rule_score"))
+    rows = question_pages(spark, sf_dir).select("qid", "doc_id", "page_number", evidence_score(F.col("question"), F.col("text"), F.col("page_number")).alias("rule_score"))
     w = Window.partitionBy("qid").orderBy(F.desc("rule_score"), "doc_id", "page_number")
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 3")
 
@@ -208,8 +208,8 @@ def path_study(spark, sf_dir):
 @catalog.add("an3_cited_sources")
 def cited_sources(spark, sf_dir):
     """The source that an answer names first."""
-    pages = X.PAGES.frame(spark).select("source")
-    answers = X.PAGES.frame(spark).select("doc_id", "page_number", F.concat(F.lit("As stated in "), "source", F.lit(" and au3.pdf#page=1")).alias("answer"))
+    pages = X.PAGES.frame(spark, sf_dir).select("source")
+    answers = X.PAGES.frame(spark, sf_dir).select("doc_id", "page_number", F.concat(F.lit("As stated in "), "source", F.lit(" and au3.pdf#page=1")).alias("answer"))
     hits = answers.join(pages, F.col("answer").contains(F.col("source"))).withColumn("at", F.expr("instr(answer, source)"))
     return hits.groupBy("doc_id", "page_number").agg(F.min_by("source", F.struct("at", "source")).alias("cited"))
 
@@ -217,14 +217,14 @@ def cited_sources(spark, sf_dir):
 @catalog.add("an4_cited_pages")
 def cited_pages(spark, sf_dir):
     """The first page in rank order whose text supports a question's terms."""
-    rows = question_pages(spark).withColumn("ratio", A.support_ratio(F.col("question"), F.col("text"))).where("ratio >= 0.2")
+    rows = question_pages(spark, sf_dir).withColumn("ratio", A.support_ratio(F.col("question"), F.col("text"))).where("ratio >= 0.2")
     return rows.groupBy("qid").agg(F.min("source").alias("cited"), F.count("*").alias("supporting"))
 
 
 @catalog.add("an9_structured_answers")
 def structured(spark, sf_dir):
     """Best page, its sentence, a confidence, and whether the answer is withheld."""
-    rows = question_pages(spark).withColumn("score", evidence_score(F.col("question"), F.col("text"), F.col("page_number")))
+    rows = question_pages(spark, sf_dir).withColumn("score", evidence_score(F.col("question"), F.col("text"), F.col("page_number")))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "page_number")
     top = rows.withColumn("k", F.row_number().over(w)).where("k = 1")
     top = top.withColumn("answer", A.best_sentence(F.col("question"), F.col("text"))).withColumn("confidence", A.confidence(F.col("score"), F.col("question"), F.coalesce("answer", F.lit("")), F.col("text")))
@@ -260,7 +260,7 @@ TEMPLATES = ["What does the page say about {t}?", "Which evidence explains {t}?"
 @catalog.add("dg2_template_questions")
 def template_questions(spark, sf_dir):
     """Templates by chunk; a question that was asked before on the page is not asked again."""
-    pages = X.PAGES.frame(spark).select("doc_id", "page_number", F.posexplode(chunk.packed(T.sentences(F.col("text")))).alias("chunk", "answer"))
+    pages = X.PAGES.frame(spark, sf_dir).select("doc_id", "page_number", F.posexplode(chunk.packed(T.sentences(F.col("text")))).alias("chunk", "answer"))
     topic = tags.first_tag(F.col("answer"), tags.TOPICS, "the insurance document")
     asked = pages.withColumn("topic", topic).withColumn("q", F.explode(F.array(*map(F.lit, TEMPLATES)))).withColumn("question", F.replace("q", F.lit("{t}"), F.col("topic")))
     first = Window.partitionBy("doc_id", "page_number", F.lower("question")).orderBy("chunk")
@@ -284,7 +284,7 @@ def conditioned(spark, sf_dir):
 @catalog.add("mt6_page_number_match")
 def page_number_match(spark, sf_dir):
     """A hit by source, or by page number where the source is unknown."""
-    p = X.PAGES.frame(spark)
+    p = X.PAGES.frame(spark, sf_dir)
     best = rule_reranked(spark, sf_dir).where("place = 1")
     return best.join(p.select("doc_id", "page_number", "policy_number"), ["doc_id", "page_number"]).select("qid", "doc_id", F.when(F.col("policy_number").isNotNull(), "source").otherwise("page").alias("matched_by"))
 
@@ -300,16 +300,16 @@ def supervision_audit(spark, sf_dir):
 def paged_files(spark, sf_dir):
     """Binary files through a page reader; form feeds part the pages of plain text."""
     path = scratch(spark)
-    X.PAGES.frame(spark).repartition(2).select("text").write.option("lineSep", "\f").text(path)
+    X.PAGES.frame(spark, sf_dir).repartition(2).select("text").write.option("lineSep", "\f").text(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return adapters.read_files(files, "plain_text").groupBy("status").agg(F.count("*").alias("pages"))
 
 
-@catalog.add("src8_curated_corpus", f"WITH {X.PAGES.cte()} SELECT doc_id || '::p' || page_number AS record_id, length(text) AS n FROM fixture_pages")
+@catalog.add("src8_curated_corpus", f"WITH {X.PAGES.whole()} SELECT doc_id || '::p' || page_number AS record_id, length(text) AS n FROM fixture_pages")
 def curated(spark, sf_dir):
     """Pages as JSON lines, read with a fixed schema; a row that does not fit fails the read."""
     path = scratch(spark)
-    X.PAGES.frame(spark).select(F.concat("doc_id", F.lit("::p"), "page_number").alias("record_id"), "text").write.json(path)
+    X.PAGES.frame(spark, sf_dir).select(F.concat("doc_id", F.lit("::p"), "page_number").alias("record_id"), "text").write.json(path)
     return spark.read.schema("record_id string, text string").option("mode", "FAILFAST").json(path).select("record_id", F.length("text").alias("n"))
 
 

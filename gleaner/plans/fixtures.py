@@ -15,6 +15,7 @@ PAGES = Relation(
         ("au3", 1, "au3.pdf#page=1", "pk3", "P-9", "AUTO POLICY\nUninsured Motorist: $50,000 | $100,000\nUmbrella and excess liability\nClaim number 77 proof of loss"),
         ("au3", 2, "au3.pdf#page=2", "pk3", "P-9", "general conditions of the policy\n\n   \nSECTION iv DUTIES\nnothing else here at all, no amounts."),
     ],
+    "SELECT concat('d', doc_id) AS doc_id, 1 AS page_number, concat('doc', doc_id, '.txt#page=1') AS source, concat('own', doc_id) AS packet_id, CAST(NULL AS STRING) AS policy_number, text FROM {documents}",
 )
 
 QUESTIONS = Relation(
@@ -32,6 +33,7 @@ QUESTIONS = Relation(
         (9, "Do I have coverage for medical payments limits, and what does this specific plan pay?"),
         (10, ""),
     ],
+    'SELECT CAST(item_id + 1000 AS INT) AS qid, text AS question FROM {benchmark}',
 )
 
 ANSWERS = Relation(
@@ -51,6 +53,7 @@ ANSWERS = Relation(
         (11, None),
         (12, "This text does not support a definitive answer."),
     ],
+    'SELECT CAST(conv_id * 100 + turn + 1000 AS INT) AS aid, text AS answer FROM {conversations}',
 )
 
 SOURCES = Relation(
@@ -69,28 +72,33 @@ SOURCES = Relation(
         (10, "__--"),
         (11, "docs/big.pdf#page=12345"),
     ],
+    "SELECT CAST(page_id + 1000 AS INT) AS sid, concat(url, '#page=', page_id % 40) AS source FROM {pages}",
 )
 
 TABLE_ROWS = Relation(
     "fixture_rows",
     "rid int, header array<string>, cells array<string>",
     [(1, ["", "2019", "2020"], ["net  income", "5", "7"]), (2, ["in millions", "2019"], ["debt", "12 %"]), (3, ["x"], ["y"])],
+    "SELECT CAST(p_partkey + 1000 AS INT) AS rid, array('', 'key', 'size') AS header, array(p_name, CAST(p_partkey AS STRING), CAST(p_size AS STRING)) AS cells FROM {part}",
 )
 
 SFT = Relation(
     "fixture_sft",
     "rid int, instruction string, evidence string, question string, source string, answer string",
     [(1, "Answer.", "The deductible is $500.", " What? ", "a.pdf#page=1", " $500 "), (2, None, "", "Why?", None, "Because."), (3, "  ", "E", None, "s", None)],
+    "SELECT CAST(doc_id + 1000 AS INT) AS rid, lang AS instruction, text AS evidence, concat('What is in ', source, '?') AS question, source, concat(' ', lang) AS answer FROM {documents}",
 )
 
 VALUES = Relation(
     "fixture_values",
     "vid int, value string",
     [(1, "$1,234.50"), (2, "about 12.5% or $3"), (3, "no number"), (4, "$,"), (5, ""), (6, "['a b', ' c ']"), (7, "nan"), (8, "[]"), (9, "  spaced   out "), (10, "$12,000–$15,000 — up"), (11, "“Quoted” … it’s • fine"), (12, "[not a list")],
+    'SELECT CAST(doc_id + 1000 AS INT) AS vid, text AS value FROM {documents}',
 )
 
 HEADINGS = Relation(
     "fixture_headings",
     "hid int, line string",
     [(1, "SECTION II - LIABILITY"), (2, "section iv: duties -"), (3, "Mixed Case stays"), (4, "  HO  "), (5, "ABC DEFG hi"), (6, "US AND CANADA"), (7, ":-"), (8, "coverages")],
+    "SELECT CAST(doc_id + 1000 AS INT) AS hid, explode(split(text, '\\n')) AS line FROM {documents}",
 )

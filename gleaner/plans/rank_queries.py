@@ -223,16 +223,16 @@ def contained_snippets(spark, sf_dir):
     return docs.select("doc_id", F.size(rank.without_contained(T.lines(F.col("text")))).alias("kept"))
 
 
-@catalog.add("rk19_page_order", "WITH " + X.PAGES.cte() + " SELECT doc_id, page_number, CASE WHEN contains(lower(text), 'declarations') THEN 0 WHEN contains(lower(text), 'endorsement') THEN 1 WHEN contains(lower(text), 'definitions') THEN 3 ELSE 2 END AS bucket FROM fixture_pages")
+@catalog.add("rk19_page_order", "WITH " + X.PAGES.whole() + " SELECT doc_id, page_number, CASE WHEN contains(lower(text), 'declarations') THEN 0 WHEN contains(lower(text), 'endorsement') THEN 1 WHEN contains(lower(text), 'definitions') THEN 3 ELSE 2 END AS bucket FROM fixture_pages")
 def page_order(spark, sf_dir):
     low = F.lower("text")
     bucket = F.when(low.contains("declarations"), 0).when(low.contains("endorsement"), 1).when(low.contains("definitions"), 3).otherwise(2)
-    return X.PAGES.frame(spark).select("doc_id", "page_number", bucket.alias("bucket"))
+    return X.PAGES.frame(spark, sf_dir).select("doc_id", "page_number", bucket.alias("bucket"))
 
 
 # rule evidence: every fixture question against every page
 
-QP_CTE = f"{X.PAGES.cte()}, {X.QUESTIONS.cte()}, qp AS (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS body FROM fixture_questions, fixture_pages)"
+QP_CTE = f"{X.PAGES.whole()}, {X.QUESTIONS.cte()}, qp AS (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS body FROM fixture_questions, fixture_pages)"
 SQL_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9$%]+'), lambda t: length(t) >= {1}))"
 SQL_KEY = f"list_filter({SQL_TERMS.format('question', 3)}, lambda t: NOT list_contains({quoted(T.GENERIC_TERMS)}, t))"
 SQL_GROUPS = "list_filter([" + ", ".join(f"CASE WHEN {sql_any(cue, 'lower(question)')} THEN {quoted(group)} END" for cue, group in tags.FIELD_GROUPS) + "], lambda g: g IS NOT NULL)"
@@ -272,7 +272,7 @@ def evidence_score(question, body, page_number):
 
 @catalog.add("rk12_rule_evidence", RULE_SQL)
 def rule_evidence(spark, sf_dir):
-    pairs = X.QUESTIONS.frame(spark).join(X.PAGES.frame(spark))
+    pairs = X.QUESTIONS.frame(spark).join(X.PAGES.frame(spark, sf_dir))
     return pairs.select("qid", "doc_id", "page_number", evidence_score(F.col("question"), F.col("text"), F.col("page_number")).alias("rule_score"))
 
 
@@ -281,14 +281,14 @@ META = Relation("fixture_meta", "rid int, doc_type string, clause string, field
 
 @catalog.add(
     "rk3_metadata_match",
-    f"""WITH {META.cte()}, {X.QUESTIONS.cte()}, q AS (SELECT qid, lower(question) AS l FROM fixture_questions), f AS (SELECT q.*, m.*, {sql_any(tags.NUMERIC_FIELDS, 'l')} AS lim FROM q, fixture_meta m)
+    f"""WITH {META.cte()}, {X.QUESTIONS.whole()}, q AS (SELECT qid, lower(question) AS l FROM fixture_questions), f AS (SELECT q.*, m.*, {sql_any(tags.NUMERIC_FIELDS, 'l')} AS lim FROM q, fixture_meta m)
         SELECT qid, rid, round((CASE WHEN coverage <> '' AND CASE coverage {' '.join(f"WHEN '{t}' THEN {sql_any(w, 'l')}" for t, w in tags.COVERAGE.items())} ELSE FALSE END THEN 0.4 ELSE 0 END)
         + (CASE WHEN (doc_type = 'declarations' AND ({sql_any(['declarations', 'declaration page', 'premium', 'deductible', 'policy period'], 'l')} OR lim)) OR (doc_type = 'endorsement' AND {sql_any(['endorsement', 'rider', 'override', 'modify', 'modifies', 'added back', 'add back'], 'l')}) OR (doc_type = 'schedule' AND contains(l, 'schedule')) THEN 0.24 ELSE 0 END)
         + (CASE WHEN field IN ('deductible', 'premium') AND contains(l, field) OR field = 'limit' AND {sql_any(['limit', 'retention', 'coinsurance'], 'l')} THEN 0.22 ELSE 0 END), 6)::DOUBLE AS score FROM f""",
 )
 def metadata_match(spark, sf_dir):
     """Agreement of a record's coverage, document and field types with a question's preferences."""
-    q = X.QUESTIONS.frame(spark).select("qid", *[c.alias(k) for k, c in tags.understanding(F.col("question")).items() if k in ("target_coverages", "preferred_document_types", "preferred_field_types")])
+    q = X.QUESTIONS.frame(spark, sf_dir).select("qid", *[c.alias(k) for k, c in tags.understanding(F.col("question")).items() if k in ("target_coverages", "preferred_document_types", "preferred_field_types")])
     pairs = q.join(META.frame(spark))
     part = lambda cond, w: F.when(F.coalesce(cond, F.lit(False)), w).otherwise(0.0)
     score = part((F.col("coverage") != "") & F.array_contains("target_coverages", F.col("coverage")), 0.4) + part(F.array_contains("preferred_document_types", F.col("doc_type")), 0.24) + part(F.array_contains("preferred_field_types", F.col("field")), 0.22)

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from gleaner.functions import text as T
 from gleaner.operators import sets
+from gleaner.operators.order import in_order
 from gleaner.plans import fixtures as X
 from gleaner.plans.base import Catalog, Relation, sql_any, table
 from gleaner.plans.text_queries import SQL_COLLAPSED
@@ -121,10 +122,10 @@ def overlap_audit(spark, sf_dir):
 FIELDS = ["instruction", "evidence", "question", "source", "answer"]
 
 
-@catalog.add("st11_required_fields", "WITH " + X.SFT.cte() + ", c AS (SELECT rid, list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in FIELDS) + "], lambda x: x IS NOT NULL) AS m, list_filter([" + ", ".join(f"CASE WHEN trim({f}, ' ') = '' THEN '{f}' END" for f in FIELDS) + "], lambda x: x IS NOT NULL) AS e FROM fixture_sft) SELECT rid, array_to_string(m, ',') AS missing, array_to_string(e, ',') AS empty FROM c")
+@catalog.add("st11_required_fields", "WITH " + X.SFT.whole() + ", c AS (SELECT rid, list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in FIELDS) + "], lambda x: x IS NOT NULL) AS m, list_filter([" + ", ".join(f"CASE WHEN trim({f}, ' ') = '' THEN '{f}' END" for f in FIELDS) + "], lambda x: x IS NOT NULL) AS e FROM fixture_sft) SELECT rid, array_to_string(m, ',') AS missing, array_to_string(e, ',') AS empty FROM c")
 def required_fields(spark, sf_dir):
     listed = lambda cond: F.array_join(F.array_compact(F.array(*[F.when(cond(F.col(f)), F.lit(f)) for f in FIELDS])), ",")
-    return X.SFT.frame(spark).select("rid", listed(lambda c: c.isNull()).alias("missing"), listed(lambda c: F.trim(c) == "").alias("empty"))
+    return X.SFT.frame(spark, sf_dir).select("rid", listed(lambda c: c.isNull()).alias("missing"), listed(lambda c: F.trim(c) == "").alias("empty"))
 
 
 @catalog.add("st12_duplicate_keys", "SELECT count(*) AS groups, sum(n)::BIGINT AS records FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")
@@ -207,9 +208,14 @@ PAIRS = "pairs AS (SELECT doc_id AS key, text AS new, lag(text) OVER (PARTITION
 
 
 def version_pairs(spark, sf_dir):
-    """Each document against the one before it of the same source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("key"), F.col("text").alias("new"), F.lag("text").over(w).alias("old")).where("old IS NOT NULL")
+    """Each document against the one before it of the same source; only ids are put in order, whatever a source's size."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    placed, _ = in_order(docs.select("doc_id", "source"), [F.asc("source"), F.asc("doc_id")])
+    after = placed.select(F.col("doc_id").alias("key"), (F.col("place") - 1).alias("place"), "source")
+    pairs = after.join(placed.withColumnRenamed("doc_id", "before"), ["place", "source"]).select("key", "before")
+    texts = docs.select("doc_id", "text")
+    with_new = pairs.join(texts.toDF("key", "new"), "key")
+    return with_new.join(texts.toDF("before", "old"), "before").select("key", "new", "old").where("old IS NOT NULL")
 
 
 DIFF_TAIL = f"sides AS (SELECT key, {LINES.format('new')} AS n, {LINES.format('old')} AS o FROM pairs), diffs AS (SELECT key, 'added' AS change, unnest(list_filter(n, lambda x: NOT list_contains(o, x))) AS line FROM sides UNION ALL SELECT key, 'removed', unnest(list_filter(o, lambda x: NOT list_contains(n, x))) FROM sides)"
@@ -223,10 +229,10 @@ def line_diff(spark, sf_dir):
 
 @catalog.add("st22_sentence_changes")
 def sentence_changes(spark, sf_dir):
-    pages = X.PAGES.frame(spark)
+    """Each document against the one before it, and the pages of small documents, sentence by sentence."""
     w = Window.partitionBy("doc_id").orderBy("page_number")
-    pairs = pages.select(F.xxhash64("doc_id", "page_number").alias("key"), F.lag("text").over(w).alias("old"), F.col("text").alias("new")).where("old IS NOT NULL")
-    return sets.sentence_changes(pairs)
+    pages = X.PAGES.frame(spark).select(F.xxhash64("doc_id", "page_number").alias("key"), F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+    return sets.sentence_changes(pages.where("old IS NOT NULL").unionByName(version_pairs(spark, sf_dir)))
 
 
 @catalog.add("st23_change_summary")

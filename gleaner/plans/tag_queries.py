@@ -58,7 +58,7 @@ def packed_chunks(spark, sf_dir):
 
 @catalog.add("chk3_evidence_chunks")
 def evidence_chunks(spark, sf_dir):
-    return X.PAGES.frame(spark).select("doc_id", "page_number", F.posexplode(chunk.packed(T.sentences(text()), 120, 20)).alias("pos", "chunk"))
+    return X.PAGES.frame(spark, sf_dir).select("doc_id", "page_number", F.posexplode(chunk.packed(T.sentences(text()), 120, 20)).alias("pos", "chunk"))
 
 
 @catalog.add("chk4_snippets")
@@ -242,7 +242,7 @@ def q_any(*words):
     return sql_any(list(words), QLOW)
 
 
-UNDERSTOOD_CTE = f"""{X.QUESTIONS.cte()}, flags AS (SELECT qid, question, {INTENT} AS intent, {sql_flat(sql_tags(tags.COVERAGE, QLOW))} AS target_coverages, {sql_any(tags.NUMERIC_FIELDS, QLOW)} AS needs_limit,
+UNDERSTOOD_CTE = f"""{X.QUESTIONS.whole()}, flags AS (SELECT qid, question, {INTENT} AS intent, {sql_flat(sql_tags(tags.COVERAGE, QLOW))} AS target_coverages, {sql_any(tags.NUMERIC_FIELDS, QLOW)} AS needs_limit,
     {q_any('endorsement', 'rider', 'override', 'modify', 'modifies', 'added back', 'add back')} AS needs_endorsement_check, {q_any('schedule', 'table', 'premium', 'deductible', 'limit', 'amount')} AS needs_table_lookup,
     {INTENT} = 'definition_lookup' OR {q_any('defined')} AS needs_definition, {q_any('exclusion', 'excluded', 'not covered', 'exception')} AS needs_exclusion_review,
     {q_any('declarations', 'declaration page', 'premium', 'deductible', 'policy period')} OR {sql_any(tags.NUMERIC_FIELDS, QLOW)} AS needs_declarations FROM fixture_questions)"""
@@ -266,41 +266,41 @@ def understanding(spark, sf_dir):
     parts = tags.understanding(F.col("question"))
     parts.pop("preferred_sections")
     lists = {"target_coverages", "preferred_document_types", "preferred_clause_types", "preferred_field_types"}
-    return X.QUESTIONS.frame(spark).select("qid", *[(flat(c) if k in lists else c).alias(k) for k, c in parts.items()])
+    return X.QUESTIONS.frame(spark, sf_dir).select("qid", *[(flat(c) if k in lists else c).alias(k) for k, c in parts.items()])
 
 
 @catalog.add("tag6_section_references")
 def references(spark, sf_dir):
-    return X.QUESTIONS.frame(spark).select("qid", flat(tags.section_references(F.col("question"))).alias("references"))
+    return X.QUESTIONS.frame(spark, sf_dir).select("qid", flat(tags.section_references(F.col("question"))).alias("references"))
 
 
-@catalog.add("tag9_numeric_questions", f"WITH {X.QUESTIONS.cte()} SELECT qid, {sql_any(tags.NUMERIC_FIELDS, QLOW)} AS field_query, {sql_any(tags.NUMERIC_INTENTS, QLOW)} AS needs_number FROM fixture_questions")
+@catalog.add("tag9_numeric_questions", f"WITH {X.QUESTIONS.whole()} SELECT qid, {sql_any(tags.NUMERIC_FIELDS, QLOW)} AS field_query, {sql_any(tags.NUMERIC_INTENTS, QLOW)} AS needs_number FROM fixture_questions")
 def numeric_questions(spark, sf_dir):
     q = F.col("question")
-    return X.QUESTIONS.frame(spark).select("qid", tags.is_numeric_field(q).alias("field_query"), tags.needs_numeric_evidence(q).alias("needs_number"))
+    return X.QUESTIONS.frame(spark, sf_dir).select("qid", tags.is_numeric_field(q).alias("field_query"), tags.needs_numeric_evidence(q).alias("needs_number"))
 
 
 GROUPS = "list_filter([" + ", ".join(f"CASE WHEN {sql_any(cue, QLOW)} THEN '{'+'.join(group)}' END" for cue, group in tags.FIELD_GROUPS) + "], lambda t: t IS NOT NULL)"
 
 
-@catalog.add("tag10_field_groups", f"WITH {X.QUESTIONS.cte()} SELECT qid, {sql_flat(GROUPS)} AS groups FROM fixture_questions")
+@catalog.add("tag10_field_groups", f"WITH {X.QUESTIONS.whole()} SELECT qid, {sql_flat(GROUPS)} AS groups FROM fixture_questions")
 def groups(spark, sf_dir):
-    return X.QUESTIONS.frame(spark).select("qid", flat(F.transform(tags.field_groups(F.col("question")), lambda g: F.array_join(g, "+"))).alias("groups"))
+    return X.QUESTIONS.frame(spark, sf_dir).select("qid", flat(F.transform(tags.field_groups(F.col("question")), lambda g: F.array_join(g, "+"))).alias("groups"))
 
 
 PLAIN = f"trim(regexp_replace(replace(coalesce(answer, ''), '’', ''''), '{WS}', ' ', 'g'), ' ')"
 DECLINE = " OR ".join("regexp_matches({0}, '(?i){1}')".format(PLAIN, p.replace("'", "''")) for p in tags.ABSTENTIONS)
 
 
-@catalog.add("tag12_abstentions", f"WITH {X.ANSWERS.cte()} SELECT aid, {DECLINE} AS declines FROM fixture_answers")
+@catalog.add("tag12_abstentions", f"WITH {X.ANSWERS.whole()} SELECT aid, {DECLINE} AS declines FROM fixture_answers")
 def abstentions(spark, sf_dir):
-    return X.ANSWERS.frame(spark).select("aid", tags.is_abstention(F.col("answer")).alias("declines"))
+    return X.ANSWERS.frame(spark, sf_dir).select("aid", tags.is_abstention(F.col("answer")).alias("declines"))
 
 
 @catalog.add("tag16_routes")
 def routes(spark, sf_dir):
     q = F.col("question")
-    return X.QUESTIONS.frame(spark).select("qid", tags.is_personal(q).alias("personal"), tags.is_document_first(q).alias("document_first"), (F.regexp_count(F.lower(q), F.lit(r"compare|version|difference|policy")) >= 2).alias("diff"))
+    return X.QUESTIONS.frame(spark, sf_dir).select("qid", tags.is_personal(q).alias("personal"), tags.is_document_first(q).alias("document_first"), (F.regexp_count(F.lower(q), F.lit(r"compare|version|difference|policy")) >= 2).alias("diff"))
 
 
 SECTIONS = f"{PAGE_TITLES_CTE}"
@@ -333,14 +333,14 @@ GLOSSARY = Relation(
 
 @catalog.add(
     "tag21_glossary",
-    f"""WITH {GLOSSARY.cte()}, {X.QUESTIONS.cte()}, hit AS (SELECT qid, term, CASE WHEN lower(question) = term THEN 100 WHEN starts_with(lower(question), term) THEN 90
+    f"""WITH {GLOSSARY.cte()}, {X.QUESTIONS.whole()}, hit AS (SELECT qid, term, CASE WHEN lower(question) = term THEN 100 WHEN starts_with(lower(question), term) THEN 90
         WHEN regexp_matches(' ' || lower(question) || ' ', '[^a-z0-9]' || term || '[^a-z0-9]') THEN 80 WHEN contains(short, lower(question)) AND question <> '' THEN 65 END AS score FROM fixture_questions, fixture_glossary)
         SELECT qid, term, score FROM hit WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, term) <= 3""",
 )
 def glossary(spark, sf_dir):
     """Tiers of agreement between a question and the terms of a fixed glossary; the best three."""
     q = F.lower("question")
-    rows = X.QUESTIONS.frame(spark)
+    rows = X.QUESTIONS.frame(spark, sf_dir)
     tiers = []
     for term, short in GLOSSARY.rows:
         score = F.when(q == term, 100).when(q.startswith(term), 90).when(T.has_phrase(q, term), 80).when(F.lit(short).contains(q) & (q != ""), 65)

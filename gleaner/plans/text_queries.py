@@ -59,9 +59,9 @@ def per_row(name: str, relation, keys: str, columns: dict, sql: dict):
     """A query that applies functions to each row of a fixture."""
     wanted = ", ".join(f"{v} AS {k}" for k, v in sql.items())
 
-    @catalog.add(name, f"WITH {relation.cte()} SELECT {keys}, {wanted} FROM {relation.name}")
+    @catalog.add(name, f"WITH {relation.whole()} SELECT {keys}, {wanted} FROM {relation.name}")
     def run(spark, sf_dir):
-        return relation.frame(spark).select(keys, *[c().alias(k) for k, c in columns.items()])
+        return relation.frame(spark, sf_dir).select(keys, *[c().alias(k) for k, c in columns.items()])
 
 
 per_row(
@@ -111,7 +111,7 @@ SYSTEM = "Answer only from the evidence given, explain terms when useful, and ci
 
 @catalog.add(
     "txt27_chat_messages",
-    f"""WITH {X.SFT.cte()} SELECT rid, '{SYSTEM}' AS system, coalesce(trim(answer, ' '), '') AS assistant,
+    f"""WITH {X.SFT.whole()} SELECT rid, '{SYSTEM}' AS system, coalesce(trim(answer, ' '), '') AS assistant,
         concat_ws(chr(10) || chr(10), 'Instruction:' || chr(10) || nullif(trim(instruction, ' '), ''), 'Evidence:' || chr(10) || nullif(trim(evidence, ' '), ''),
         'Source:' || chr(10) || nullif(trim(source, ' '), ''), 'Question:' || chr(10) || coalesce(trim(question, ' '), '')) AS user FROM fixture_sft""",
 )
@@ -119,7 +119,7 @@ def chat_messages(spark, sf_dir):
     """Records as system, user and assistant messages; empty parts are left out."""
     part = lambda label, c: F.concat(F.lit(f"{label}:\n"), F.when(F.trim(c) != "", F.trim(c)))
     user = F.concat_ws("\n\n", part("Instruction", F.col("instruction")), part("Evidence", F.col("evidence")), part("Source", F.col("source")), F.concat(F.lit("Question:\n"), F.coalesce(F.trim("question"), F.lit(""))))
-    return X.SFT.frame(spark).select("rid", F.lit(SYSTEM).alias("system"), user.alias("user"), F.coalesce(F.trim("answer"), F.lit("")).alias("assistant"))
+    return X.SFT.frame(spark, sf_dir).select("rid", F.lit(SYSTEM).alias("system"), user.alias("user"), F.coalesce(F.trim("answer"), F.lit("")).alias("assistant"))
 
 
 @catalog.add(
@@ -135,13 +135,13 @@ def rendered(spark, sf_dir):
 
 @catalog.add(
     "txt28_source_sections",
-    f"""WITH {X.PAGES.cte()}, context AS (SELECT packet_id, string_agg('SOURCE: ' || source || chr(10) || text, chr(10) ORDER BY source) AS context FROM fixture_pages GROUP BY packet_id)
+    f"""WITH {X.PAGES.whole()}, context AS (SELECT packet_id, string_agg('SOURCE: ' || source || chr(10) || text, chr(10) ORDER BY source) AS context FROM fixture_pages GROUP BY packet_id)
         SELECT packet_id, split_part(part, chr(10), 1) AS source, substring(part, instr(part, chr(10))) AS body
         FROM (SELECT packet_id, unnest(string_split(chr(10) || context, chr(10) || 'SOURCE: ')[2:]) AS part FROM context)""",
 )
 def source_sections(spark, sf_dir):
     """A packed context is cut into its sections, each with the source of its header line."""
-    pages = X.PAGES.frame(spark).withColumn("block", F.concat(F.lit("SOURCE: "), "source", F.lit("\n"), "text"))
+    pages = X.PAGES.frame(spark, sf_dir).withColumn("block", F.concat(F.lit("SOURCE: "), "source", F.lit("\n"), "text"))
     context = pages.groupBy("packet_id").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(source, block))), b -> b.block)"), "\n").alias("context"))
     parts = context.select("packet_id", F.explode(F.split("context", r"(?m)^(?=SOURCE:[ \t]*[^\r\n]+)")).alias("part")).where("part <> ''")
     head = F.regexp_extract("part", r"^SOURCE:[ \t]*([^\r\n]+)", 1)
