@@ -4,7 +4,9 @@ A message is a list of typed parts (text, image, audio, document).  ``Flattener`
 parts in order and turns each attachment into a numbered placeholder, recording its
 reference and the number of tokens that it stands for.  Turns are framed by control lines;
 a backslash put before anything in a text that could be read as a control string (and before
-backslashes that lead up to one) makes the frame unambiguous and reversible.
+backslashes that lead up to one) makes the frame unambiguous and reversible.  Neighbouring texts are escaped as one, so
+a control string can't be split over parts; backslashes before a placeholder are doubled, so an even run of
+them stands before a placeholder and an odd one before text that looks like one (``body_parts`` tells them apart).
 
     ``### <Role>:`` newline, escaped text, newline ``</turn>`` newline
 
@@ -21,6 +23,7 @@ conversation of its own.  An empty table gives no rows; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,10 +31,12 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPEN, CLOSE = "### ", "</turn>"
 #: What could be taken for a control string: any run of backslashes, then a marker's start.
 _CONTROL = re.compile(r"(\\*)(###|</turn>|<\|)")
+_PLACED = re.compile(r"(\\*)(<\|[a-z]+_[0-9]+\|>)")
 _ESCAPED = re.compile(r"(\\+)(###|</turn>|<\|)")
 
 
@@ -44,6 +49,19 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1][: len(m[1]) // 2] + m[2], text)
 
 
+def body_parts(body: str) -> list[tuple[str, str]]:
+    """A formatted body as ``("text", text)`` and ``("attachment", placeholder)`` in order; no text is empty."""
+    out, at = [], 0
+    for m in _PLACED.finditer(body):
+        if len(m[1]) % 2:
+            continue
+        if text := unescape(body[at : m.start(1)]) + m[1][: len(m[1]) // 2]:
+            out.append(("text", text))
+        out.append(("attachment", m[2]))
+        at = m.end()
+    return out + [("text", unescape(body[at:]))] * (at < len(body))
+
+
 def escape_role(role: str) -> str:
     """Roles stand on one line: backslashes, line breaks and colons are spelled out."""
     return role.replace("\\", "\\\\").replace("\n", "\\n").replace(":", "\\c")
@@ -81,7 +99,16 @@ class Flattener:
         return getattr(self, f"visit_{part.get('type')}", self.visit_unknown)(part)
 
     def flatten(self, parts: list[dict]) -> str:
-        return "".join(map(self.visit, parts))
+        out, text = [], []
+        for part in parts:
+            if part.get("type") == "text":
+                text.append(part.get("text") or "")
+                continue
+            before = escape("".join(text))
+            run = len(before) - len(before.rstrip("\\"))
+            out += [before, "\\" * run, self.visit(part)]
+            text = []
+        return "".join([*out, escape("".join(text))])
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")
@@ -90,7 +117,9 @@ class Flattener:
         return self._place("image", part, self.image_tokens * max(1, int(part.get("tiles") or 1)))
 
     def visit_audio(self, part: dict) -> str:
-        return self._place("audio", part, max(1, -(-int(1000 * float(part.get("seconds") or 0)) * self.audio_tokens_per_second // 1000)))
+        seconds = float(part.get("seconds") or 0)  # a length that is no number counts as none
+        whole = int(1000 * seconds) if math.isfinite(seconds) else 0
+        return self._place("audio", part, max(1, -(-whole * self.audio_tokens_per_second // 1000)))
 
     def visit_document(self, part: dict) -> str:
         return self._place("document", part, self.document_tokens_per_page * max(1, int(part.get("pages") or 1)))
@@ -145,10 +174,19 @@ PARTS = "array<struct<type:string,text:string,ref:string,tiles:int,seconds:doubl
 ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("reference", pa.string()), ("placeholder", pa.string()), ("tokens", pa.int64())]))
 
 
+def _has_parts(conversations: DataFrame) -> bool:
+    """Whether there is a column of typed parts; one of another type is an extra column."""
+    kind = conversations.schema["parts"].dataType if "parts" in conversations.columns else None
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and "type" in kind.elementType.names
+
+
 def with_parts(conversations: DataFrame) -> DataFrame:
     """``conv_id, turn, role, parts``; a table without parts has one text part a row."""
-    if "parts" in conversations.columns:
-        parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
+    if _has_parts(conversations):
+        held = conversations.schema["parts"].dataType.elementType.names
+        fields = [p.split(":") for p in PARTS[len("array<struct<") : -2].split(",")]
+        by_name = F.transform("parts", lambda p: F.struct(*[(p[n] if n in held else F.lit(None)).cast(k).alias(n) for n, k in fields]))
+        parts = F.coalesce(by_name, F.array().cast(PARTS))
     else:
         parts = F.expr(f"CAST(array(named_struct('type', 'text', 'text', coalesce(text, ''), 'ref', NULL, 'tiles', NULL, 'seconds', NULL, 'pages', NULL)) AS {PARTS})")
     return conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
@@ -255,4 +293,6 @@ def with_probe(conversations: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE_TEXT).alias("text"),
     )
+    if _has_parts(conversations):
+        return with_parts(conversations).unionByName(with_parts(probe))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
