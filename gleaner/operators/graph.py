@@ -128,3 +128,34 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("component <> was").isEmpty():
             return labels
+
+
+#: Arms of the path study: the lists that rank pages, and the edges that lead on from the best of them.
+ARMS = {"sparse": (("sparse",), None), "dense": (("dense",), None), "hybrid": (("sparse", "dense"), None), "hybrid_explicit_graph": (("sparse", "dense"), "explicit"), "hybrid_all_graph": (("sparse", "dense"), "all")}
+
+
+def path_study(gold: DataFrame, lists: DataFrame, edges: DataFrame, k: int = 3, seeds: int = 4, hops: int = 2, most: int = 8, smooth: int = 60) -> DataFrame:
+    """``(cid, arm, n_gold, found, complete)``: how much of what a case needs is among the first ``k`` pages of each arm.
+
+    ``gold``: cid, id of every page that is needed.  ``lists``: cid, channel, id, place, within the case's packet.  ``edges``: as for
+    ``bounded_walk``.  An arm ranks by reciprocal ranks of its lists; with a graph, the pages that a walk from its first
+    ``seeds`` reaches come before all others, in the walk's order.  A case is complete only if all its pages are there.
+    """
+    arms = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.array(*map(F.lit, channels)).alias("channels"), F.lit(mode).cast("string").alias("mode")) for a, (channels, mode) in ARMS.items()]))
+    rows = lists.select("cid", "channel", "id", "place", arms.alias("a")).where(F.array_contains("a.channels", F.col("channel")))
+    fused = rows.groupBy("cid", F.col("a.arm").alias("arm"), F.col("a.mode").alias("mode"), "id").agg(F.sum(1.0 / (smooth + F.col("place"))).alias("score"))
+    order = Window.partitionBy("cid", "arm").orderBy(F.desc(F.round("score", 9)), "id")
+    ranked = fused.withColumn("n", F.row_number().over(order))
+    starts = ranked.where((F.col("n") <= seeds) & F.col("mode").isNotNull()).select(F.struct("cid", "arm").alias("qid"), F.col("id").alias("node"), "mode")
+    reached = None
+    for mode in ("explicit", "all"):
+        mine = starts.where(F.col("mode") == mode).drop("mode")
+        walk = bounded_walk(mine, edges if mode == "all" else edges.where(~F.col("relation").contains("candidate_")), hops, most)
+        steps = walk.select(F.col("qid.cid").alias("cid"), F.col("qid.arm").alias("arm"), F.col("node").alias("id"), F.col("place").alias("step"))
+        reached = steps if reached is None else reached.unionByName(steps)
+    every = ranked.select("cid", "arm", "id", "n").join(reached, ["cid", "arm", "id"], "full_outer")
+    first = Window.partitionBy("cid", "arm").orderBy(F.col("step").isNull(), "step", "n")
+    top = every.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select("cid", "arm", "id")
+    wanted = gold.select("cid", "id").distinct().select("cid", "id", arms.alias("a")).select("cid", "id", "a.arm")
+    hits = wanted.join(top.withColumn("hit", F.lit(1)), ["cid", "arm", "id"], "left").groupBy("cid", "arm").agg(F.count("*").alias("n_gold"), F.count("hit").alias("found"))
+    return hits.withColumn("complete", F.col("found") == F.col("n_gold"))

@@ -12,7 +12,9 @@ from gleaner.operators import graph as G
 from gleaner.operators import metrics as M
 from gleaner.operators import rank, sets
 from gleaner.plans.base import Catalog, table
+from gleaner.plans.graph_queries import shared_lines
 from gleaner.plans.rank_queries import BOTH_CTE, POOL_CTE, found, pooled, questions, sql_minmax
+from gleaner.session import shared_folder
 
 catalog = Catalog()
 
@@ -112,4 +114,35 @@ def selection(spark, sf_dir):
     return M.guarded_selection(long, UTILITY, GUARDS, "previous_20", ("long", "hit1")).withColumn("utility", F.round("utility", 6))
 
 
+SCOPED, NEEDED = 100, 3
+
+
+def study_cases(spark, sf_dir):
+    """Gold pages, lists and edges of the path study: a packet is a component of documents that share long lines."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "paths")
+
+    def cut(df, name):
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    shared = cut(shared_lines(spark, sf_dir), "shared")
+    packets = G.components(shared, docs.select(F.col("doc_id").alias("node"))).select(F.col("node").alias("id"), F.col("component").alias("packet"))
+    held = gold(spark, sf_dir).withColumnRenamed("qid", "cid").join(packets, "id")
+    scope = held.groupBy("cid").agg(F.min_by("packet", "id").alias("packet"))
+    own = held.join(scope, ["cid", "packet"]).withColumn("n", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("n") <= NEEDED)
+    listed = found(spark, sf_dir, SCOPED).withColumnRenamed("qid", "cid").join(packets, "id").join(scope, ["cid", "packet"])
+    place = F.row_number().over(Window.partitionBy("cid", "channel").orderBy("rank"))
+    after = Window.partitionBy("packet").orderBy("id")
+    following = packets.withColumn("target", F.lead("id").over(after)).where("target IS NOT NULL").select(F.col("id").alias("source"), "target", F.lit("candidate_next").alias("relation"), F.lit(0.4).alias("confidence"))
+    lines = shared.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("shares_line").alias("relation"), F.lit(0.5).alias("confidence"))
+    return cut(own.select("cid", "id"), "gold"), cut(listed.select("cid", "channel", "id", place.alias("place")), "lists"), cut(G.adjacency(lines).unionByName(following), "edges")
+
+
+@catalog.add("gr10_path_study")
+def path_study(spark, sf_dir):
+    """Five arms over packets of documents that share lines: recall and completeness of the pages that a case needs."""
+    rows = G.path_study(*study_cases(spark, sf_dir))
+    return rows.groupBy("arm").agg(F.count("*").alias("cases"), F.round(F.avg(F.col("found") / F.col("n_gold")), 6).alias("page_recall"), F.round(F.avg(F.col("complete").cast("int")), 6).alias("complete_evidence"))
+
+
 QUERIES, ORACLE_SQL = catalog.queries, catalog.oracles

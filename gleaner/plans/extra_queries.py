@@ -197,14 +197,6 @@ def rule_reranked(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 3")
 
 
-@catalog.add("gr10_path_study")
-def path_study(spark, sf_dir):
-    """Arms as a column: direct hits, one hop and two hops from the best vector of a query."""
-    near = near_vectors(spark, sf_dir, 5).select("qid", "id", "rank")
-    arms = F.when(F.col("rank") == 1, "direct").when(F.col("rank") <= 3, "one_hop").otherwise("two_hops")
-    return near.groupBy("qid", arms.alias("arm")).agg(F.count("*").alias("pages"))
-
-
 @catalog.add("an3_cited_sources")
 def cited_sources(spark, sf_dir):
     """The source that an answer names first."""
