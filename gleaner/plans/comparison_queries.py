@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from gleaner.functions import tags, text as T
+from gleaner.operators import conflicts as C
 from gleaner.operators import graph as G
+from gleaner.operators import index
 from gleaner.operators import metrics as M
 from gleaner.operators import rank, sets
+from gleaner.plans import fixtures as X
 from gleaner.plans.base import Catalog, table
 from gleaner.plans.graph_queries import shared_lines
-from gleaner.plans.rank_queries import BOTH_CTE, POOL_CTE, found, pooled, questions, sql_minmax
+from gleaner.plans.rank_queries import BOTH_CTE, POOL_CTE, evidence_score, found, pooled, questions, sql_minmax
+from gleaner.plans.tag_queries import enrich
 from gleaner.session import shared_folder
 
 catalog = Catalog()
@@ -145,4 +150,20 @@ def path_study(spark, sf_dir):
     return rows.groupBy("arm").agg(F.count("*").alias("cases"), F.round(F.avg(F.col("found") / F.col("n_gold")), 6).alias("page_recall"), F.round(F.avg(F.col("complete").cast("int")), 6).alias("complete_evidence"))
 
 
+@catalog.add("an10_conflict_types")
+def conflict_types(spark, sf_dir):
+    """Conflicts among the five pages that score best for each question, over whole tables and the small pages."""
+    pages = X.PAGES.frame(spark, sf_dir)
+    asked_ = X.QUESTIONS.frame(spark)
+    low = F.lower("question")
+    flags = asked_.select("qid", tags.understanding(F.col("question"))["needs_endorsement_check"].alias("needs_endorsement"), low.rlike("except|unless|however").alias("needs_exception"), tags.understanding(F.col("question"))["needs_limit"].alias("needs_limit"))
+    scored = asked_.join(pages, how="cross").select("qid", "source", evidence_score(F.col("question"), F.col("text"), F.col("page_number")).alias("score"))
+    top = index.top_k(scored, "qid", "source", C.TOP)
+    marked = enrich(pages.join(top.select("source").distinct(), "source", "left_semi"))
+    kind = marked.select("source", "document_type", F.col("primary_clause_type").alias("primary_clause"), F.col("coverage_tags").alias("coverages"), F.col("section_titles").alias("sections"), F.col("form_codes").alias("forms"), F.col("text").rlike(T.AMOUNT).alias("numeric"))
+    none = "array<struct<relation:string,page:string,coverages:array<string>,sections:array<string>,forms:array<string>>>"
+    rows = top.select("qid", F.col("rank").alias("place"), "source").join(kind, "source").withColumn("relations", F.array().cast(none))
+    return C.conflicts(rows, flags).select("qid", "n", "type", "severity", *[F.array_join(c, "|").alias(c) for c in ("sources", "coverages", "sections", "forms")])
+
+
 QUERIES, ORACLE_SQL = catalog.queries, catalog.oracles
