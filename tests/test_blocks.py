@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gleaner.operators import blocks
@@ -97,3 +98,37 @@ def test_text_ids_and_empty_tables(spark):
     assert index.search(q.where("false"), 9).count() == 0
     none = blocks.BlockIndex.build(frame.where("false"))
     assert none.search(q, 9).count() == 0
+
+
+def test_what_a_task_holds_is_bounded(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=2_000 if i % 7 == 0 else 50))) for i in range(300)]
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    frame = pa.record_batch([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["id", "tokens"])
+    made_blocks = list(blocks._packed(pa.int64())(iter([frame])))
+    sizes = [[sum(len(docs[i][1]) for i in b.column("ids")[0].as_py()[:-1])] for b in made_blocks]
+    assert sum(len(b.column("ids")[0]) for b in made_blocks) == 300 and max(sizes) < [20_000]
+    index = blocks.BlockIndex.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    monkeypatch.setattr(blocks, "MOST_QUESTIONS", 16)
+    short = [(q, rng.choice(words)) for q in range(50)]
+    groups = list(index._question_blocks(spark.createDataFrame(short, "qid long, text string")))
+    assert max(len(g.ids) for g in groups) <= 16 and sum(len(g.ids) for g in groups) == 50
+    monkeypatch.setattr(blocks, "PAIRS", 500)
+    row = index.blocks.first()
+    block = {c: pa.array(row[c]) for c in ("terms", "starts", "docs", "tf", "lengths", "most_tf", "least_length")}
+    parts = list(groups[0].lexical_parts(block, None))
+    assert len(parts) > 1 and max(len(p[0]) for p in parts) <= 500
+    whole = {(d, q): s for d, q, s in zip(*groups[0].lexical(block, None))}
+    monkeypatch.setattr(blocks, "PAIRS", 10**9)
+    assert {(d, q): s for d, q, s in zip(*groups[0].lexical(block, None))} == whole
+
+
+def test_row_groups_hold_few_blocks(spark, monkeypatch):
+    """Parquet would look at the size of a row group after 100 rows first; each row is a block."""
+    monkeypatch.setattr(blocks, "ROW_GROUP", 20_000)
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randrange(3_000)}" for _ in range(50))) for i in range(2_000)]
+    index = blocks.BlockIndex.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.blocks.inputFiles()]
+    assert sum(m.num_rows for m in files) >= 16 and sum(m.num_row_groups for m in files) >= 4
