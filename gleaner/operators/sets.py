@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -81,32 +81,47 @@ def cumulative_split(counts: DataFrame, seed: str, column: str, share: float, le
     return placed.select(column, "n", F.when(valid, "valid").otherwise("test").alias("split"))
 
 
-def sentence_changes(pairs: DataFrame) -> DataFrame:
-    """Rows ``(key, old, new)`` to sentence changes by the standard library's matcher.
+#: Pairs of texts that a task compares before it hands their changes on.
+COMPARED = 64
+
+
+def _sentence_map(texts: bool):
+    """An Arrow map from ``(key, old, new)`` to changes, ``COMPARED`` pairs at a time."""
+    import difflib
+    import re
+
+    split = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if s.strip()] or [(t or "").strip()]
+
+    def changes(key, old, new):
+        a, b = split(old), split(new)
+        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=True).get_opcodes():
+            left, right = a[i1:i2], b[j1:j2]
+            if op == "equal":
+                yield from ((key, "unchanged", s, s, 1.0) for s in left)
+                continue
+            yield from ((key, "modified", x, y, difflib.SequenceMatcher(None, x, y).ratio()) for x, y in zip(left, right))
+            yield from ((key, "removed", x, "", 0.0) for x in left[len(right) :])
+            yield from ((key, "added", "", y, 0.0) for y in right[len(left) :])
+
+    fields = [("key", pa.int64()), ("change", pa.string()), ("old", pa.string()), ("new", pa.string()), ("score", pa.float64())]
+    kept = [i for i, (name, _) in enumerate(fields) if texts or name not in ("old", "new")]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for at in range(0, frame.num_rows, COMPARED):
+                rows = [r for pair in zip(*(c.to_pylist() for c in frame.slice(at, COMPARED).columns)) for r in changes(*pair)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], fields[i][1]) for i in kept], names=[fields[i][0] for i in kept])
+
+    return run
+
+
+def sentence_changes(pairs: DataFrame, texts: bool = True) -> DataFrame:
+    """Rows ``(key, old, new)`` to sentence changes by the standard library's matcher; the sentences stay out if not asked for.
 
     ``difflib``'s ratio has no column expression, so this is an Arrow-batched Python map.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
-        import re
-
-        split = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if s.strip()] or [(t or "").strip()]
-        for pdf in frames:
-            out = []
-            for key, old, new in zip(pdf["key"], pdf["old"], pdf["new"]):
-                a, b = split(old), split(new)
-                for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=True).get_opcodes():
-                    left, right = a[i1:i2], b[j1:j2]
-                    if op == "equal":
-                        out += [(key, "unchanged", s, s, 1.0) for s in left]
-                        continue
-                    out += [(key, "modified", x, y, difflib.SequenceMatcher(None, x, y).ratio()) for x, y in zip(left, right)]
-                    out += [(key, "removed", x, "", 0.0) for x in left[len(right) :]]
-                    out += [(key, "added", "", y, 0.0) for y in right[len(left) :]]
-            yield pd.DataFrame(out, columns=["key", "change", "old", "new", "score"])
-
-    return pairs.select("key", "old", "new").mapInPandas(run, "key bigint, change string, old string, new string, score double")
+    schema = "key bigint, change string, old string, new string, score double" if texts else "key bigint, change string, score double"
+    return pairs.select("key", "old", "new").mapInArrow(_sentence_map(texts), schema)
 
 
 def line_differences(pairs: DataFrame, words: list[str] | None = None) -> DataFrame:

@@ -228,16 +228,16 @@ def line_diff(spark, sf_dir):
 
 
 @catalog.add("st22_sentence_changes")
-def sentence_changes(spark, sf_dir):
+def sentence_changes(spark, sf_dir, texts=True):
     """Each document against the one before it, and the pages of small documents, sentence by sentence."""
     w = Window.partitionBy("doc_id").orderBy("page_number")
     pages = X.PAGES.frame(spark).select(F.xxhash64("doc_id", "page_number").alias("key"), F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
-    return sets.sentence_changes(pages.where("old IS NOT NULL").unionByName(version_pairs(spark, sf_dir)))
+    return sets.sentence_changes(pages.where("old IS NOT NULL").unionByName(version_pairs(spark, sf_dir)), texts)
 
 
 @catalog.add("st23_change_summary")
 def change_summary(spark, sf_dir):
-    changes = sentence_changes(spark, sf_dir)
+    changes = sentence_changes(spark, sf_dir, texts=False)
     return changes.groupBy("change").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"))
 
 
