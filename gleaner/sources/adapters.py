@@ -37,15 +37,14 @@ def read_files(files: DataFrame, reader: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pages_of = load()
         for pdf in frames:
-            rows = []
+            # one file at a time, as its pages are held as objects
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     found = list(pages_of(content))
+                    rows = [(path, i, t, "blank" if not t.strip() else "readable") for i, t in enumerate(found, 1)]
                 except Exception as error:
-                    rows.append((path, 0, "", f"unreadable: {type(error).__name__}"))
-                    continue
-                rows += [(path, i, t, "blank" if not t.strip() else "readable") for i, t in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["path", "page_number", "text", "status"])
+                    rows = [(path, 0, "", f"unreadable: {type(error).__name__}")]
+                yield pd.DataFrame(rows, columns=["path", "page_number", "text", "status"])
 
     return files.select("path", "content").mapInPandas(run, "path string, page_number int, text string, status string")
 
@@ -101,3 +100,12 @@ def _overlap_scorer():
 register("encoder", "local_hash", _hashing_encoder)
 register("scorer", "overlap", _overlap_scorer)
 register("reader", "plain_text", lambda: lambda content: bytes(content).decode("utf-8").split("\f"))
+
+
+def _ended_pages(content) -> list[str]:
+    pages = bytes(content).decode("utf-8").split("\f")
+    return pages if pages[-1] else pages[:-1]
+
+
+# a form feed ends a page, so none stands after the last one: a text can be in any number of files
+register("reader", "ended_text", lambda: _ended_pages)

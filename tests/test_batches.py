@@ -3,6 +3,8 @@
 import pyarrow as pa
 
 from gleaner.operators import sets
+from gleaner.plans import extra_queries
+from gleaner.sources import adapters
 
 
 def test_sentences_are_compared_some_pairs_at_a_time():
@@ -14,3 +16,18 @@ def test_sentences_are_compared_some_pairs_at_a_time():
     assert [(r["change"], r["old"], r["new"]) for r in rows[:2]] == [("unchanged", "One.", "One."), ("modified", "Two.", "Three.")]
     short = [r for p in sets._sentence_map(False)(iter([frame])) for r in p.to_pylist()]
     assert short == [{k: r[k] for k in ("key", "change", "score")} for r in rows]
+
+
+def test_pages_are_stored_in_files_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extra_queries, "scratch", lambda _: str(tmp_path / "pages"))
+    few = {tuple(r) for r in extra_queries.paged_files(spark, "/root/testdata/sf0.01").collect()}
+    monkeypatch.setattr(extra_queries, "FILE_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(extra_queries, "scratch", lambda _: str(tmp_path / "more"))
+    many = {tuple(r) for r in extra_queries.paged_files(spark, "/root/testdata/sf0.01").collect()}
+    sizes = [f.stat().st_size for f in (tmp_path / "more").glob("*.txt")]
+    assert many == few and len(sizes) > 10 and max(sizes) < sum(sizes) / 4
+
+
+def test_a_form_feed_ends_a_page():
+    read = adapters.resolve("reader", "ended_text")()
+    assert [read(x) for x in (b"", b"a", b"a\f", b"a\f\fb\f", b"\f")] == [[], ["a"], ["a"], ["a", "", "b"], [""]]
