@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gleaner.functions import text as T
+from gleaner.operators.contained import contained_passages  # noqa: F401
 from gleaner.operators.order import in_order
 
 
@@ -25,24 +26,6 @@ def merged_copies(docs: DataFrame, key, ident: str = "doc_id", source: str = "so
     return keyed.groupBy("key").agg(F.min(ident).alias(ident), F.count("*").alias("copies"), F.sort_array(F.collect_set(source)).alias("sources"))
 
 
-def contained_passages(docs: DataFrame, passages: DataFrame, n: int = 8) -> DataFrame:
-    """``(doc_id, item_id)`` where the whole passage stands in the document.
-
-    Candidates share ``n`` inner words of the passage (an equi-join on their text); the passage
-    is then looked for in the whole document.  Passages too short for that are few words that
-    no join can narrow down, so they are looked for directly.
-    """
-    p = passages.where("text <> ''").select("item_id", F.col("text").alias("passage"), F.split("text", " ").alias("ws"))
-    head = p.where(F.size("ws") >= n + 2).select("item_id", "passage", F.array_join(F.slice("ws", 2, n), " ").alias("gram"))
-    words = docs.select("doc_id", F.split("text", " ").alias("ws")).withColumn("size", F.size("ws")).where(F.col("size") >= n)
-    starts = F.sequence(F.lit(1), F.col("size") - n + 1)
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " ")))).alias("gram"))
-    pairs = grams.join(head, "gram").select("doc_id", "item_id", "passage").distinct()
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
-    short = p.where(F.size("ws") < n + 2)
-    return found.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id"))
-
-
 def isolated(rows: DataFrame, held: DataFrame, ids: str, text: str, source: str) -> DataFrame:
     """Rows that share no id, no normalised text and no source with the held-out ones."""
     key = lambda df: df.withColumn("_key", T.alnum_key(F.col(text)))
